@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import STAND_INS
-from claimloom.llm import components, formatdup, knn, leakage, lookalike, survivors, tokenizer
+from claimloom.llm import components, formatdup, knn, leakage, lookalike, survivors, tokenizer, truncation
 from claimloom.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(table(spark, d, "cc_nodes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "cc_nodes"))
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "cc_nodes")
+    return truncation.truncation_by_source(nodes, truncation.truncated(nodes))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formatdup.refine(formatdup.records(table(spark, d, "cc_nodes"), table(spark, d, "raw_atoms")))
 
@@ -65,7 +74,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", lookalike.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_survivors, p2_found, p5_found, p5_copies, p6_found, p8_ids, p9_found, p9_longest, p9_kept, p10_found, p10_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_survivors, p2_found, p4_found, p4_sources, p5_found, p5_copies, p6_found, p8_ids, p9_found, p9_longest, p9_kept, p10_found, p10_forms)}
 
 _BLANK = r"'^[\s\p{Z}]*$'"
 _GROUPS = rf"""
