@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from claimloom.queries import core
+from claimloom.queries import core, graph_store
 
-MODULES = [core]
+MODULES = [graph_store, core]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
 FLAGSHIP = core.p3_found
