@@ -11,9 +11,18 @@ STAND_INS = [
 ]
 
 
+# The characters with the property White_Space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def stripped(c: Column) -> Column:
+    """The string without white space at its ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def is_blank(c: Column) -> Column:
     """True if the string is empty or only white space (Unicode white space included)."""
-    return c.rlike(r"(?U)^\s*$")
+    return stripped(c) == ""
 
 
 def present(c: Column) -> Column:
@@ -23,8 +32,7 @@ def present(c: Column) -> Column:
 
 def has_value(c: Column) -> Column:
     """True if the string is neither null nor blank nor a stand-in for a missing value."""
-    bare = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    return present(c) & ~bare.isin(STAND_INS)
+    return c.isNotNull() & ~F.lower(stripped(c)).isin("", *STAND_INS)
 
 
 def letters_digits(c: Column) -> Column:
