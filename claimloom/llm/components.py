@@ -73,7 +73,7 @@ def star_groups(links: DataFrame) -> DataFrame:
 
 def _fingerprint(links: DataFrame) -> tuple:
     h = F.xxhash64("hi", "lo")
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
 
 
 def groups_of_decisions(decisions: DataFrame) -> DataFrame:
