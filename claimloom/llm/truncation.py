@@ -27,21 +27,22 @@ TEXT_KEYS = ["raw_citation", "code_span"]
 
 # Trailing marks of a cut that say nothing about the words before them: white space, ellipses, broken characters.
 _TAIL = r"(?:\\s|…|\\.\\.\\.|�)+$"
-_NUMBER = r"[\\p{L}\\p{N}_-]*\\d(?:[.,:/]?[\\p{L}\\p{N}_-]+)*"
-_NAME = r"\\p{Lu}[\\p{L}\\p{M}\\x27’_-]*"
-_TOKEN = r"\\^?[\\p{L}\\p{M}\\p{N}]+(?:[\\x27’_-][\\p{L}\\p{M}\\p{N}]+)*[_-]?|[^\\s\\p{L}\\p{M}\\p{N}]"
+# Words (with inner apostrophes and hyphens), numbers (with inner marks), single marks; nothing is tried twice.
+_TOKEN = r"[a-zA-Z]++(?:[\\x27’_-]?[\\p{L}\\p{M}\\p{N}]++)*+[_-]?|[0-9]++(?:[.,:/]?[\\p{L}\\p{N}_-]++)*+|[\\p{L}\\p{M}\\p{N}]++(?:[\\x27’_-]?[\\p{L}\\p{M}\\p{N}]++)*+[_-]?|[^\\s\\p{L}\\p{M}\\p{N}]"
 
+# One string per text: its tokens with a space between, after two marks of the beginning.
 _WORDS = """
-SELECT id, field_name, kind, concat(array('^', '^'), regexp_extract_all(
-    concat('^', regexp_replace(regexp_replace(regexp_replace(text, '<tail>', ''), '<number>', '0'), '<name>', 'A')), '<token>', 0)) AS w
+SELECT id, field_name, kind, array_join(transform(regexp_extract_all(IF(right(text, 1) RLIKE '[\\\\s….�]', regexp_replace(text, '<tail>', ''), text), '<token>', 0),
+    (t, i) -> CASE WHEN lower(t) = t THEN IF(translate(t, '0123456789', '') = t, t, '0') ELSE IF(i = 0, '^A', 'A') END), ' ') AS w
 FROM {texts}"""
-for _k, _v in (("tail", _TAIL), ("number", _NUMBER), ("name", _NAME), ("token", _TOKEN)):
+for _k, _v in (("tail", _TAIL), ("token", _TOKEN)):
     _WORDS = _WORDS.replace(f"<{_k}>", _v.replace("{", "{{").replace("}", "}}"))
 
 _TRIGRAMS = """
 SELECT kind, g.a, g.b, g.c, count_if(NOT g.e) AS inside, count_if(g.e) AS ends
-FROM {words} LATERAL VIEW explode(transform(sequence(3, size(w)), i -> named_struct('a', w[i - 3], 'b', w[i - 2], 'c', w[i - 1], 'e', i = size(w)))) x AS g
-WHERE size(w) > 2 GROUP BY ALL"""
+FROM (SELECT kind, split(concat('^ ^ ', w), ' ') AS w FROM {words} WHERE w <> '')
+LATERAL VIEW explode(transform(sequence(3, size(w)), i -> named_struct('a', w[i - 3], 'b', w[i - 2], 'c', w[i - 1], 'e', i = size(w)))) x AS g
+GROUP BY ALL"""
 
 _SHARES = """
 WITH finals AS (SELECT kind, a, b, c, length(c) AS n, ends FROM {trigrams} WHERE ends > 0),
@@ -56,7 +57,7 @@ WITH finals AS (SELECT kind, a, b, c, length(c) AS n, ends FROM {trigrams} WHERE
      in2 AS (SELECT t.kind, t.b, substr(t.c, 1, n) AS c, sum(t.inside) AS inside
              FROM bi t JOIN lens2 l ON t.kind = l.kind AND t.b = l.b LATERAL VIEW explode(l.ns) x AS n
              WHERE n <= length(t.c) AND t.inside > 0 GROUP BY t.kind, t.b, substr(t.c, 1, n)),
-     in1 AS (SELECT t.kind, substr(t.c, 1, n) AS c, sum(t.inside) AS inside
+     in1 AS (SELECT /*+ BROADCAST(l) */ t.kind, substr(t.c, 1, n) AS c, sum(t.inside) AS inside
              FROM uni t JOIN lens1 l ON t.kind = l.kind LATERAL VIEW explode(l.ns) x AS n
              WHERE n <= length(t.c) AND t.inside > 0 GROUP BY t.kind, substr(t.c, 1, n)),
      p1 AS (SELECT u.kind, u.c, u.ends / (u.ends + coalesce(i.inside, 0)) AS p
@@ -76,7 +77,7 @@ def field_texts(nodes: DataFrame) -> DataFrame:
     """
     inside = []
     for key in TEXT_KEYS:
-        quoted = rf"['\"]{key}['\"]\s*:\s*(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)')\s*[,}}]"
+        quoted = rf"['\"]{key}['\"]\s*:\s*(?:\"((?:[^\"\\]++|\\.)*+)\"|'((?:[^'\\]++|\\.)*+)')\s*[,}}]"
         one, two = F.regexp_extract("provenance", quoted, 1), F.regexp_extract("provenance", quoted, 2)
         inside.append(F.struct(F.lit("provenance").alias("field_name"), F.lit("text").alias("kind"), F.when(F.length(one) > 0, one).otherwise(two).alias("text")))
     whole = [F.struct(F.lit(f).alias("field_name"), F.lit(k).alias("kind"), F.col(f).alias("text")) for f, k in (("context", "text"), ("provenance", "provenance"))]
@@ -86,9 +87,9 @@ def field_texts(nodes: DataFrame) -> DataFrame:
 
 
 def end_shares(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The words of each text, and for every final trigram its share of ends."""
+    """The words of each text (written once), and for every final trigram its share of ends."""
     spark = texts.sparkSession
-    words = spark.sql(_WORDS, texts=texts)
+    words = cut(spark.sql(_WORDS, texts=texts))
     trigrams = cut(spark.sql(_TRIGRAMS, words=words))
     return words, spark.sql(_SHARES.replace("{m}", str(BACKOFF)), trigrams=trigrams)
 
@@ -104,9 +105,9 @@ def truncated(nodes: DataFrame, end_share: float = END_SHARE) -> DataFrame:
     """
     texts = field_texts(nodes)
     words, shares = end_shares(texts)
-    flagged = shares.where(F.col("p") < end_share).select("kind", "a", "b", "c")
-    last = words.where(F.size("w") > 2).select("id", "field_name", "kind", F.element_at("w", -3).alias("a"), F.element_at("w", -2).alias("b"), F.element_at("w", -1).alias("c"))
-    hit = salted_join(last, flagged, ["kind", "a", "b", "c"], "left_semi", total=2 * nodes.count())
+    flagged = shares.where(F.col("p") < end_share).select("kind", F.concat_ws(" ", "a", "b", "c").alias("last"))
+    last = words.where(F.col("w") != "").select("id", "field_name", "kind", F.substring_index(F.concat(F.lit("^ ^ "), "w"), " ", -3).alias("last"))
+    hit = salted_join(last, flagged, ["kind", "last"], "left_semi", total=2 * nodes.count())
     return hit.select("id.node_id", "id.version", "field_name").distinct()
 
 
