@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom import ontology as O
 from claimloom import providers
-from claimloom.functions.vectors import word_hash
+from claimloom.functions.vectors import literal_vector, word_hash
 from claimloom.operators import audit, consolidate, extract, graph, novelty, reports, store, validate
 from claimloom.operators import search as search_
 
@@ -85,7 +85,7 @@ class Engine:
 
     def search(self, query: str, top_k: int = 10, level: str = "W4", status: str | None = None) -> DataFrame:
         atoms, edges = self._held()
-        q = lambda instruction: providers.embed(F.lit(query), instruction)
+        q = lambda instruction: literal_vector(self.spark, providers.embed(F.lit(query), instruction))
         c = self.config
         return search_.search(atoms, edges, self.vectors(atoms), q("Represent this query for atom retrieval"), q("Represent this query for code passage retrieval"), level=level, top_k=top_k, link_top_k=c.link_top_k, status_filter=store.status_included(status), damping=c.ppr_damping, rounds=c.rounds)
 

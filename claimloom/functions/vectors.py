@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +29,11 @@ def finite(a: Column, dim: int) -> Column:
     return (F.size(a) == dim) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once per row however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_hash(text: Column, dim: int = 128) -> Column:
     """Offline embedding: words of a-z counted by hash into ``dim`` places, unit length (zeros without words).
 
@@ -34,9 +41,14 @@ def word_hash(text: Column, dim: int = 128) -> Column:
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.size(words) > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)
+    count = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(p, lambda q: q == i)).cast("double"))
+    unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n == 0, c).otherwise(F.transform(c, lambda x: x / n)))
+    return let(places, lambda p: let(count(p), unit))
+
+
+def literal_vector(spark: SparkSession, vector: Column) -> Column:
+    """The value of a constant vector expression as a literal, so that it isn't worked out per row."""
+    return F.array(*[F.lit(float(x)) for x in spark.range(1).select(vector.alias("v")).first()[0]])
 
 
 def softmax(df: DataFrame, score: str, out: str, by: list[str] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def prompts(segments: DataFrame, chars: int = PROMPT_CHARS) -> DataFrame:
     order = Window.partitionBy("source").orderBy("pos")
     lengths = segments.withColumn("before", F.sum(F.length("text") + len(CHUNK_MARK)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     counts = segments.groupBy("source").agg(F.count(F.lit(1)).alias("n_segments"))
-    near = lengths.where(F.coalesce("before", F.lit(0)) < chars)
+    near = lengths.where(F.coalesce("before", F.lit(0)) - len(CHUNK_MARK) < chars)
     joined = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("pos", F.substring("text", 1, chars).alias("text")))).alias("s"))
     text = F.substring(F.array_join(F.transform("s", lambda x: x["text"]), CHUNK_MARK), 1, chars)
     return joined.join(counts, "source").select("source", "n_segments", text.alias("prompt"))

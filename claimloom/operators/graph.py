@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.ontology import LEVELS, level_ordinal
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, forget
 from claimloom.plans.ship import ship
 from claimloom.plans.skew import hot_from_counts, salted_join
 
@@ -107,10 +107,12 @@ def weak_components(links: DataFrame) -> DataFrame:
         mine = labels.join(best, "node_id", "left").select("node_id", F.least("component", "c").alias("c"), F.col("component").alias("old"))
         jump = mine.select(F.col("node_id").alias("c"), F.col("c").alias("cc"))
         nxt = cut(salted_join(mine, jump, ["c"], "left", total=total).select("node_id", F.least("c", "cc").alias("component"), "old"))
+        forget(labels)
+        labels = nxt
         if nxt.where(F.col("component") != F.col("old")).isEmpty():
-            return nxt.select("node_id", "component")
+            break
         labels = nxt.select("node_id", "component")
-    return labels
+    return labels.select("node_id", "component")
 
 
 def components_by_level(edges: DataFrame, atoms: DataFrame, level: str, mode: str = "weak") -> DataFrame:
@@ -144,7 +146,7 @@ def strong_components(arcs: DataFrame) -> DataFrame:
     nodes that reach its root backwards form one component and leave; the rest goes on.
     """
     arcs = cut(arcs)
-    left = cut(arcs.select(F.col("src").alias("node_id")).unionByName(arcs.select("tgt")).distinct())
+    left = cut(arcs.select(F.col("src").alias("node_id")).unionByName(arcs.select(F.col("tgt").alias("node_id"))).distinct())
     done = None
     while not left.isEmpty():
         colour = _reach_min(arcs, left)

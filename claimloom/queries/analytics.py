@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimloom import ontology as O
 from claimloom import providers
 from claimloom.functions.text import present
-from claimloom.functions.vectors import cosine, dot, finite, softmax, word_hash
+from claimloom.functions.vectors import cosine, dot, finite, literal_vector, softmax, word_hash
 from claimloom.operators import audit, consolidate, extract, graph, novelty, search, store, vote
 from claimloom.plans.lineage import cut, ensure_checkpoint_dir
 from claimloom.plans.tables import table
@@ -135,7 +135,7 @@ def ppr_fixed_k(spark, d):
 def search_end_to_end(spark, d):
     a = atoms_(spark, d)
     v = a.select("node_id", word_hash(F.coalesce("name", F.lit(""))).alias("embedding"))
-    q = lambda x: word_hash(F.lit(f"{x}: {QUESTION}"))
+    q = lambda x: literal_vector(spark, word_hash(F.lit(f"{x}: {QUESTION}")))
     return search.search(a, _keys(spark, d), v, q("atom"), q("code"), level="W4", top_k=10, status_filter=store.status_included(None), rounds=ROUNDS)
 
 
@@ -360,6 +360,14 @@ def graphml_lines(spark, d):
 # -- streaming -----------------------------------------------------------------------------
 
 
+def stream_of(spark, d, name):
+    """A table as a stream of its files, be it one file or a folder of them."""
+    reader = spark.readStream.schema(table(spark, d, name).schema).option("maxFilesPerTrigger", 16)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return reader.parquet(f"{d}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def stream_incremental_ingest(spark, d):
     """Two passes of the same stream of segments into a store: what is there stays, nothing doubles."""
     import uuid
@@ -370,7 +378,7 @@ def stream_incremental_ingest(spark, d):
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex[:8]}"
     s = store.GraphStore(spark, f"{base}/store")
     for i in range(2):
-        rows = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet")
+        rows = stream_of(spark, d, "documents")
         seg = rows.where("text is not null").select("source", F.col("doc_id").alias("pos"), "text")
         ingest_stream(seg, s, f"{base}/log{i}").awaitTermination()
     return s.atoms.groupBy("source").agg(F.count(F.lit(1)).alias("n_atoms"))
@@ -447,8 +455,8 @@ _AUD = f"{CUR}, {PROV}, {KEY}, {_I1}, {_I2}, {_CAT}, {_I3}, {_KIDS}, {_I4}, {_CH
 _REP = "rep AS (SELECT decision_id, min(canonical_name) AS n, min(canonical_type) AS t, min(canonical_context) AS c, min(reasoning) AS r FROM merge_decisions WHERE canonical_name <> '' GROUP BY decision_id)"
 _SLUG = "substr(coalesce(nullif(regexp_replace(regexp_replace(trim(coalesce({0}, '')), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'concept'), 1, 80)"
 _PATH = "{0}.level || '/' || " + _SLUG.format("{0}.node_id") + " || '.md'"
-_LINES = f"""lnk AS (SELECT ek.src AS node_id, 0 AS d, relation, tgt AS o, '- ' || relation || ' → [' || coalesce(t.name, 'null') || '](' || {_PATH.format('t')} || ')' AS line, {_PATH.format('t')} AS target FROM ek JOIN cur t ON t.node_id = tgt WHERE t.level IS NOT NULL
-  UNION ALL SELECT ek.tgt, 1, relation, src, '- ' || relation || ' ← [' || coalesce(s.name, 'null') || '](' || {_PATH.format('s')} || ')', {_PATH.format('s')} FROM ek JOIN cur s ON s.node_id = src WHERE s.level IS NOT NULL)"""
+_LINES = f"""lnk AS (SELECT ek.src AS node_id, 0 AS d, relation, tgt AS o, '- ' || relation || ' → [' || coalesce(regexp_replace(t.name, '[\r\n]+', ' ', 'g'), 'null') || '](' || {_PATH.format('t')} || ')' AS line, {_PATH.format('t')} AS target FROM ek JOIN cur t ON t.node_id = tgt WHERE t.level IS NOT NULL
+  UNION ALL SELECT ek.tgt, 1, relation, src, '- ' || relation || ' ← [' || coalesce(regexp_replace(s.name, '[\r\n]+', ' ', 'g'), 'null') || '](' || {_PATH.format('s')} || ')', {_PATH.format('s')} FROM ek JOIN cur s ON s.node_id = src WHERE s.level IS NOT NULL)"""
 _ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _Q1 = f"SELECT {_hash_sql("'atom: " + QUESTION + "'")} AS v"
 _Q2 = f"SELECT {_hash_sql("'code: " + QUESTION + "'")} AS v"

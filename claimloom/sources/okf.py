@@ -17,6 +17,8 @@ from claimloom.plans.ship import ship
 RESERVED = ["index.md", "log.md"]
 #: Prefix of the front matter keys that go beyond the open format.  Any writer's prefix is read.
 PREFIX = "claimloom"
+#: A link at the end of a line; its title may hold brackets.
+LINK = r"\]\(([^()]+)\)\s*$"
 EXTENSIONS = ("node_id", "level", "status", "provenance", "source_refs", "code_ref")
 
 
@@ -36,7 +38,7 @@ def relation_lines(edges: DataFrame, atoms: DataFrame) -> DataFrame:
 
     Lines of one atom are gathered in its own row; the file they make holds them all.
     """
-    ends = atoms.select("node_id", "name", concept_path().alias("path"))
+    ends = atoms.select("node_id", F.regexp_replace("name", r"[\r\n]+", " ").alias("name"), concept_path().alias("path"))  # a link stands on one line
     out = edges.join(ends, edges["tgt"] == ends["node_id"]).select(F.col("src").alias("n"), F.lit(0).alias("d"), "relation", F.col("tgt").alias("o"), F.format_string("- %s → [%s](%s)", "relation", "name", "path").alias("line"))
     into = edges.join(ends, edges["src"] == ends["node_id"]).select(F.col("tgt").alias("n"), F.lit(1).alias("d"), "relation", F.col("src").alias("o"), F.format_string("- %s ← [%s](%s)", "relation", "name", "path").alias("line"))
     rows = out.unionByName(into).groupBy(F.col("n").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("d", "relation", "o", "line"))).alias("x"))
@@ -184,10 +186,10 @@ def relations(bodies: DataFrame) -> DataFrame:
     lines = bodies.select("path", F.posexplode(F.split("body", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
     upto = Window.partitionBy("path").orderBy("pos")
     section = F.last(F.when(F.col("line").startswith("## "), F.lower("line")), ignorenulls=True).over(upto)
-    rows = lines.withColumn("section", section).where(F.col("section").startswith("## relation") & F.col("line").rlike(r"\[[^\]]*\]\([^)]+\)"))
+    rows = lines.withColumn("section", section).where(F.col("section").startswith("## relation") & F.col("line").rlike(LINK))
     prefix = F.regexp_replace(F.regexp_replace(F.split("line", r"\[")[0], "^[- ]+", ""), "[→←]", "")
     rel = F.trim(prefix)
-    return rows.select("path", "pos", F.when(rel.isin(HORIZONTAL + HIERARCHY), rel).otherwise("related_to").alias("relation"), F.split("line", r"\[")[0].contains("←").alias("incoming"), F.regexp_extract("line", r"\[[^\]]*\]\(([^)]+)\)", 1).alias("target"))
+    return rows.select("path", "pos", F.when(rel.isin(HORIZONTAL + HIERARCHY), rel).otherwise("related_to").alias("relation"), F.split("line", r"\[")[0].contains("←").alias("incoming"), F.regexp_extract("line", LINK, 1).alias("target"))
 
 
 def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
