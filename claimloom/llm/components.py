@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import present
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, forget
 from claimloom.plans.skew import hot_from_counts, salted_join
 
 
@@ -63,7 +63,8 @@ def star_groups(links: DataFrame) -> DataFrame:
     before = _fingerprint(now)
     while before[0]:
         total = before[0]
-        now = cut(small_star(large_star(now, total).distinct(), total))
+        last, now = now, cut(small_star(large_star(now, total).distinct(), total))
+        forget(last)
         after = _fingerprint(now)
         if after == before:
             break

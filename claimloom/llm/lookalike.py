@@ -89,8 +89,14 @@ def _keep_symbol_joiners(text: str) -> str:
 
 def form(text: str) -> str:
     """The one consistent form: compatibility composition of the look, full case folding, single spaces."""
-    shown = unicodedata.normalize("NFKC", look(text)).casefold()
-    return " ".join(unicodedata.normalize("NFKC", shown).split())
+    return form_of_look(look(text))
+
+
+def form_of_look(shown: str) -> str:
+    if shown.isascii():
+        return " ".join(shown.lower().split())
+    folded = unicodedata.normalize("NFKC", shown).casefold()
+    return " ".join(unicodedata.normalize("NFKC", folded).split())
 
 
 def _each(texts: pd.Series, f) -> pd.Series:
@@ -127,11 +133,11 @@ def keys(text: Column) -> Column:
             rows = []
             for v in values:
                 shown = look(v)
-                rows.append((_digest(form(v)), _digest(shown), _digest(v)) if shown.strip() else (None, None, None))
+                rows.append((_digest(form_of_look(shown)), _digest(shown), _digest(v)) if shown.strip() else (None, None, None))
             rows.append((None, None, None))
             yield pd.DataFrame([rows[c] for c in codes], columns=["form", "look", "raw"])
 
-    return digests(text)
+    return digests.asNondeterministic()(text)  # so that the optimiser doesn't repeat it in a filter
 
 
 def look_alikes(documents: DataFrame) -> DataFrame:
