@@ -38,8 +38,7 @@ def has_value(c: Column) -> Column:
 def letters_digits(c: Column) -> Column:
     """Letters and digits of the string in order, without regard to case.
 
-    Upper-casing first makes letters equal that differ only in lower case (final
-    sigma) or that expand (sharp s).
+    Final sigma counts as sigma and sharp s as two s.
     """
-    folded = F.translate(F.lower(F.upper(c)), "ς", "σ")
+    folded = F.replace(F.translate(F.lower(F.upper(c)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(folded, r"[^\p{L}\p{Nd}]+", "")

@@ -35,7 +35,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def word_hash(text: Column, dim: int = 128) -> Column:
-    """Offline embedding: words of a-z counted by hash into ``dim`` places, unit length (zeros without words).
+    """Offline embedding: words of a-z counted by hash into ``dim`` places, unit length (zeros without words, null for null).
 
     The place is the first 8 hexadecimal digits of the word's md5, modulo ``dim``.
     """
@@ -43,7 +43,7 @@ def word_hash(text: Column, dim: int = 128) -> Column:
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
     count = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(p, lambda q: q == i)).cast("double"))
     unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n == 0, c).otherwise(F.transform(c, lambda x: x / n)))
-    return let(places, lambda p: let(count(p), unit))
+    return F.when(text.isNotNull(), let(places, lambda p: let(count(p), unit)))
 
 
 def literal_vector(spark: SparkSession, vector: Column) -> Column:

@@ -138,7 +138,7 @@ def upsert_atoms(held: DataFrame, new: DataFrame) -> DataFrame:
 def delete_touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges that touch none of ``ids``: two anti-joins."""
     gone = ids.select("node_id").distinct()
-    return edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "tgt"), "tgt", "left_anti")
+    return edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "tgt"), "tgt", "left_anti").select(*edges.columns)
 
 
 def delete_transient(atoms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
