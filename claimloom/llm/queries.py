@@ -91,7 +91,7 @@ long AS (
   JOIN grouped g ON g.member_id = n.node_id
   WHERE u.value IS NOT NULL AND NOT regexp_matches(u.value, {_BLANK}) AND lower(trim(u.value, E' \t\n\r')) NOT IN ({_VALUES})),
 won AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY version DESC NULLS LAST, updated_at DESC NULLS LAST, node_id, value DESC) = 1)"""
-_BARE = "regexp_replace(translate(lower(upper(coalesce({}, ''))), 'ς', 'σ'), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+_BARE = "regexp_replace(replace(translate(lower(upper(coalesce({}, ''))), 'ς', 'σ'), 'ß', 'ss'), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
 _FIELD = """CASE WHEN regexp_matches(payload, '^\\s*\\{{') THEN coalesce(payload->>'$.{0}', payload->>'$.{1}', payload->>'$.{2}')
   WHEN regexp_matches(payload, '(?i)(^|\\|)\\s*(name|type|level)\\s*=') THEN regexp_extract(payload, '(?i)(?:^|\\|)\\s*{0}\\s*=\\s*([^|\\n]*)', 1)
   ELSE regexp_extract(payload, '(?im)^[ \\t]*{0}[ \\t]*:[ \\t]*([^\\n]*)', 1) END AS {0}"""
