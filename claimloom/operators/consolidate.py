@@ -14,8 +14,10 @@ from claimloom.operators.graph import parents_at, weak_components
 from claimloom.plans.lineage import cut
 from claimloom.plans.ship import ship
 
-#: Vectors of a group compared in one block; larger groups go to one task per pair of blocks.
+#: Vectors of a group compared in one block; larger groups are compared by pairs of blocks.
 BLOCK = 2_000
+#: Rows of pairs of blocks that one call works off together.
+PACK = 8_000
 
 
 def candidates(atoms: DataFrame, edges: DataFrame, level: str) -> DataFrame:
@@ -30,9 +32,9 @@ def similar_in_group(vectors: DataFrame, threshold: float) -> DataFrame:
     """(grp, a, b, cos): pairs a < b of one group with cosine >= threshold, from (grp, node_id, embedding).
 
     A group is cut into blocks of at most ``BLOCK`` vectors by a hash of the id and
-    each pair of its blocks is one matrix product in its own task, so a group of any
-    size is spread; groups are the stated unit of comparison, and no pair leaves
-    the task unless it passes.
+    each pair of its blocks is one matrix product of its own, so a group of any size
+    is spread; many small groups share a call.  Groups are the stated unit of
+    comparison, and no pair leaves the task unless it passes.
     """
     sizes = vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -45,18 +47,23 @@ def similar_in_group(vectors: DataFrame, threshold: float) -> DataFrame:
         m = np.array(pdf["embedding"].tolist(), dtype=np.float64)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         m /= np.where(length == 0, 1.0, length)
-        left, right = (pdf["block"] == pdf["i"]).to_numpy(), (pdf["block"] == pdf["j"]).to_numpy()
-        ids, il, ir = pdf["node_id"].to_numpy(), np.flatnonzero(left), np.flatnonzero(right)
-        cos = m[il] @ m[ir].T
-        a, b = np.nonzero(cos >= threshold)
-        x, y = ids[il[a]], ids[ir[b]]
-        out = pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": x, "b": y, "cos": cos[a, b]})
-        keep = out["a"] < out["b"] if pdf["i"].iloc[0] == pdf["j"].iloc[0] else out["a"] != out["b"]
-        out = out[keep].copy()
-        lo, hi = np.minimum(out["a"], out["b"]), np.maximum(out["a"], out["b"])
-        return out.assign(a=lo, b=hi)[["grp", "a", "b", "cos"]]
-
-    return sent.groupBy("grp", "i", "j").applyInPandas(compare, "grp string, a string, b string, cos double")
+        ids, block, first, second, grp = (pdf[c].to_numpy() for c in ("node_id", "block", "i", "j", "grp"))
+        parts = []
+        for at in pdf.groupby(["grp", "i", "j"], sort=False).indices.values():
+            i, j = first[at[0]], second[at[0]]
+            il, ir = at[block[at] == i], at[block[at] == j]
+            cos = m[il] @ m[ir].T
+            a, b = np.nonzero(cos >= threshold)
+            x, y = ids[il[a]], ids[ir[b]]
+            keep = x < y if i == j else x != y
+            x, y, c = x[keep], y[keep], cos[a, b][keep]
+            if len(x):
+                parts.append(pd.DataFrame({"grp": grp[at[0]], "a": np.minimum(x, y), "b": np.maximum(x, y), "cos": c}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"grp": [], "a": [], "b": [], "cos": []})
+
+    packs = max(1, vectors.count() // PACK)
+    packed = sent.withColumn("pack", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(packs)))
+    return packed.groupBy("pack").applyInPandas(compare, "grp string, a string, b string, cos double")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

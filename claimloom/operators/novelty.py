@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.vectors import cosine
 from claimloom.ontology import LEVEL_WEIGHTS, lookup
+from claimloom.plans.ship import ship
+
+#: Vectors of a proposal that go to the workers at once.
+QUERY_BLOCK = 4_096
+
+
+def _units(vectors) -> np.ndarray:
+    m = np.array(list(vectors), dtype=np.float64)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1.0, length)
 
 
-def directed_minima(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str]) -> DataFrame:
-    """For each vector of ``a`` the smallest cosine distance to each set of ``b`` in the same level.
+def farthest(known: DataFrame, proposal: DataFrame) -> DataFrame:
+    """(level, ib, distance): for each known atom (level, ib, vb) the largest cosine distance to the proposal's (level, va).
 
-    ``a`` is the stated query set (a proposal); it is joined by level, and the
-    minima are combined before the shuffle, so only one number per query vector and
-    set travels.
+    Against a set of one atom this is the Hausdorff distance.  The proposal is the
+    stated query set: it goes to the workers in blocks of ``QUERY_BLOCK`` vectors, and
+    known atoms stay where they are; only one number per atom and block is combined.
     """
-    d = a.join(b, "level").withColumn("d", 1 - cosine(F.col("va"), F.col("vb")))
-    return d.groupBy(*keys_a, *keys_b, "level", "ia").agg(F.min("d").alias("d"))
+    ship(known.sparkSession)
+    parts, block = [], []
+
+    def compare(chunk: list) -> DataFrame:
+        sent = known.sparkSession.sparkContext.broadcast(chunk)  # QUERY_BLOCK vectors at most
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by: dict = {}
+            for level, v in sent.value:
+                by.setdefault(level, []).append(v)
+            mine = {level: _units(v) for level, v in by.items()}
+            for pdf in batches:
+                for level, rows in pdf.groupby("level"):
+                    if level in mine:
+                        yield pd.DataFrame({"level": level, "ib": rows["ib"].to_numpy(), "distance": (1 - _units(rows["vb"]) @ mine[level].T).max(axis=1)})
+
+        return known.select("level", "ib", "vb").mapInPandas(run, "level string, ib string, distance double")
+
+    for row in proposal.select("level", "va").toLocalIterator():
+        block.append((row[0], [float(x) for x in row[1]]))
+        if len(block) == QUERY_BLOCK:
+            parts.append(compare(block))
+            block = []
+    if block or not parts:
+        parts.append(compare(block))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("level", "ib").agg(F.max("distance").alias("distance"))
 
 
 def hausdorff(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -89,8 +89,7 @@ def novelty_argmin(spark, d):
     u = _usable(spark, d)
     mine = u.where("status = 'transient'").select("level", F.col("node_id").alias("ia"), F.col("embedding").alias("va"))
     known = u.where("status <> 'transient'").select("level", F.col("node_id").alias("ib"), F.col("embedding").alias("vb"))
-    pairs = known.join(mine, "level").select("level", "ib", "ia", (1 - cosine(F.col("va"), F.col("vb"))).alias("d"))
-    per = cut(pairs.groupBy("level", "ib").agg(F.max("d").alias("distance")))  # against one atom the distance is the largest
+    per = cut(novelty.farthest(known, mine))
     chains = graph.trajectories(_keys(spark, d), atoms_(spark, d), O.TRUSTED_STATUSES)
     parts = [chains.where(F.col(f"w{i}").isNotNull()).select(F.col("w5").alias("trajectory"), F.col(f"w{i}").alias("ib")) for i in range(1, 6)]
     members = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
