@@ -459,6 +459,8 @@ _LINES = f"""lnk AS (SELECT ek.src AS node_id, 0 AS d, relation, tgt AS o, '- '
 _ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _Q1 = f"SELECT {_hash_sql("'atom: " + QUESTION + "'")} AS v"
 _Q2 = f"SELECT {_hash_sql("'code: " + QUESTION + "'")} AS v"
+_JSON = lambda c: f"CAST(to_json(coalesce({c}, '')) AS VARCHAR)"
+_FRONT = [("type", _JSON("p.type")), ("title", _JSON("p.name")), ("description", _JSON("substr(p.context, 1, 500)")), ("resource", _JSON("p.source_pdf")), ("tags", "coalesce(p.tags, '[]')"), ("timestamp", _JSON("strftime(p.updated_at, '%Y-%m-%d %H:%M:%S')")), (f"{okf.PREFIX}_node_id", _JSON("p.node_id")), (f"{okf.PREFIX}_level", _JSON("p.level")), (f"{okf.PREFIX}_status", _JSON("p.status")), (f"{okf.PREFIX}_provenance", "coalesce(p.provenance, '{}')")]
 _UPW = "upw AS (SELECT src, arg_min(tgt, (-coalesce(weight, 1.0), tgt)) AS nxt FROM edg WHERE relation = 'aggregates_to' GROUP BY src)"
 
 SQL: dict[str, str] = {
@@ -530,6 +532,17 @@ SQL: dict[str, str] = {
     "atom_feed_parse": "SELECT doc_id, trim(coalesce(section, '') || ' of') AS title, coalesce(lang, '') AS summary, '2021' AS year FROM documents",
     "slugify": f"WITH {CUR} SELECT node_id, {_SLUG.format('name')} AS slug FROM cur",
     "okf_relation_lines": f"WITH {CUR}, {KEY}, {_LINES} SELECT node_id, string_agg(line, chr(10) ORDER BY d, relation, o) AS lines FROM lnk GROUP BY node_id",
+    "okf_concepts": f"""WITH {CUR}, {PROV}, {KEY}, {_LINES}, l AS (SELECT node_id, string_agg(line, chr(10) ORDER BY d, relation, o) AS lines FROM lnk GROUP BY node_id),
+      c AS (SELECT {_PATH.format('p')} AS path, '---' || chr(10) || {" || ".join(f"'{k}: ' || {v} || chr(10)" for k, v in _FRONT)} || '---' || chr(10) || chr(10) || p.context || chr(10)
+        || CASE WHEN length(code_body) > 0 THEN chr(10) || '## Code' || chr(10) || '```python' || chr(10) || code_body || chr(10) || '```' || chr(10) ELSE '' END
+        || CASE WHEN lines IS NOT NULL THEN chr(10) || '## Relations' || chr(10) || lines || chr(10) ELSE '' END
+        || CASE WHEN p.provenance IS NOT NULL THEN chr(10) || '## Provenance' || chr(10) || '```json' || chr(10) || p.provenance || chr(10) || '```' || chr(10) ELSE '' END AS content
+        FROM prov p LEFT JOIN l ON l.node_id = p.node_id)
+      SELECT path, length(content)::INT AS n_chars, md5(content) AS digest FROM c""",
+    "graphml_lines": f"""WITH {CUR}, {KEY}, a AS (SELECT 0 AS part, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' AS line UNION ALL SELECT 3, '</graph></graphml>'
+      UNION ALL SELECT 1, '<node id="' || {_ESC.format('node_id')} || '"><data key="label">' || {_ESC.format("coalesce(name, '')")} || '</data><data key="type">' || coalesce(type, 'null') || '</data><data key="level">' || coalesce(level, 'null') || '</data></node>' FROM cur
+      UNION ALL SELECT 2, '<edge source="' || {_ESC.format('src')} || '" target="' || {_ESC.format('tgt')} || '"><data key="relation">' || coalesce(relation, 'null') || '</data></edge>' FROM ek)
+      SELECT part, count(*) AS n, sum(length(line))::BIGINT AS n_chars FROM a GROUP BY part""",
     "okf_index": f"WITH {CUR} SELECT level, '- [' || coalesce(name, '') || '](' || {_PATH.format('cur')} || ')  · `' || type || '` · ' || status AS line FROM cur",
     "okf_log": f"WITH {CUR} SELECT coalesce(strftime(updated_at, '%Y-%m-%d %H:%M:%S'), '') AS at, node_id, '- ' || coalesce(strftime(updated_at, '%Y-%m-%d %H:%M:%S'), '?') || ' · `' || node_id || '` · ' || coalesce(name, '') || ' · ' || status AS line FROM cur",
     "okf_parse_relations": f"WITH {CUR}, {KEY}, {_LINES} SELECT {_PATH.format('cur')} AS path, CASE WHEN relation IN {_in(O.HORIZONTAL + O.HIERARCHY)} THEN relation ELSE 'related_to' END AS relation, d = 1 AS incoming, target, o AS node_id FROM lnk JOIN cur USING (node_id)",

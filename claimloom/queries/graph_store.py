@@ -294,7 +294,7 @@ SQL: dict[str, str] = {
     "scan_level_status": f"WITH {CUR} SELECT node_id, name, version FROM cur WHERE level = 'W4_implementation' AND type = 'solution' AND status = 'active'",
     "scan_tag_domain": f"""WITH {CUR} SELECT node_id, level FROM cur WHERE list_contains(CAST(json_extract_string(tags, '$[*]') AS VARCHAR[]), 'domain:marl')""",
     "point_lookup_batch": f"WITH {CUR} SELECT node_id, name, type, level FROM cur WHERE node_id IN (SELECT canonical_id FROM merge_decisions)",
-    "vectors_by_level": f"WITH {CUR} SELECT node_id, len(embedding) AS dim FROM cur WHERE level = 'W2_direction' AND len(embedding) > 0",
+    "vectors_by_level": f"WITH {CUR} SELECT node_id, len(embedding)::INT AS dim FROM cur WHERE level = 'W2_direction' AND len(embedding) > 0",
     "edge_targets_sources": f"WITH {KEY}, {_CANON} {_ENDS}",
     "decode_atoms": f"WITH {CUR}, {PROV} SELECT node_id, context, status, phase, code_span, raw_citation, round(score, 6) AS score, coalesce(json_array_length(tags), 0)::INT AS n_tags FROM prov",
     "graph_view_dangling": f"WITH {CUR}, {EDG} SELECT src, tgt, relation, s.type AS src_type, s.level AS src_level, t.type AS tgt_type, t.level AS tgt_level FROM edg JOIN cur s ON s.node_id = src JOIN cur t ON t.node_id = tgt",
