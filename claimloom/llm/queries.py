@@ -104,8 +104,8 @@ copies AS (SELECT DISTINCT f.first_id, b.id AS copy_id FROM bare b JOIN firsts f
 _LEAKS = """
 w_docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 w_items AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-g_docs AS (SELECT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM w_docs, unnest(generate_series(1, len(w) - 12)) AS s(i)),
-g_items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM w_items, unnest(generate_series(1, len(w) - 12)) AS s(i)),
+g_docs AS (SELECT doc_id, i AS p, array_to_string(w[i:i + 12], ' ') AS g FROM w_docs, unnest(generate_series(1, len(w) - 12)) AS s(i)),
+g_items AS (SELECT DISTINCT item_id, i AS q, array_to_string(w[i:i + 12], ' ') AS g FROM w_items, unnest(generate_series(1, len(w) - 12)) AS s(i)),
 leaks AS (SELECT DISTINCT doc_id, item_id FROM g_docs JOIN g_items USING (g))"""
 
 SQL: dict[str, str] = {
@@ -121,5 +121,8 @@ SQL: dict[str, str] = {
     "p5_copies": f"WITH {_COPIES} SELECT first_id, count(*) + 1 AS n_copies FROM copies GROUP BY first_id",
     "p6_found": f"WITH RECURSIVE {_GROUPS} SELECT group_id, member_id FROM grouped WHERE group_id <> member_id",
     "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p9_longest": f"""WITH {_LEAKS}, m AS (SELECT doc_id, item_id, p, p - q AS shift FROM g_docs JOIN g_items USING (g)),
+      runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS run FROM m)
+      SELECT doc_id, item_id, max(n) + 12 AS n_words FROM (SELECT doc_id, item_id, count(*) AS n FROM runs GROUP BY doc_id, item_id, shift, run) GROUP BY doc_id, item_id""",
     "p9_kept": f"WITH {_LEAKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }
