@@ -57,12 +57,14 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame
     return rows.mapInArrow(check, "id string, v binary")
 
 
-def _pivots(units: DataFrame, n: int, dim: int) -> np.ndarray:
-    """Pivots: a bounded number of vectors, chosen by a hash of their bytes, so alike in every run."""
+def _pivots(distinct: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Pivots: a bounded number of the ``n`` distinct vectors (k, v), chosen by their hash, so alike in every run."""
     want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // PER_PIVOT), max(n, 1)))
-    share = min(1.0, 2.0 * want / max(n, 1))
-    bar = int(share * 2**31)
-    some = units.where(F.pmod(F.xxhash64("v"), F.lit(2**31)) <= bar).select("v").orderBy(F.xxhash64("v", F.lit(1)), "v").limit(min(want, SAMPLE)).collect()
+    bar = int(min(1.0, 2.0 * want / max(n, 1)) * 2**31)
+    first = lambda rows: rows.orderBy(F.xxhash64("v", F.lit(1)), "v").select("v").limit(min(want, SAMPLE)).collect()
+    some = first(distinct.where(F.pmod("k", F.lit(2**31)) <= bar))
+    if len(some) < want:  # the hash left too few
+        some = first(distinct)
     return np.stack([np.frombuffer(r[0], dtype=np.float32) for r in some]) if some else np.zeros((0, dim), np.float32)
 
 
@@ -185,7 +187,7 @@ def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str =
     distinct = ids.select("k", "v").dropDuplicates(["k"])
     members = cut(ids.select("k", "id").distinct())
     n_members = members.count()
-    pivots = _pivots(ids, n_members, dim)
+    pivots = _pivots(distinct, members.select("k").distinct().count(), dim)
     if n_members < 2:
         return members.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
     orders = cut(_orders(distinct, pivots, order))

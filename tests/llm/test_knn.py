@@ -65,3 +65,14 @@ def test_footrule_is_what_ranks():
     vecs[1] = vecs[2] = vecs[0]
     q, r, c = knn.nearest_in_file(np.array([10, 11, 12]), vecs, perms, k=1, min_cos=-1, rerank=1)
     assert dict(zip(q.tolist(), r.tolist(), strict=True))[10] == 11 and c[0] == pytest.approx(1.0)
+
+
+def test_recall_when_four_ids_hold_each_vector(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1500, 64))
+    vecs = [(f"{i:04}{j}", c + 0.2 * rng.normal(size=64)) for i, c in enumerate(centres) for j in range(2)]
+    held = [(f"{i}_{c}", v) for i, v in vecs for c in range(4)]
+    # k = 7: the three copies, then the four of the other vector
+    got = {(a[:5], b[:5]) for a, b in knn.similar_pairs(data(spark, held), k=7).collect() if a[:5] != b[:5]}
+    want = truth(vecs, 1, 0.9)
+    assert len(want) > 1000 and len(got & want) / len(want) >= 0.95
