@@ -1,14 +1,16 @@
 """Most similar vectors for every vector (problem 2): a permutation index with pivot inverted files.
 
 Every vector is represented by its nearest pivots in order.  It is posted in the
-inverted files of the first few of them.  Within a file, the vectors are ranked for
-each vector by the footrule distance of their pivot orders, and the best of them
-are compared by their true cosine.
+inverted files of the first few of them.  Files that grow too large are split by
+pivots of their own until they fit.  Within a file, every vector is compared with all
+others by their true cosine; on request only with the best by the footrule distance
+of their pivot orders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,12 @@ MIN_PIVOTS, MAX_PIVOTS = 16, 2048
 PER_PIVOT = 200
 #: Length of a vector's order of pivots, and in how many files it is posted.
 ORDER, POSTINGS = 12, 4
-#: So many of a file, nearest by footrule, are compared by cosine.
-RERANK = 48
-#: Files beyond this are split by the next pivot of each vector; beyond it still, they are worked off in overlapping windows.
+#: Files beyond this are split by pivots of their own until they fit.
 FILE = 4_000
-#: At most so many files are split, so their list may be sent to all workers.
+#: At most so many files are split at once, so their pivots may be sent to all workers.
 MAX_SPLIT = 4_096
+#: Most pivots of one split file, and in how many of its parts a vector is posted.
+LOCAL_PIVOTS, LOCAL_POSTINGS = 32, 2
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -89,65 +91,143 @@ def _orders(units: DataFrame, pivots: np.ndarray, order: int) -> DataFrame:
     return units.mapInArrow(rank, "k bigint, v binary, perm array<smallint>")
 
 
-def _postings(orders: DataFrame, n: int, postings: int) -> DataFrame:
-    """Each vector once per file it is posted in; large files are split by the next pivot.
+def _postings(orders: DataFrame, postings: int) -> DataFrame:
+    """(file, k, v, perm): each vector once per file it is posted in."""
+    return orders.select(F.explode(F.slice("perm", 1, postings).cast("array<bigint>")).alias("file"), "k", "v", "perm")
 
-    How many vectors a file has is counted before the shuffle.  A vector of a file
-    that is split goes to the two parts named by its two next pivots.
+
+def _local_pivots(files: DataFrame, large: dict[int, int]) -> dict[int, np.ndarray]:
+    """Pivots of each large file, from its own vectors by hash: at most ``LOCAL_PIVOTS`` of at most ``MAX_SPLIT`` files."""
+    listed = files.sparkSession.createDataFrame([(f, n) for f, n in large.items()], "file bigint, n bigint")
+    mix = F.xxhash64("k", "file")
+    some = files.join(F.broadcast(listed), "file").where(F.pmod(mix, F.lit(2**31)) <= (F.least(F.lit(1.0), 4.0 * LOCAL_PIVOTS / F.col("n")) * 2**31).cast("bigint"))
+    first = some.withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy(mix, "k"))).where(F.col("i") <= LOCAL_PIVOTS)
+    first = first.where(F.col("i") <= F.greatest(F.lit(4.0), F.ceil(2.0 * LOCAL_POSTINGS * F.col("n") / FILE)))
+    found: dict[int, list] = {}
+    for f, v in first.select("file", "v").collect():
+        found.setdefault(f, []).append(np.frombuffer(v, dtype=np.float32))
+    return {f: np.stack(sorted(vs, key=bytes)) for f, vs in found.items() if len(vs) > 1}
+
+
+def _split(files: DataFrame, pivots: dict[int, np.ndarray], start: int) -> tuple[DataFrame, int]:
+    """The files of ``pivots``, each vector posted at its nearest pivots; and the first free file number."""
+    first = {}
+    for f, p in pivots.items():
+        first[f], start = start, start + len(p)
+    sent = files.sparkSession.sparkContext.broadcast((pivots, first))
+    ship(files.sparkSession)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, first = sent.value
+        for b in batches:
+            file, v = np.asarray(b.column("file")), b.column("v")
+            m = np.frombuffer(b"".join(v.to_pylist()), dtype=np.float32).reshape(len(v), -1)
+            to = np.empty((len(m), LOCAL_POSTINGS), np.int64)
+            by = np.argsort(file, kind="stable")
+            for at in np.split(by, np.flatnonzero(np.diff(file[by])) + 1) if len(by) else []:
+                f = int(file[at[0]])
+                # seen from their middle, as vectors of one file may differ by little
+                mid = pivots[f].mean(axis=0)
+                p = pivots[f] - mid
+                near = (m[at] - mid) @ p.T - (p * p).sum(axis=1) / 2
+                to[at] = first[f] + np.argsort(-near, axis=1, kind="stable")[:, :LOCAL_POSTINGS]
+            twice = b.take(pa.array(np.repeat(np.arange(len(m)), LOCAL_POSTINGS)))
+            names = ["k", "v", "perm", "was"]
+            yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1)), *(twice.column(c) for c in names)], ["file", *names])
+
+    return files.mapInArrow(post, "file bigint, k bigint, v binary, perm array<smallint>, was bigint"), start
+
+
+def _in_blocks(files: DataFrame, large: dict[int, int], start: int) -> tuple[DataFrame, int]:
+    """Files that pivots don't split, as one file for every two of their blocks, so that all vectors still meet."""
+    plan = []
+    for f, n in large.items():
+        blocks = -(-2 * n // FILE)
+        plan.append((f, blocks, start))
+        start += blocks * blocks
+    listed = files.sparkSession.createDataFrame(plan, "file bigint, blocks bigint, start bigint")
+    mine = files.join(F.broadcast(listed), "file").withColumn("a", F.pmod(F.xxhash64("k", F.lit(2)), F.col("blocks")))
+    mine = mine.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return mine.select((F.col("start") + F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).alias("file"), "k", "v", "perm"), start
+
+
+def _fitting(files: DataFrame) -> DataFrame:
+    """``files`` with those of more than ``FILE`` vectors split, over and over, until all fit.
+
+    A part that holds more than three quarters of the file it comes from isn't split
+    by pivots again, but in blocks of which each meets each.
+    """
+    spark = files.sparkSession
+    keep = ["file", "k", "v", "perm"]
+    files, start, done = files.withColumn("was", F.lit(None).cast("bigint")), MAX_PIVOTS, []
+    while True:
+        over = files.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("was")).where(F.col("n") > FILE)
+        over = cut(over)
+        now = over.orderBy("file").limit(MAX_SPLIT).collect()
+        if not now:
+            return reduce(DataFrame.unionByName, [*done, files.select(*keep)])
+        done.append(files.join(over.select("file"), "file", "left_anti").select(*keep))
+        stuck = {r["file"]: r["n"] for r in now if r["was"] is not None and r["n"] > 0.75 * r["was"]}
+        large = {r["file"]: r["n"] for r in now if r["file"] not in stuck}
+        pivots = _local_pivots(files, large) if large else {}
+        stuck |= {f: n for f, n in large.items() if f not in pivots}
+        if stuck:
+            blocks, start = _in_blocks(files, stuck, start)
+            done.append(blocks)
+        sizes = spark.createDataFrame([(f, large[f]) for f in pivots], "file bigint, size bigint")
+        parts, start = _split(files.join(F.broadcast(sizes), "file").select(*keep, F.col("size").alias("was")), pivots, start)
+        later = spark.createDataFrame([(r["file"],) for r in now], "file bigint")
+        rest = files.join(over.select("file"), "file", "left_semi").join(F.broadcast(later), "file", "left_anti")
+        files = cut(parts.unionByName(rest) if len(now) == MAX_SPLIT else parts)
+
+
+def nearest_in_file(keys: np.ndarray, vecs: np.ndarray, perms: np.ndarray, k: int, min_cos: float, rerank: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector of a file its ``k`` nearest of the file by cosine.
+
+    With ``rerank``, only so many nearest by footrule are compared, and all that tie
+    with the last of them.
     """
-    first = orders.select("k", "v", "perm", F.explode(F.slice("perm", 1, postings)).alias("p"))
-    bar = max(FILE, n * postings // MAX_SPLIT)
-    large = orders.select(F.explode(F.slice("perm", 1, postings)).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bar).select("p", F.lit(True).alias("large"))
-    marked = first.join(F.broadcast(large), "p", "left")
-    rest = F.slice(F.array_remove(F.slice("perm", 1, postings + 2), F.col("p")), 1, 2)
-    second = F.when(F.col("large"), rest.cast("array<int>")).otherwise(F.array(F.lit(-1)))
-    split = marked.select("k", "v", "perm", "p", F.explode(second).alias("q"))
-    file = F.when(F.col("q") < 0, F.col("p").cast("int")).otherwise(F.least(F.col("p").cast("int"), F.col("q")) * MAX_PIVOTS + F.greatest(F.col("p").cast("int"), F.col("q")) + MAX_PIVOTS)
-    return split.select(file.alias("file"), "k", "v", "perm")
-
-
-def nearest_in_file(keys: np.ndarray, vecs: np.ndarray, perms: np.ndarray, k: int, min_cos: float, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each vector of a file its ``k`` nearest of the file: footrule first, then cosine."""
     n, length = perms.shape
-    local, flat = np.unique(perms, return_inverse=True)
-    flat = flat.reshape(n, length)
-    # weight[p, x]: length minus the place of pivot p in x's order, 0 if it isn't there
-    weight = np.zeros((len(local), n), np.uint8)
-    weight[flat, np.arange(n)[:, None]] = np.arange(length, 0, -1, dtype=np.uint8)
-    take = min(rerank, n - 1)
+    if rerank is not None:
+        local, flat = np.unique(perms, return_inverse=True)
+        flat = flat.reshape(n, length)
+        # weight[p, x]: length minus the place of pivot p in x's order, 0 if it isn't there
+        weight = np.zeros((len(local), n), np.uint8)
+        weight[flat, np.arange(n)[:, None]] = np.arange(length, 0, -1, dtype=np.uint8)
     qs, rs, cs = [], [], []
     step = max(1, 2_000_000 // max(n, 1))
     for i in range(0, n, step):
         rows = np.arange(i, min(i + step, n))
-        # footrule distance = 2 * (sum of 1..length - shared); the more is shared, the nearer
-        shared = np.zeros((len(rows), n), np.uint8)
-        for j in range(length):
-            shared += np.minimum(weight[flat[rows, j]], np.uint8(length - j))
-        shared[np.arange(len(rows)), rows] = 0
-        near = np.argpartition(shared, n - take, axis=1)[:, n - take :] if take < n - 1 else np.tile(np.arange(n), (len(rows), 1))
-        cos = np.einsum("ij,ikj->ik", vecs[rows], vecs[near])
-        cos[near == rows[:, None]] = -2
-        cos[cos < min_cos - 1e-5] = -2
-        hit = (cos > -2).any(axis=1)
-        if not hit.any():
+        cos = vecs[rows] @ vecs.T
+        if rerank is not None and rerank < n - 1:
+            # footrule distance = 2 * (sum of 1..length - shared); the more is shared, the nearer
+            shared = np.zeros((len(rows), n), np.int16)
+            for j in range(length):
+                shared += np.minimum(weight[flat[rows, j]], np.uint8(length - j))
+            shared[np.arange(len(rows)), rows] = -1
+            cos[shared < np.partition(shared, n - rerank, axis=1)[:, n - rerank, None]] = -2
+        cos[np.arange(len(rows)), rows] = -2
+        low = np.full(len(rows), min_cos - 1e-5, np.float32)
+        many = np.flatnonzero((cos >= low[0]).sum(axis=1) > k)
+        if len(many):  # the k best, and what the precision can't tell from the last of them
+            low[many] = np.maximum(low[many], np.partition(cos[many], n - k, axis=1)[:, n - k] - 2e-6)
+        q, r = np.nonzero(cos >= low[:, None])
+        if not len(q):
             continue
-        rows, near, cos = rows[hit], near[hit], cos[hit]
-        best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        c = np.take_along_axis(cos, best, 1)
-        r = np.take_along_axis(near, best, 1)
-        keep = c > -2
-        q = np.repeat(rows[:, None], best.shape[1], 1)[keep]
-        r = r[keep]
-        true = np.einsum("ij,ij->i", vecs[q].astype(np.float64), vecs[r].astype(np.float64))
-        qs.append(keys[q])
-        rs.append(keys[r])
-        cs.append(true)
+        true = np.concatenate([np.einsum("ij,ij->i", vecs[rows[q[a : a + 50_000]]].astype(np.float64), vecs[r[a : a + 50_000]].astype(np.float64)) for a in range(0, len(q), 50_000)])
+        by = np.lexsort((keys[r], -true, q))
+        q, r, true = q[by], r[by], true[by]
+        heads = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        best = np.arange(len(q)) - np.repeat(heads, np.diff(np.r_[heads, len(q)])) < k
+        qs.append(keys[rows[q[best]]])
+        rs.append(keys[r[best]])
+        cs.append(true[best])
     if not qs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(qs), np.concatenate(rs), np.concatenate(cs)
 
 
-def _work_off(postings: DataFrame, k: int, min_cos: float, rerank: int, window: int) -> DataFrame:
+def _work_off(postings: DataFrame, k: int, min_cos: float, rerank: int | None) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         keys = np.asarray(table.column("k").combine_chunks(), dtype=np.int64)
         perms = np.asarray(table.column("perm").combine_chunks().flatten(), dtype=np.int16).reshape(len(keys), -1)
@@ -157,18 +237,13 @@ def _work_off(postings: DataFrame, k: int, min_cos: float, rerank: int, window:
             return pa.table({"q": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
         raw = table.column("v").to_pylist()
         vecs = np.frombuffer(b"".join([raw[i] for i in at]), dtype=np.float32).reshape(len(keys), -1)
-        if len(keys) <= 2 * window:
-            parts = [nearest_in_file(keys, vecs, perms, k, min_cos, rerank)]
-        else:  # neighbours by order of pivots, in windows that overlap by half
-            by = np.lexsort(perms.T[::-1])
-            parts = [nearest_in_file(keys[w], vecs[w], perms[w], k, min_cos, rerank) for i in range(0, len(by) - window, window) for w in [by[i : i + 2 * window]]]
-        q, r, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        q, r, c = nearest_in_file(keys, vecs, perms, k, min_cos, rerank)
         return pa.table({"q": q, "r": r, "cos": c})
 
     return postings.groupBy("file").applyInArrow(one, "q bigint, r bigint, cos double")
 
 
-def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str = "embedding", dim: int = 64, k: int = 5, min_cos: float = -1.0, postings: int = POSTINGS, order: int = ORDER, rerank: int = RERANK) -> DataFrame:
+def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str = "embedding", dim: int = 64, k: int = 5, min_cos: float = -1.0, postings: int = POSTINGS, order: int = ORDER, rerank: int | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): for every id its ``k`` most similar others of at least ``min_cos``.
 
     Usable are vectors of ``dim`` finite numbers that are not all zero; rows with
@@ -178,8 +253,9 @@ def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str =
     other's nearest.  Ties go to the smaller id.  Fewer than two usable ids give no
     rows.
 
-    Approximate: a neighbour is missed if it shares no file with the vector or is not
-    among the ``rerank`` best by footrule in any.  The pivots are a bounded sample
+    Approximate: a neighbour is missed if it shares no file with the vector or, if
+    ``rerank`` is given, is not among so many best by footrule in any (ties with the
+    last of them are compared too).  The pivots are a bounded sample
     (at most ``MAX_PIVOTS``); every vector is indexed.
     """
     ids = usable(vectors, id_col, vec_col, dim).select("id", "v", F.xxhash64("v").alias("k"))
@@ -191,8 +267,7 @@ def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str =
     if n_members < 2:
         return members.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
     orders = cut(_orders(distinct, pivots, order))
-    n = orders.count()
-    near = _work_off(_postings(orders, n, postings), k, min_cos, rerank, FILE)
+    near = _work_off(_fitting(_postings(orders, postings)), k, min_cos, rerank)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cos").desc(), "r"))
     top = near.dropDuplicates(["q", "r"]).withColumn("n", rank).where(F.col("n") <= k).select("q", "r", "cos")
     # the ids that may stand for a vector: its k + 1 smallest

@@ -76,3 +76,27 @@ def test_recall_when_four_ids_hold_each_vector(spark):
     got = {(a[:5], b[:5]) for a, b in knn.similar_pairs(data(spark, held), k=7).collect() if a[:5] != b[:5]}
     want = truth(vecs, 1, 0.9)
     assert len(want) > 1000 and len(got & want) / len(want) >= 0.95
+
+
+def dense(n, others):
+    """A cluster of mean cosine 0.97 among others, with the indices of each member's five nearest."""
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=64)
+    pairs = [(f"d{i:04}", c + 0.17 * rng.normal(size=64)) for i in range(n)] + [(f"z{i:04}", rng.normal(size=64)) for i in range(others)]
+    return pairs, truth(pairs, 5, 0.9)
+
+
+def test_recall_in_a_cluster_of_a_third(spark):
+    pairs, want = dense(1200, 2400)
+    got = {tuple(r) for r in knn.similar_pairs(data(spark, pairs)).collect()}
+    assert len(got & want) / len(want) >= 0.95
+
+
+def test_files_that_pivots_do_not_split_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FILE", 100)
+    monkeypatch.setattr(knn, "_local_pivots", lambda files, large: {})
+    pairs, want = dense(300, 100)
+    got = {tuple(r) for r in knn.similar_pairs(data(spark, pairs), postings=1, order=1).collect()}
+    monkeypatch.setattr(knn, "FILE", 4000)
+    whole = {tuple(r) for r in knn.similar_pairs(data(spark, pairs), postings=1, order=1).collect()}
+    assert got == whole
