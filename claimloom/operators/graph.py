@@ -196,24 +196,101 @@ def downward_expand(edges: DataFrame, atoms: DataFrame, starts: DataFrame, targe
     return seen
 
 
-def best_ancestors(edges: DataFrame, atoms: DataFrame, seeds: DataFrame, level: str, damping: float = 0.5, rounds: int = 6) -> DataFrame:
+#: Ranking from seeds goes on until what is still to come is at most this part of a score.
+REST = 1e-10
+#: Pairs of seed and node that one task ranks at once, unless a single seed has more.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _rank_reached(src: np.ndarray, tgt: np.ndarray, n: int, seeds: np.ndarray, damping: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index into seeds, node, score) of every node each seed reaches, iterated until the scores stand."""
+    order = np.argsort(src, kind="stable")
+    t = tgt[order]
+    degree = np.bincount(src, minlength=n)
+    first = np.r_[0, np.cumsum(degree)]
+
+    def arcs_of(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index into ``nodes`` and target of every arc out of them."""
+        d = degree[nodes]
+        at = np.repeat(np.arange(len(nodes)), d)
+        return at, t[np.repeat(first[nodes] - np.r_[0, np.cumsum(d)[:-1]], d) + np.arange(d.sum())] if len(nodes) else t[:0]
+
+    todo = [np.arange(len(seeds))]
+    while todo:
+        mine = todo.pop()
+        if not len(mine):
+            continue
+        # a pair is its seed's place in ``mine`` times n, plus the node
+        start = np.arange(len(mine)) * n + seeds[mine]
+        pairs = front = start
+        while len(front) and (len(pairs) <= PAIRS_AT_ONCE or len(mine) == 1):
+            at, to = arcs_of(front % n)
+            front = np.setdiff1d(front[at] // n * n + to, pairs)
+            pairs = np.union1d(pairs, front)
+        if len(front):  # too many at once
+            todo += [mine[len(mine) // 2 :], mine[: len(mine) // 2]]
+            continue
+        at, to = arcs_of(pairs % n)
+        into = np.searchsorted(pairs, pairs[at] // n * n + to)
+        give = damping / degree[pairs[at] % n]
+        reset = np.zeros(len(pairs))
+        reset[np.searchsorted(pairs, start)] = 1 - damping
+        p = reset
+        while True:
+            nxt = reset + np.bincount(into, p[at] * give, minlength=len(pairs))
+            if ((nxt - p <= REST * (1 - damping) * nxt).all() and (nxt > 0).all()) or np.array_equal(nxt, p):
+                break
+            p = nxt
+        yield mine[pairs // n], pairs % n, nxt
+
+
+def _ranks_one_task(arcs: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
+    ship(arcs.sparkSession)
+    rows = arcs.select("src", "tgt").unionByName(seeds.select(F.col("node_id").alias("src"), F.lit(None).cast("string").alias("tgt")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_ = pd.concat([*batches, pd.DataFrame({"src": [], "tgt": []}, dtype=object)], ignore_index=True)
+        edge = all_["tgt"].notna()
+        names = pd.Index(pd.unique(pd.concat([all_["src"], all_.loc[edge, "tgt"]])))
+        seed = names.get_indexer(all_.loc[~edge, "src"])
+        for s, x, p in _rank_reached(names.get_indexer(all_.loc[edge, "src"]), names.get_indexer(all_.loc[edge, "tgt"]), len(names), seed, damping):
+            for i in range(0, len(s), 100_000):
+                w = slice(i, i + 100_000)
+                yield pd.DataFrame({"seed": names[seed[s[w]]], "node_id": names[x[w]], "p": p[w]})
+
+    return rows.coalesce(1).mapInPandas(run, "seed string, node_id string, p double")
+
+
+def _ranks_by_joins(arcs: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
+    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    out = cut(arcs.join(degree, "src"))
+    start = cut(seeds.select(F.col("node_id").alias("seed"), "node_id").withColumn("p", F.lit(1 - damping)))
+    p, reached, quiet = start, start.count(), 0
+    while damping**quiet > REST:
+        got = p.join(out.withColumnRenamed("src", "node_id"), "node_id").select("seed", F.col("tgt").alias("node_id"), (damping * F.col("p") / F.col("degree")).alias("p"))
+        nxt = cut(got.unionByName(start).groupBy("seed", "node_id").agg(F.sum("p").alias("p")))
+        if p is not start:
+            forget(p)
+        p, before, reached = nxt, reached, nxt.count()
+        quiet = quiet + 1 if reached == before else 0
+    return p
+
+
+def best_ancestors(edges: DataFrame, atoms: DataFrame, seeds: DataFrame, level: str, damping: float = 0.5, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(seed, node_id, score): for every seed the best-ranked atom of a level by PageRank from the seed.
 
     All seeds are ranked at once on the directed graph, as rows keyed by seed and
-    node; mass that leaves a seed's reach is not kept.  Only hierarchy edges carry
-    rank, so each seed's rows stay as few as its relatives.  Ties go to the smaller id.
+    node, until no seed reaches a new node and the scores stand to ten digits; mass
+    that leaves a seed's reach is not kept.  Only hierarchy edges carry rank, so each
+    seed's rows stay as few as its relatives.  Scores are compared by their first
+    digits, however small, so far ancestors are ranked too; ties go to the smaller
+    id.  Graphs of at most ``one_task_edges`` arcs are ranked in one task.
     """
-    arcs = edges.where(F.col("relation").isin("aggregates_to", "decomposes_into") & (F.col("src") != F.col("tgt"))).select("src", "tgt").distinct()
-    degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    out = cut(arcs.join(degree, "src"))
-    start = cut(seeds.select(F.col("node_id").alias("seed"), "node_id").distinct().withColumn("p", F.lit(1.0)))
-    p = start
-    for i in range(rounds):
-        got = p.join(out.withColumnRenamed("src", "node_id"), "node_id").groupBy("seed", F.col("tgt").alias("node_id")).agg(F.sum(damping * F.col("p") / F.col("degree")).alias("p"))
-        p = got.unionByName(start.withColumn("p", F.lit(1 - damping))).groupBy("seed", "node_id").agg(F.sum("p").alias("p"))
-        p = cut(p) if i % 2 else p
+    arcs = cut(edges.where(F.col("relation").isin("aggregates_to", "decomposes_into") & (F.col("src") != F.col("tgt"))).select("src", "tgt").distinct())
+    from_ = seeds.select("node_id").distinct()
+    p = (_ranks_one_task if arcs.count() <= one_task_edges else _ranks_by_joins)(arcs, from_, damping)
     of_level = atoms.where(F.col("level") == level).select("node_id")
-    best = Window.partitionBy("seed").orderBy(F.round("p", 9).desc(), "node_id")
+    best = Window.partitionBy("seed").orderBy(F.round(F.log("p"), 8).desc(), "node_id")
     return p.join(of_level, "node_id").withColumn("n", F.row_number().over(best)).where("n = 1").select("seed", "node_id", F.round("p", 6).alias("score"))
 
 

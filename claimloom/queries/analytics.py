@@ -19,6 +19,7 @@ from claimloom.schema import edge_keys, with_provenance
 from claimloom.sources import okf, report
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Rounds of the SQL equivalents, fewer than the queries run.
 ROUNDS = 10
 QUESTION = "recurrent credit assignment under sparse rewards for team play"
 
@@ -120,7 +121,7 @@ def trajectories_tree(spark, d):
 
 def best_ancestor(spark, d):
     a = atoms_(spark, d)
-    return graph.best_ancestors(_keys(spark, d), a, a.where("level = 'W5_code'"), "W4_implementation", rounds=3)
+    return graph.best_ancestors(_keys(spark, d), a, a.where("level = 'W5_code'"), "W4_implementation")
 
 
 def ppr_fixed_k(spark, d):
@@ -128,14 +129,14 @@ def ppr_fixed_k(spark, d):
     seeds = a.where("level = 'W1_problem'").select("node_id", F.lit(1.0).alias("r"))
     have = a.select("node_id")
     e = _keys(spark, d).join(have.withColumnRenamed("node_id", "src"), "src", "left_semi").join(have.withColumnRenamed("node_id", "tgt"), "tgt", "left_semi")
-    return graph.pagerank(graph.undirected(e), seeds, 0.5, ROUNDS).select("node_id", F.round("score", 6).alias("score"))
+    return graph.pagerank(graph.undirected(e), seeds, 0.5, graph.ROUNDS).select("node_id", F.round("score", 6).alias("score"))
 
 
 def search_end_to_end(spark, d):
     a = atoms_(spark, d)
     v = a.select("node_id", word_hash(F.coalesce("name", F.lit(""))).alias("embedding"))
     q = lambda x: literal_vector(spark, word_hash(F.lit(f"{x}: {QUESTION}")))
-    return search.search(a, _keys(spark, d), v, q("atom"), q("code"), level="W4", top_k=10, status_filter=store.status_included(None), rounds=ROUNDS)
+    return search.search(a, _keys(spark, d), v, q("atom"), q("code"), level="W4", top_k=10, status_filter=store.status_included(None), rounds=graph.ROUNDS)
 
 
 def parent_grouping(spark, d):

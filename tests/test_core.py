@@ -215,3 +215,21 @@ def test_engine(spark, tmp_path):
     assert first["atoms_inserted"] == 5 and again["atoms_inserted"] == 0 and again["edges_inserted"] == 0
     assert eng.search("critic", level="W3", status="all").count() == 2
     assert eng.audit().count() == 5 and Engine.schema()["types"] == O.TYPES
+
+
+def test_best_ancestor_is_found_at_any_distance(spark, rows):
+    chain = [(f"n{i}", f"n{i + 1}", "aggregates_to") for i in range(40)] + [("n1", "n0", "decomposes_into"), ("n40", "x", "aggregates_to"), ("n40", "w", "aggregates_to"), ("x", "n40", "decomposes_into")]
+    e = spark.createDataFrame(chain, "src string, tgt string, relation string")
+    a = spark.createDataFrame([("n0", "W5_code"), ("n1", "W5_code"), ("x", "W4_implementation"), ("w", "W4_implementation")], "node_id string, level string")
+    seeds = a.where("level = 'W5_code'")
+    arcs = {(s, t) for s, t, _ in chain}
+    names = sorted({x for arc in arcs for x in arc})
+    m = np.zeros((len(names), len(names)))
+    for s, t in arcs:
+        m[names.index(t), names.index(s)] = 0.5 / sum(s == u for u, _ in arcs)
+    for limit in (1000, 0):
+        assert [r[:2] for r in rows(graph.best_ancestors(e, a, seeds, "W4_implementation", one_task_edges=limit))] == [("n0", "w"), ("n1", "w")]
+        near = a.union(spark.createDataFrame([("n2", "W3_approach")], a.schema))
+        got = {r["seed"]: r["score"] for r in graph.best_ancestors(e, near, seeds, "W3_approach", one_task_edges=limit).collect()}
+        want = {s: 0.5 * np.linalg.inv(np.eye(len(names)) - m)[names.index("n2"), names.index(s)] for s in ("n0", "n1")}
+        assert got == pytest.approx(want, abs=6e-7)
