@@ -304,12 +304,17 @@ def parents_at(edges: DataFrame, atoms: DataFrame, child_level: str, parent_leve
     return cand.groupBy("node_id").agg(F.min(F.struct("prio", "parent_id")).alias("m")).select("node_id", F.col("m.parent_id").alias("parent_id"))
 
 
-def trajectories(edges: DataFrame, atoms: DataFrame, statuses: list[str]) -> DataFrame:
-    """(w5, w4, w3, w2, w1): the chain of parents of every code atom of the given statuses; a missing step ends it."""
+def trajectories(edges: DataFrame, atoms: DataFrame, statuses: list[str], damping: float = 0.5) -> DataFrame:
+    """(w5, w4, w3, w2, w1): from every code atom of the given statuses its best ancestor at each level, at any distance.
+
+    Each step starts from the ancestor of the step before (``best_ancestors``); a
+    level that isn't reached ends the chain.
+    """
     out = atoms.where((F.col("level") == LEVELS[4]) & F.col("status").isin(statuses)).select(F.col("node_id").alias("w5"))
     for i in range(4, 0, -1):
-        step = parents_at(edges, atoms, LEVELS[i], LEVELS[i - 1]).select(F.col("node_id").alias(f"w{i + 1}"), F.col("parent_id").alias(f"w{i}"))
-        out = out.join(step, f"w{i + 1}", "left")
+        below = out.where(F.col(f"w{i + 1}").isNotNull()).select(F.col(f"w{i + 1}").alias("node_id")).distinct()
+        step = cut(best_ancestors(edges, atoms, below, LEVELS[i - 1], damping)).select(F.col("seed").alias(f"w{i + 1}"), F.col("node_id").alias(f"w{i}"))
+        out = cut(out.join(step, f"w{i + 1}", "left"))
     return out.select("w5", "w4", "w3", "w2", "w1")
 
 

@@ -233,3 +233,10 @@ def test_best_ancestor_is_found_at_any_distance(spark, rows):
         got = {r["seed"]: r["score"] for r in graph.best_ancestors(e, near, seeds, "W3_approach", one_task_edges=limit).collect()}
         want = {s: 0.5 * np.linalg.inv(np.eye(len(names)) - m)[names.index("n2"), names.index(s)] for s in ("n0", "n1")}
         assert got == pytest.approx(want, abs=6e-7)
+
+
+def test_trajectories_reach_levels_further_up(spark, rows):
+    e = spark.createDataFrame([("c", "c2", "aggregates_to"), ("c2", "i", "aggregates_to"), ("i", "d", "aggregates_to"), ("a", "i", "decomposes_into"), ("d", "a", "aggregates_to"), ("a", "p", "aggregates_to"), ("p", "d", "decomposes_into")], "src string, tgt string, relation string")
+    levels = {"c": O.LEVELS[4], "c2": O.LEVELS[4], "i": O.LEVELS[3], "a": O.LEVELS[2], "d": O.LEVELS[1], "p": O.LEVELS[0], "alone": O.LEVELS[4]}
+    a = spark.createDataFrame([(n, lv, "active") for n, lv in levels.items()], "node_id string, level string, status string")
+    assert rows(graph.trajectories(e, a, ["active"])) == [("alone", None, None, None, None), ("c", "i", "a", "d", "p"), ("c2", "i", "a", "d", "p")]
