@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -163,37 +164,45 @@ def strong_components(arcs: DataFrame) -> DataFrame:
 def upward_trace(edges: DataFrame, atoms: DataFrame, starts: DataFrame, target_level: str) -> DataFrame:
     """(start, step, node_id): the way up along aggregates_to, heaviest edge first, until the target level or a dead end.
 
-    At most one edge per node is followed (highest weight, then smallest id), and
-    at most as many steps as there are levels, so cycles end.
+    At most one edge per node is followed (highest weight, then smallest id), no
+    loops.  A way that comes back to a node it has visited ends before it.
     """
-    up = edges.where(F.col("relation") == "aggregates_to").groupBy(F.col("src").alias("node_id")).agg(F.min(F.struct((-F.coalesce("weight", F.lit(1.0))).alias("w"), F.col("tgt"))).alias("m")).select("node_id", F.col("m.tgt").alias("nxt"))
-    level = atoms.select("node_id", "level")
-    at = starts.select(F.col("node_id").alias("start"), "node_id").distinct()
-    out = at.select("start", F.lit(0).alias("step"), "node_id")
-    for i in range(1, len(LEVELS)):
-        going = at.join(level, "node_id", "left").where(F.coalesce("level", F.lit("")) != target_level)
-        at = going.join(up, "node_id").select("start", F.col("nxt").alias("node_id"))
-        out = out.unionByName(at.select("start", F.lit(i).alias("step"), "node_id"))
-    return out
-
-
-def downward_expand(edges: DataFrame, atoms: DataFrame, starts: DataFrame, target_level: str, max_depth: int = 64) -> DataFrame:
+    up = edges.where((F.col("relation") == "aggregates_to") & (F.col("src") != F.col("tgt"))).groupBy(F.col("src").alias("node_id")).agg(F.min(F.struct((-F.coalesce("weight", F.lit(1.0))).alias("w"), F.col("tgt"))).alias("m")).select("node_id", F.col("m.tgt").alias("nxt"))
+    stop = atoms.where(F.col("level") == target_level).select("node_id")
+    up = cut(up.join(stop, "node_id", "left_anti"))
+    front = cut(starts.select(F.col("node_id").alias("start"), F.lit(0).alias("step"), "node_id").distinct())
+    seen, parts = front, [front]
+    while True:
+        nxt = front.join(up, "node_id").select("start", (F.col("step") + 1).alias("step"), F.col("nxt").alias("node_id"))
+        front = cut(nxt.join(seen, ["start", "node_id"], "left_anti").select("start", "step", "node_id"))
+        if front.isEmpty():
+            return seen
+        parts.append(front)
+        if len(parts) % 16 == 0:  # keeps the plan small on long ways
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+        seen = reduce(DataFrame.unionByName, parts)
+
+
+def downward_expand(edges: DataFrame, atoms: DataFrame, starts: DataFrame, target_level: str) -> DataFrame:
     """(start, node_id): all reached along decomposes_into, start included; nodes of the target level are not expanded.
 
-    A frontier loop: each round is one join, and what was reached before is removed.
+    A frontier loop: each round is one join, and what was reached before is removed,
+    until nothing new is reached.
     """
     down = cut(edges.where(F.col("relation") == "decomposes_into").select("src", "tgt").distinct())
     stop = atoms.where(F.col("level") == target_level).select(F.col("node_id").alias("src"))
-    down = down.join(stop, "src", "left_anti")
+    down = cut(down.join(stop, "src", "left_anti"))
     front = cut(starts.select(F.col("node_id").alias("start"), "node_id").distinct())
-    seen = front
-    for _ in range(max_depth):
+    parts = [front]
+    while True:
+        seen = reduce(DataFrame.unionByName, parts)
         nxt = front.join(down, front["node_id"] == down["src"]).select("start", F.col("tgt").alias("node_id")).distinct()
         front = cut(nxt.join(seen, ["start", "node_id"], "left_anti"))
         if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+            return seen
+        parts.append(front)
+        if len(parts) % 16 == 0:  # keeps the plan small on deep trees
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
 
 
 #: Ranking from seeds goes on until what is still to come is at most this part of a score.

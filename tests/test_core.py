@@ -240,3 +240,15 @@ def test_trajectories_reach_levels_further_up(spark, rows):
     levels = {"c": O.LEVELS[4], "c2": O.LEVELS[4], "i": O.LEVELS[3], "a": O.LEVELS[2], "d": O.LEVELS[1], "p": O.LEVELS[0], "alone": O.LEVELS[4]}
     a = spark.createDataFrame([(n, lv, "active") for n, lv in levels.items()], "node_id string, level string, status string")
     assert rows(graph.trajectories(e, a, ["active"])) == [("alone", None, None, None, None), ("c", "i", "a", "d", "p"), ("c2", "i", "a", "d", "p")]
+
+
+def test_ways_up_and_down_have_no_last_step(spark, rows):
+    up = [(f"n{i:02}", f"n{i + 1:02}", "aggregates_to", 1.0) for i in range(20)] + [("n00", "n00", "aggregates_to", 9.0), ("n20", "on", "aggregates_to", 1.0)]
+    ring = [("r0", "r1", "aggregates_to", 1.0), ("r1", "r2", "aggregates_to", 1.0), ("r2", "r1", "aggregates_to", 1.0)]
+    e = spark.createDataFrame(up + ring, "src string, tgt string, relation string, weight double")
+    a = spark.createDataFrame([("n20", O.LEVELS[1])], "node_id string, level string")
+    starts = spark.createDataFrame([("n00",), ("r0",)], "node_id string")
+    assert rows(graph.upward_trace(e, a, starts, O.LEVELS[1])) == sorted([("n00", i, f"n{i:02}") for i in range(21)] + [("r0", i, f"r{i}") for i in range(3)], key=lambda r: (r[0], str(r[1]), r[2]))
+    down = [(f"d{i:02}", f"d{i + 1:02}", "decomposes_into") for i in range(66)] + [("d66", "d00", "decomposes_into")]
+    got = graph.downward_expand(spark.createDataFrame(down, "src string, tgt string, relation string"), a, spark.createDataFrame([("d00",)], "node_id string"), O.LEVELS[1])
+    assert got.count() == 67
