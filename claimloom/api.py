@@ -106,8 +106,8 @@ class Engine:
 
     def consolidate(self) -> DataFrame:
         atoms, edges = self._held()
-        a, e, rep = consolidate.consolidate(atoms, edges.select("src", "tgt", "relation", "weight"), self.vectors(atoms), self.config.similarity)
-        self.store.commit(a, e.withColumn("rho_json", F.lit(None).cast("string")))
+        a, e, rep = consolidate.consolidate(atoms, edges.select("src", "tgt", "relation", "weight", "rho_json"), self.vectors(atoms), self.config.similarity)
+        self.store.commit(a, e)
         return rep
 
     def audit(self) -> DataFrame:

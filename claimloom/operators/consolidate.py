@@ -75,12 +75,14 @@ def clusters(pairs: DataFrame) -> DataFrame:
 def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with duplicates replaced by their canonical atom at both ends; self loops dropped, keys once, attributes carried.
 
-    ``mapping``: (dup_id, canonical_id), one row per dup_id.
+    ``mapping``: (dup_id, canonical_id), one row per dup_id.  ``rho_json``, if there
+    is one, is kept too; of edges that become one, the first that has any gives it.
     """
+    rho = [c for c in edges.columns if c == "rho_json"]
     s, t = mapping.select(F.col("dup_id").alias("src"), F.col("canonical_id").alias("ns")), mapping.select(F.col("dup_id").alias("tgt"), F.col("canonical_id").alias("nt"))
-    out = edges.join(s, "src", "left").join(t, "tgt", "left").select(F.coalesce("ns", "src").alias("src"), F.coalesce("nt", "tgt").alias("tgt"), "relation", "weight", (F.col("ns").isNotNull() | F.col("nt").isNotNull()).alias("moved"))
+    out = edges.join(s, "src", "left").join(t, "tgt", "left").select(F.coalesce("ns", "src").alias("src"), F.coalesce("nt", "tgt").alias("tgt"), "relation", "weight", *rho, (F.col("ns").isNotNull() | F.col("nt").isNotNull()).alias("moved"))
     kept = out.where(F.col("src") != F.col("tgt"))
-    return kept.groupBy("src", "tgt", "relation").agg(F.min_by("weight", F.struct("moved", F.coalesce("weight", F.lit(1.0)))).alias("weight"), F.min("moved").alias("moved"))
+    return kept.groupBy("src", "tgt", "relation").agg(F.min_by("weight", F.struct("moved", F.coalesce("weight", F.lit(1.0)))).alias("weight"), *[F.min_by(c, F.struct(F.col(c).isNull(), "moved", F.coalesce("weight", F.lit(1.0)), c)).alias(c) for c in rho], F.min("moved").alias("moved"))
 
 
 def decide(cluster_rows: DataFrame, atoms: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

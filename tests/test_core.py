@@ -252,3 +252,20 @@ def test_ways_up_and_down_have_no_last_step(spark, rows):
     down = [(f"d{i:02}", f"d{i + 1:02}", "decomposes_into") for i in range(66)] + [("d66", "d00", "decomposes_into")]
     got = graph.downward_expand(spark.createDataFrame(down, "src string, tgt string, relation string"), a, spark.createDataFrame([("d00",)], "node_id string"), O.LEVELS[1])
     assert got.count() == 67
+
+
+def test_rewiring_keeps_the_evidence(spark, rows):
+    e = spark.createDataFrame([("a", "b", "extends", 1.0, None), ("a", "b2", "extends", 2.0, "why"), ("c", "d", "extends", 1.0, "kept")], "src string, tgt string, relation string, weight double, rho_json string")
+    m = spark.createDataFrame([("b2", "b")], "dup_id string, canonical_id string")
+    assert rows(consolidate.rewire(e, m).select("src", "tgt", "weight", "rho_json")) == [("a", "b", 1.0, "why"), ("c", "d", 1.0, "kept")]
+
+
+def test_consolidate_keeps_the_evidence_of_the_store(spark, rows, tmp_path):
+    from claimloom.api import Engine
+
+    eng = Engine(spark, str(tmp_path / "kb"))
+    held, none = eng._held()
+    a = spark.createDataFrame([(n, n, "method", O.LEVELS[2], "", "active", None, None, None, None, None, None) for n in ("a", "b")], held.schema)
+    eng.store.commit(a, spark.createDataFrame([("a", "b", "extends", 1.0, "why")], none.schema))
+    eng.consolidate()
+    assert [r["rho_json"] for r in eng.store.edges.collect()] == ["why"]
