@@ -23,7 +23,7 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.hierarchy(table(spark, d, "cc_edges"), with_path=True)
-    return hierarchy.descendants(h.where("tree_depth >= 0"))
+    return hierarchy.descendants(h)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

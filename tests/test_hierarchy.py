@@ -40,3 +40,11 @@ def test_deep_chain_and_wide_parent(spark):
     wide = [("n000", f"k{i:04}", "decomposes_into") for i in range(500)]
     got = {r["node_id"]: r["tree_depth"] for r in H.roots_and_depths(edges(spark, chain + wide)).collect()}
     assert got["n025"] == 25 and got["k0499"] == 1 and len(got) == 526
+
+
+def test_descendants_below_a_cycle(spark, rows, tmp_path):
+    from claimloom.queries import core
+
+    e = edges(spark, [("x", "y", "decomposes_into"), ("y", "x", "decomposes_into"), ("y", "z", "decomposes_into"), ("z", "w", "decomposes_into")])
+    e.write.parquet(str(tmp_path / "cc_edges.parquet"))
+    assert rows(core.p3_descendants(spark, str(tmp_path))) == [("y", "w", 2), ("y", "z", 1), ("z", "w", 1)]
