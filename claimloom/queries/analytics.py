@@ -309,7 +309,7 @@ def segments_concat_truncate(spark, d):
 
 
 def arxiv_id_extract(spark, d):
-    return table(spark, d, "documents").select("doc_id", extract.arxiv_id(F.concat(F.lit("arXiv:"), F.lpad(F.pmod("doc_id", F.lit(9000)), 4, "1"), F.lit("."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v2 "), F.coalesce(F.substring("text", 1, 10), F.lit("")))).alias("arxiv_id"))
+    return table(spark, d, "documents").select("doc_id", extract.arxiv_id(F.col("text")).alias("arxiv_id"))
 
 
 def atom_feed_parse(spark, d):

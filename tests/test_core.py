@@ -269,3 +269,12 @@ def test_consolidate_keeps_the_evidence_of_the_store(spark, rows, tmp_path):
     eng.store.commit(a, spark.createDataFrame([("a", "b", "extends", 1.0, "why")], none.schema))
     eng.consolidate()
     assert [r["rho_json"] for r in eng.store.edges.collect()] == ["why"]
+
+
+def test_arxiv_ids_come_from_whole_texts(spark, rows, tmp_path):
+    from claimloom.queries import analytics
+
+    texts = [(1, "arXiv:1234.00001v2 a"), (2, "long before it " * 50 + "see https://arxiv.org/abs/2101.12345v3."), (3, "no id"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["arxiv_id"] for r in analytics.arxiv_id_extract(spark, str(tmp_path)).collect()}
+    assert got == {1: "1234.00001", 2: "2101.12345", 3: "", 4: None}
