@@ -35,6 +35,8 @@ FILE = 4_000
 MAX_SPLIT = 4_096
 #: Most pivots of one split file, and in how many of its parts a vector is posted.
 LOCAL_PIVOTS, LOCAL_POSTINGS = 32, 2
+#: Postings that one task works off, so that tasks stay as large however many vectors there are.
+TASK = 40_000
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -227,7 +229,7 @@ def nearest_in_file(keys: np.ndarray, vecs: np.ndarray, perms: np.ndarray, k: in
     return np.concatenate(qs), np.concatenate(rs), np.concatenate(cs)
 
 
-def _work_off(postings: DataFrame, k: int, min_cos: float, rerank: int | None) -> DataFrame:
+def _work_off(postings: DataFrame, tasks: int, k: int, min_cos: float, rerank: int | None) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         keys = np.asarray(table.column("k").combine_chunks(), dtype=np.int64)
         perms = np.asarray(table.column("perm").combine_chunks().flatten(), dtype=np.int16).reshape(len(keys), -1)
@@ -240,7 +242,7 @@ def _work_off(postings: DataFrame, k: int, min_cos: float, rerank: int | None) -
         q, r, c = nearest_in_file(keys, vecs, perms, k, min_cos, rerank)
         return pa.table({"q": q, "r": r, "cos": c})
 
-    return postings.groupBy("file").applyInArrow(one, "q bigint, r bigint, cos double")
+    return postings.repartition(tasks, "file").groupBy("file").applyInArrow(one, "q bigint, r bigint, cos double")
 
 
 def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str = "embedding", dim: int = 64, k: int = 5, min_cos: float = -1.0, postings: int = POSTINGS, order: int = ORDER, rerank: int | None = None) -> DataFrame:
@@ -263,11 +265,12 @@ def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str =
     distinct = ids.select("k", "v").dropDuplicates(["k"])
     members = cut(ids.select("k", "id").distinct())
     n_members = members.count()
-    pivots = _pivots(distinct, members.select("k").distinct().count(), dim)
+    n_distinct = members.select("k").distinct().count()
+    pivots = _pivots(distinct, n_distinct, dim)
     if n_members < 2:
         return members.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
     orders = cut(_orders(distinct, pivots, order))
-    near = _work_off(_fitting(_postings(orders, postings)), k, min_cos, rerank)
+    near = _work_off(_fitting(_postings(orders, postings)), max(1, n_distinct * postings * LOCAL_POSTINGS // TASK), k, min_cos, rerank)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cos").desc(), "r"))
     top = near.dropDuplicates(["q", "r"]).withColumn("n", rank).where(F.col("n") <= k).select("q", "r", "cos")
     # the ids that may stand for a vector: its k + 1 smallest
