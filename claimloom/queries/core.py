@@ -21,6 +21,10 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return h.selectExpr("node_id", "root_id", "tree_depth", "height", "subtree_size", "array_join(path, '/') as path")
 
 
+def p3_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.other_parents(table(spark, d, "cc_edges"))
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.hierarchy(table(spark, d, "cc_edges"), with_path=True)
     return hierarchy.descendants(h)
@@ -32,11 +36,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    found = orphans.orphan_references(table(spark, d, "cc_edges"), table(spark, d, "cc_nodes"), table(spark, d, "cc_deleted"))
-    return orphans.orphan_report(found)
+    nodes, deleted = table(spark, d, "cc_nodes"), table(spark, d, "cc_deleted")
+    edges = orphans.orphan_references(table(spark, d, "cc_edges"), nodes, deleted)
+    decisions = orphans.orphan_decisions(table(spark, d, "merge_decisions"), nodes, deleted)
+    return orphans.orphan_report(cc_edges=edges, merge_decisions=decisions)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p3_found, p3_hierarchy, p3_descendants, p7_found, p7_report)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p3_found, p3_hierarchy, p3_descendants, p3_other_parents, p7_found, p7_report)}
 
 _BLANK = r"'^[\s\p{Z}]*$'"
 _LINKS = rf"""
@@ -84,8 +90,19 @@ SQL: dict[str, str] = {
       SELECT w.node AS node_id, w.root_id, CAST(CASE WHEN w.ring THEN -1 ELSE len(w.path) - 1 END AS INTEGER) AS tree_depth,
         CAST(CASE WHEN w.on_ring THEN NULL ELSE s.height END AS INTEGER) AS height, CAST(CASE WHEN w.on_ring THEN NULL ELSE s.subtree_size END AS BIGINT) AS subtree_size, array_to_string(w.path, '/') AS path
       FROM rows w LEFT JOIN sizes s ON s.anc = w.node""",
-    "p3_descendants": f"""WITH RECURSIVE {_LINKS}
-      SELECT anc AS ancestor, node AS node_id, CAST(steps AS INTEGER) AS steps FROM (SELECT unnest(up) AS anc, node, generate_subscripts(up, 1) - 1 AS steps FROM ends WHERE NOT ring) WHERE anc <> node""",
+    "p3_descendants": f"""WITH RECURSIVE {_LINKS},
+      ring AS (SELECT node FROM tops WHERE on_ring),
+      above AS (SELECT unnest(up) AS anc, node, generate_subscripts(up, 1) - 1 AS steps FROM tops WHERE NOT on_ring),
+      stop AS (SELECT a.node, min(a.steps) AS last FROM above a JOIN ring r ON r.node = a.anc GROUP BY a.node)
+      SELECT a.anc AS ancestor, a.node AS node_id, CAST(a.steps AS INTEGER) AS steps FROM above a LEFT JOIN stop s ON s.node = a.node WHERE a.steps > 0 AND a.steps <= coalesce(s.last, a.steps)""",
+    "p3_other_parents": f"""WITH RECURSIVE {_LINKS}
+      SELECT p.node AS node_id, p.parent AS parent_id, l.parent AS kept_parent FROM pairs p JOIN links l ON l.node = p.node WHERE p.parent <> l.parent""",
     "p7_found": f"WITH {_REFS} SELECT src, tgt, relation, side, orphan_kind FROM found WHERE orphan_kind IS NOT NULL",
-    "p7_report": f"WITH {_REFS} SELECT side, orphan_kind, coalesce(strftime(created_at, '%Y-%m'), 'unknown') AS month, count(*) AS n_references FROM found WHERE orphan_kind IS NOT NULL GROUP BY ALL",
+    "p7_report": f"""WITH {_REFS},
+      dec AS (SELECT DISTINCT decision_id, decided_at, unnest(list_concat([{{'side': 'canonical_id', 'id': canonical_id}}, {{'side': 'parent_id', 'id': parent_id}}], list_transform(coalesce(dup_ids, []), lambda x: {{'side': 'dup_ids', 'id': x}}))) AS r FROM merge_decisions),
+      one AS (SELECT decision_id, r.side AS side, r.id AS id, min(decided_at) AS created_at FROM dec WHERE r.id IS NOT NULL AND NOT regexp_matches(r.id, {_BLANK}) GROUP BY ALL),
+      both_ AS (SELECT 'cc_edges' AS table_name, side, orphan_kind, created_at FROM found UNION ALL
+        SELECT 'merge_decisions', o.side, CASE WHEN b.node_id IS NOT NULL AND b.born > o.created_at THEN 'late' WHEN b.node_id IS NOT NULL THEN NULL WHEN g.node_id IS NOT NULL THEN 'deleted' ELSE 'missing' END, o.created_at
+        FROM one o LEFT JOIN born b ON b.node_id = o.id LEFT JOIN gone g ON g.node_id = o.id)
+      SELECT table_name, side, orphan_kind, coalesce(strftime(created_at, '%Y-%m'), 'unknown') AS month, count(*) AS n_references FROM both_ WHERE orphan_kind IS NOT NULL GROUP BY ALL""",
 }
