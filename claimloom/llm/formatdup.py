@@ -10,8 +10,6 @@ from claimloom.plans.lineage import cut
 from claimloom.plans.skew import hot_from_counts, salted_join
 
 FIELDS = ["name", "type", "level"]
-#: The letters and digits counted in the cheap histogram; other characters only count in the length.
-HISTOGRAM = "etaoinsrlhdcumpgfbvkyzw0123456789"
 
 
 def payload_field(payload: Column, name: str) -> Column:
@@ -35,22 +33,21 @@ def records(nodes: DataFrame, raw_atoms: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("id"), *FIELDS).unionByName(raw).where(F.col("id").isNotNull())
 
 
-def histogram(fields: list[Column]) -> Column:
-    """Order-free invariant of the stripped fields: their lengths and a hash of the letter counts."""
-    whole = F.concat(*fields)
-    counts = [F.length(whole) - F.length(F.translate(whole, ch, "")) for ch in HISTOGRAM]
-    return F.xxhash64(*[F.length(f) for f in fields], *counts)
+def histogram(whole: Column) -> Column:
+    """Order-free invariant: how often each letter and digit stands in the stripped text, as a hash of its sorted characters."""
+    return F.xxhash64(F.array_sort(F.split(whole, "")))
 
 
 def refine(recs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(first_id, copy_id): records equal but for white space, case, punctuation and field order.
 
     Partition refinement with growing cost.  Stage 1 groups by lengths of the
-    stripped fields; stage 2, only in classes of several ids, by the letter
-    histogram; stage 3, only in what still shares a class, by the stripped fields
-    themselves (128 bits of hash of them, so that long fields don't travel).  Class
-    sizes are counted before the shuffle; a class that holds a large share of all
-    records is split over salts whenever its members are joined with it.
+    stripped fields; only for classes of several ids the letter histogram is made,
+    and stage 2 groups by it; only for what then still shares a class the full key
+    is made (128 bits of hash of the stripped fields, so that long ones don't
+    travel), by which stage 3 groups.  Class sizes are counted before the shuffle; a
+    class that holds a large share of all records is split over salts whenever its
+    members are joined with it.
 
     first_id is the smallest id of the class, copy_id each other id.  An id with
     several records belongs to the class of each of its forms.  A null field
@@ -58,22 +55,13 @@ def refine(recs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     digits in all fields is no copy of anything.  Empty input gives no rows.
     """
     fields = fields or FIELDS
-    bare = [letters_digits(F.coalesce(F.col(f), F.lit(""))) for f in fields]
-    stripped = recs.select("id", *[b.alias(f) for b, f in zip(bare, fields, strict=True)]).where(F.length(F.concat(*[F.col(f) for f in fields])) > 0)
-    keyed = stripped.select(
-        "id",
-        F.xxhash64(*[F.length(F.col(f)) for f in fields]).alias("k1"),
-        histogram([F.col(f) for f in fields]).alias("k2"),
-        F.xxhash64(*[F.col(f) for f in fields]).alias("h1"),
-        F.xxhash64(F.lit("second"), *[F.reverse(F.col(f)) for f in fields]).alias("h2"),
-    )
-    now = cut(keyed)
-    total = now.count()
-    for key in (["k1"], ["k2"]):
-        classes = now.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-        hot = hot_from_counts(classes, key, "n", total)
-        several = classes.where(F.col("a") != F.col("b")).select(*key)
-        now = salted_join(now, several, key, "left_semi", total=total, hot=hot)
+    own = lambda i: F.col("bare")[i]
+    n = range(len(fields))
+    stripped = recs.select("id", F.array(*[letters_digits(F.coalesce(F.col(f), F.lit(""))) for f in fields]).alias("bare"))
+    lengths = stripped.where(F.length(F.concat_ws("", "bare")) > 0).select("id", "bare", F.xxhash64(*[F.length(own(i)) for i in n]).alias("k1"))
+    now = cut(lengths)
+    now = cut(_shared(now, ["k1"]).select("id", "bare", "k1", histogram(F.concat_ws("", "bare")).alias("k2")))
+    now = _shared(now, ["k1", "k2"]).select("id", F.xxhash64(*[own(i) for i in n]).alias("h1"), F.xxhash64(F.lit("second"), *[F.reverse(own(i)) for i in n]).alias("h2"))
     last = ["h1", "h2"]
     members = cut(now.groupBy(*last, "id").agg(F.lit(1).alias("x")).drop("x"))
     total = members.count()
@@ -83,6 +71,14 @@ def refine(recs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return joined.where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("copy_id")).distinct()
 
 
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose class by ``key`` has several ids."""
+    total = rows.count()
+    classes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    hot = hot_from_counts(classes, key, "n", total)
+    return salted_join(rows, classes.where(F.col("a") != F.col("b")).select(*key), key, "left_semi", total=total, hot=hot)
+
+
 def copies_of(found: DataFrame) -> DataFrame:
     """One row per group of copies: first_id and the number of ids in the group."""
     return found.groupBy("first_id").agg((F.count(F.lit(1)) + 1).alias("n_copies"))

@@ -24,6 +24,12 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "cc_nodes"), groups)
 
 
+def p1_trusted(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the most complete record first, then the most trusted, then the latest."""
+    groups = components.groups_of_decisions(table(spark, d, "merge_decisions"))
+    return survivors.field_winners(table(spark, d, "cc_nodes"), groups, rank=["completeness", "trust", "recency", "version"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(table(spark, d, "cc_nodes"))
 
@@ -74,7 +80,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", lookalike.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_survivors, p2_found, p4_found, p4_sources, p5_found, p5_copies, p6_found, p8_ids, p9_found, p9_longest, p9_kept, p10_found, p10_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_survivors, p1_trusted, p2_found, p4_found, p4_sources, p5_found, p5_copies, p6_found, p8_ids, p9_found, p9_longest, p9_kept, p10_found, p10_forms)}
 
 _BLANK = r"'^[\s\p{Z}]*$'"
 _GROUPS = rf"""
@@ -91,6 +97,11 @@ long AS (
   JOIN grouped g ON g.member_id = n.node_id
   WHERE u.value IS NOT NULL AND NOT regexp_matches(u.value, {_BLANK}) AND lower(trim(u.value, E' \t\n\r')) NOT IN ({_VALUES})),
 won AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY version DESC NULLS LAST, updated_at DESC NULLS LAST, node_id, value DESC) = 1)"""
+_HAS = rf"(# IS NOT NULL AND NOT regexp_matches(#, {_BLANK}) AND lower(trim(#, E' \t\n\r')) NOT IN ({_VALUES}))"
+_TRUSTED = rf"""
+ranked AS (SELECT *, {" + ".join(f"CAST({_HAS.replace('#', f)} AS INTEGER)" for f in survivors.FIELDS)} AS full_, list_position({survivors.TRUST}, lower(status)) AS place FROM cc_nodes WHERE node_id IS NOT NULL),
+each_ AS (SELECT g.group_id, n.* FROM ({" UNION ALL ".join(f"SELECT node_id, '{f}' AS field_name, full_, place, updated_at, version FROM ranked WHERE {_HAS.replace('#', f)}" for f in survivors.FIELDS)}) n JOIN grouped g ON g.member_id = n.node_id),
+best AS (SELECT * FROM each_ QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY full_ DESC, place NULLS LAST, updated_at DESC NULLS LAST, version DESC NULLS LAST, node_id) = 1)"""
 _BARE = "regexp_replace(replace(translate(lower(upper(coalesce({}, ''))), 'ς', 'σ'), 'ß', 'ss'), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
 _FIELD = """CASE WHEN regexp_matches(payload, '^\\s*\\{{') THEN coalesce(payload->>'$.{0}', payload->>'$.{1}', payload->>'$.{2}')
   WHEN regexp_matches(payload, '(?i)(^|\\|)\\s*(name|type|level)\\s*=') THEN regexp_extract(payload, '(?i)(?:^|\\|)\\s*{0}\\s*=\\s*([^|\\n]*)', 1)
@@ -111,6 +122,7 @@ leaks AS (SELECT DISTINCT doc_id, item_id FROM g_docs JOIN g_items USING (g))"""
 SQL: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {_GROUPS}, {_WON} SELECT group_id, field_name, node_id FROM won",
     "p1_survivors": f"WITH RECURSIVE {_GROUPS}, {_WON} SELECT group_id, {', '.join(f"max(CASE WHEN field_name = '{f}' THEN value END) AS {f}" for f in survivors.FIELDS)} FROM won GROUP BY group_id",
+    "p1_trusted": f"WITH RECURSIVE {_GROUPS}, {_TRUSTED} SELECT group_id, field_name, node_id FROM best",
     "p2_found": """WITH u AS (
         SELECT node_id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM cc_nodes
         WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY node_id),

@@ -62,6 +62,17 @@ def test_survivors(spark, rows):
     assert rows(survivors.field_winners(df.limit(0), g)) == []
 
 
+def test_rank_by_completeness_and_trust(spark, rows):
+    from datetime import datetime as T
+
+    g = spark.createDataFrame([("a", "b"), ("a", "c")], "group_id string, member_id string")
+    n = [("a", 1, T(2020, 1, 1), "full", "r", None, None, "low_confidence"), ("b", 9, T(2023, 1, 1), "late", None, None, None, "odd"), ("c", 1, T(2019, 1, 1), "trusted", "s", None, None, "Verified")]
+    df = spark.createDataFrame(n, NODES.replace("group_id string, member_id string", "status string"))
+    assert rows(survivors.field_winners(df, g, rank=["completeness", "trust"])) == [("a", "code_ref", "c"), ("a", "context", "c")]
+    assert rows(survivors.field_winners(df, g, rank=["completeness", "recency"])) == [("a", "code_ref", "a"), ("a", "context", "a")]
+    assert rows(survivors.field_winners(df, g)) == [("a", "code_ref", "a"), ("a", "context", "b")]
+
+
 def test_long_values_and_ties(spark, rows):
     g = spark.createDataFrame([("a", "b")], "group_id string, member_id string")
     long = "x" * 300_000
