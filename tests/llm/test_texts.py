@@ -86,6 +86,21 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert sorted(tuple(r)[:2] for r in leakage.leaks(dd, spark.createDataFrame(items, "item_id long, text string")).collect()) == [(i, i) for i in range(6)]
 
 
+def test_one_row_per_document_and_item(spark, rows):
+    text = " ".join(f"w{i}" for i in range(40))
+    dd = spark.createDataFrame([(1, text), (1, text[:-8]), (1, text)], "doc_id long, text string").repartition(3)
+    ii = spark.createDataFrame([(7, text), (7, text[:-4]), (7, text)], "item_id long, text string")
+    assert rows(leakage.leaks(dd, ii).select("doc_id", "item_id", "n_words")) == [(1, 7, 40)]
+
+
+def test_suffixes_are_in_order():
+    texts = ["b a b a b a c", "a b", "", "c c c c c c c c c a"]
+    words, ranks, begins = leakage.hashed(texts)
+    order = leakage.suffix_array(ranks, 13)
+    tails = [tuple(ranks[i : i + 16]) + (0,) * (16 - len(ranks[i : i + 16])) for i in order]
+    assert tails == sorted(tails) and sorted(order) == list(range(len(words))) and list(begins) == [0, 8, 11, 12]
+
+
 LOOKS = [
     (1, "Peace of mind"), (2, "Реace оf mind"), (3, "Peace of mind"), (4, "Pe​ace of mind"), (5, "Ｐeace of mind"), (6, "Peace of mind"), (7, "peace of mind"), (8, "Peace  of mind"), (9, "Peace\nof mind"),
     (10, "café"), (11, "café"), (12, "cafe"), (13, "ﬁne"), (14, "fine"), (15, "x²"), (16, "x2"), (17, "👩‍🔬"), (18, "👩🔬"), (19, None), (20, ""), (21, " ​"), (22, " "), (23, "a½"), (24, "a1/2"),
