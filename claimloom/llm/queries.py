@@ -76,11 +76,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alikes(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_classes(table(spark, d, "documents"))
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", lookalike.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_survivors, p1_trusted, p2_found, p4_found, p4_sources, p5_found, p5_copies, p6_found, p8_ids, p9_found, p9_longest, p9_kept, p10_found, p10_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_survivors, p1_trusted, p2_found, p4_found, p4_sources, p5_found, p5_copies, p6_found, p8_ids, p9_found, p9_longest, p9_kept, p10_found, p10_classes, p10_forms)}
 
 _BLANK = r"'^[\s\p{Z}]*$'"
 _GROUPS = rf"""

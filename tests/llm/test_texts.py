@@ -117,6 +117,35 @@ def test_look_alikes(spark, rows):
     assert forms[1] == forms[2] == forms[7] == forms[8] == "peace of mind" and forms[19] is None and forms[20] == ""
 
 
+def test_letters_of_many_scripts_and_joiners(tmp_path):
+    for odd, plain in (("ραικυ", "paiku"), ("Ꭲ", "T"), ("ѡ", "w"), ("սոհ", "unh"), ("ꓢ", "S"), ("Ｆull", "Full")):
+        assert lookalike.look(odd) == plain
+    assert lookalike.look("می\u200cخواهم") != lookalike.look("میخواهم")  # breaks a join
+    assert lookalike.look("را\u200cه") == lookalike.look("راه")  # there is no join to break
+    assert lookalike.look("क्\u200dष") != lookalike.look("क्ष")
+    assert lookalike.look("a\u200cb\u200d") == "ab"
+    f = tmp_path / "confusables.txt"
+    f.write_text("\ufeff# a comment\n05D8 ;\t0076 ;\tMA\t# v\n0031 ;\t006C ;\tMA\n", encoding="utf-8")
+    more = lookalike._letters(str(f))
+    assert lookalike.look("ט1", more) == "v1" and lookalike.look("а", more) == "a"
+
+
+def test_classes_of_looks(spark, rows):
+    df = spark.createDataFrame([(i, t, "c") for i, t in LOOKS], "doc_id long, text string, class_id string")
+    got = rows(lookalike.look_classes(df))
+    assert got == [(1, 1, 6, 5), (10, 10, 2, 2), (11, 10, 2, 2), (13, 13, 2, 2), (14, 13, 2, 2), (2, 1, 6, 5), (3, 1, 6, 5), (4, 1, 6, 5), (5, 1, 6, 5), (6, 1, 6, 5)]
+    assert rows(lookalike.look_classes(df.limit(0))) == []
+
+
+def test_a_look_with_many_texts_and_copies(spark, monkeypatch):
+    from claimloom.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    texts = ["sa" + "\u200b" * i + "me" for i in range(12)]
+    df = spark.createDataFrame([(100 * i + j, t) for i, t in enumerate(texts) for j in range(7)], "doc_id long, text string")
+    assert lookalike.look_alikes(df).count() == 66 * 49
+
+
 def test_copies_are_not_compared_with_each_other(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(400)] + [(1000, "sаme text")], "doc_id long, text string")
     assert lookalike.look_alikes(df).count() == 400
