@@ -29,6 +29,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words kept in a worker's memory; beyond that they are encoded anew.
 REMEMBERED_WORDS = 400_000
 REMEMBERED_LENGTH = 64
+#: Pairs of neighbouring entries kept in a worker's memory.
+REMEMBERED_PAIRS = 500_000
 
 
 class ByteBPE:
@@ -93,6 +95,8 @@ class ByteBPE:
                 undone, a = a, self.halves[a][1]
             else:
                 undone, b = b + 1, self.halves[b][0]
+        if len(self._fits) >= REMEMBERED_PAIRS:
+            self._fits.clear()
         self._fits[key] = out
         return out
 

@@ -107,7 +107,7 @@ def truncated(nodes: DataFrame, end_share: float = END_SHARE) -> DataFrame:
     words, shares = end_shares(texts)
     flagged = shares.where(F.col("p") < end_share).select("kind", F.concat_ws(" ", "a", "b", "c").alias("last"))
     last = words.where(F.col("w") != "").select("id", "field_name", "kind", F.substring_index(F.concat(F.lit("^ ^ "), "w"), " ", -3).alias("last"))
-    hit = salted_join(last, flagged, ["kind", "last"], "left_semi", total=2 * nodes.count())
+    hit = salted_join(last, flagged, ["kind", "last"], "left_semi", total=words.count())
     return hit.select("id.node_id", "id.version", "field_name").distinct()
 
 
