@@ -148,16 +148,27 @@ def reduction_edges(components: DataFrame, to_prefix: str) -> DataFrame:
     return components.select(F.col("node_id").alias("src"), F.concat(F.lit(f"{to_prefix}_"), F.substring(F.sha2("component", 256), 1, 8)).alias("tgt"), F.lit("aggregates_to").alias("relation"))
 
 
+# Fixed value: how an arXiv id stands in a citation.
+ARXIV = r"(?i)(?:arxiv[:\s])?(\d{4}\.\d{4,5}(?:v\d+)?)"
+
+
 def arxiv_id(c: Column) -> Column:
-    """First arXiv id in a citation, without version; '' if there is none."""
-    return F.regexp_extract(c, r"(?i)(?:arxiv[:\s/]*(?:abs/)?)?(\d{4}\.\d{4,5})", 1)
+    """First arXiv id in a text, with its version if it has one; '' if there is none."""
+    return F.regexp_extract(c, ARXIV, 1)
 
 
 def atom_feed(xml: Column) -> list[Column]:
-    """First entry of an Atom feed: title, summary, year."""
+    """First entry of an Atom feed: title, summary, year, authors, arxiv_id; null where there is none."""
     entry = F.regexp_extract(xml, r"(?s)<entry>(.*?)</entry>", 1)
-    field = lambda tag: F.trim(F.regexp_replace(F.regexp_extract(entry, rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"\s+", " "))
-    return [field("title").alias("title"), field("summary").alias("summary"), F.substring(field("published"), 1, 4).alias("year")]
+    first = lambda pattern, g=1: F.nullif(F.regexp_extract(entry, pattern, g), F.lit(""))
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return [
+        plain(F.regexp_extract(entry, r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("title"),
+        plain(F.regexp_extract(entry, r"(?s)<summary[^>]*>(.*?)</summary>", 1)).alias("summary"),
+        first(r"<published>(\d{4})").cast("int").alias("year"),
+        F.regexp_extract_all(entry, F.lit("<name>(.*?)</name>"), 1).alias("authors"),
+        first(r"<id>(?:http://arxiv\.org/abs/)?([^<]+)</id>").alias("arxiv_id"),
+    ]
 
 
 def fenced_json(c: Column) -> Column:

@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.ontology import LEVELS, level_ordinal
+from claimloom.ontology import HIERARCHY, LEVELS
 from claimloom.plans.lineage import cut, forget
 from claimloom.plans.ship import ship
 from claimloom.plans.skew import hot_from_counts, salted_join
 
-#: Rounds of PageRank; with damping 0.5 the rest is below 0.5 ** ROUNDS.
-ROUNDS = 20
+#: Rounds of PageRank; with damping 0.5 the rest is below 0.5 ** ROUNDS, a thousandth of the sixth digit.
+ROUNDS = 30
 #: Graphs of at most so many edges are ranked in one task, larger ones by joins; both give the same scores.
 ONE_TASK_EDGES = 2_000_000
 
@@ -48,7 +48,7 @@ def pagerank(arcs: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: in
 
     ``reset`` is normalised to sum 1.  Mass of nodes without out-arcs returns to the
     reset.  A fixed number of rounds makes the result reproducible.  Graphs of at
-    most ``one_task_edges`` arcs go to one task as arrays; larger ones take one
+    most ``one_task_edges`` arcs and seeds go to one task as arrays; larger ones take one
     join and one aggregation per round, partitioned by node, with the lineage cut
     each round and very frequent sources salted.  Nodes that no score reaches are
     left out.
@@ -56,7 +56,7 @@ def pagerank(arcs: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: in
     total = reset.agg(F.sum("r").alias("t"))
     r0 = reset.groupBy("node_id").agg(F.sum("r").alias("r")).join(F.broadcast(total)).select("node_id", (F.col("r") / F.col("t")).alias("r"))  # one row
     n_arcs = arcs.count()
-    if n_arcs <= one_task_edges:
+    if n_arcs + reset.count() <= one_task_edges:
         return _pagerank_one_task(arcs, r0, damping, rounds)
     degree = arcs.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
     hot = hot_from_counts(degree.withColumnRenamed("node_id", "src"), ["src"], "degree", n_arcs)
@@ -285,17 +285,19 @@ def _ranks_by_joins(arcs: DataFrame, seeds: DataFrame, damping: float) -> DataFr
     return p
 
 
-def best_ancestors(edges: DataFrame, atoms: DataFrame, seeds: DataFrame, level: str, damping: float = 0.5, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def best_ancestors(edges: DataFrame, atoms: DataFrame, seeds: DataFrame, level: str, damping: float = 0.5, one_task_edges: int = ONE_TASK_EDGES, relations: list[str] | None = HIERARCHY) -> DataFrame:
     """(seed, node_id, score): for every seed the best-ranked atom of a level by PageRank from the seed.
 
     All seeds are ranked at once on the directed graph, as rows keyed by seed and
     node, until no seed reaches a new node and the scores stand to ten digits; mass
-    that leaves a seed's reach is not kept.  Only hierarchy edges carry rank, so each
-    seed's rows stay as few as its relatives.  Scores are compared by their first
+    that leaves a seed's reach is not kept.  Only edges of ``relations`` carry rank
+    (None: all).  Hierarchy edges alone keep each seed's rows as few as its relatives;
+    with all edges a seed reaches most of the graph, which suits few seeds.  Scores are compared by their first
     digits, however small, so far ancestors are ranked too; ties go to the smaller
     id.  Graphs of at most ``one_task_edges`` arcs are ranked in one task.
     """
-    arcs = cut(edges.where(F.col("relation").isin("aggregates_to", "decomposes_into") & (F.col("src") != F.col("tgt"))).select("src", "tgt").distinct())
+    carry = F.lit(True) if relations is None else F.col("relation").isin(relations)
+    arcs = cut(edges.where(carry & (F.col("src") != F.col("tgt"))).select("src", "tgt").distinct())
     from_ = seeds.select("node_id").distinct()
     p = (_ranks_one_task if arcs.count() <= one_task_edges else _ranks_by_joins)(arcs, from_, damping)
     of_level = atoms.where(F.col("level") == level).select("node_id")
@@ -325,8 +327,3 @@ def trajectories(edges: DataFrame, atoms: DataFrame, statuses: list[str], dampin
         step = cut(best_ancestors(edges, atoms, below, LEVELS[i - 1], damping)).select(F.col("seed").alias(f"w{i + 1}"), F.col("node_id").alias(f"w{i}"))
         out = cut(out.join(step, f"w{i + 1}", "left"))
     return out.select("w5", "w4", "w3", "w2", "w1")
-
-
-def level_gap(a: str, b: str):
-    """Difference of the ordinals of two level columns."""
-    return level_ordinal(F.col(b)) - level_ordinal(F.col(a))

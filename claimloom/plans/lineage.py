@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; one of our own only if there is none."""
+    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where driver and executor are one process."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 

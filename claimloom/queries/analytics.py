@@ -19,8 +19,8 @@ from claimloom.schema import edge_keys, with_provenance
 from claimloom.sources import okf, report
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Rounds of the SQL equivalents, fewer than the queries run.
-ROUNDS = 10
+#: Steps of a walk that the SQL of best ancestors takes; further ones weigh less than ten digits show.
+STEPS = 80
 QUESTION = "recurrent credit assignment under sparse rewards for team play"
 
 
@@ -129,14 +129,23 @@ def ppr_fixed_k(spark, d):
     seeds = a.where("level = 'W1_problem'").select("node_id", F.lit(1.0).alias("r"))
     have = a.select("node_id")
     e = _keys(spark, d).join(have.withColumnRenamed("node_id", "src"), "src", "left_semi").join(have.withColumnRenamed("node_id", "tgt"), "tgt", "left_semi")
-    return graph.pagerank(graph.undirected(e), seeds, 0.5, graph.ROUNDS).select("node_id", F.round("score", 6).alias("score"))
+    return graph.pagerank(graph.undirected(e), seeds).select("node_id", F.round("score", 6).alias("score"))
+
+
+def ppr_by_joins(spark, d):
+    """The same by joins alone, as graphs are ranked that are too large for one task."""
+    a = atoms_(spark, d)
+    seeds = a.where("level = 'W1_problem'").select("node_id", F.lit(1.0).alias("r"))
+    have = a.select("node_id")
+    e = _keys(spark, d).join(have.withColumnRenamed("node_id", "src"), "src", "left_semi").join(have.withColumnRenamed("node_id", "tgt"), "tgt", "left_semi")
+    return graph.pagerank(graph.undirected(e), seeds, one_task_edges=0).select("node_id", F.round("score", 6).alias("score"))
 
 
 def search_end_to_end(spark, d):
     a = atoms_(spark, d)
     v = a.select("node_id", word_hash(F.coalesce("name", F.lit(""))).alias("embedding"))
     q = lambda x: literal_vector(spark, word_hash(F.lit(f"{x}: {QUESTION}")))
-    return search.search(a, _keys(spark, d), v, q("atom"), q("code"), level="W4", top_k=10, status_filter=store.status_included(None), rounds=graph.ROUNDS)
+    return search.search(a, _keys(spark, d), v, q("atom"), q("code"), level="W4", top_k=10, status_filter=store.status_included(None)).select("node_id", "name", "type", "score")
 
 
 def parent_grouping(spark, d):
@@ -181,7 +190,7 @@ def audit_dispatch(spark, d):
 
 def _i1(spark, d):
     a = with_provenance(atoms_(spark, d, "provenance")).where("type = 'numerical'")
-    number = F.nullif(F.regexp_extract("context", r"(\d+\.\d+)", 1), F.lit("")).cast("double")
+    number = F.nullif(F.regexp_extract("context", r"(\d+\.\d+)", 1), F.lit("")).try_cast("double")
     return audit.check_i1(a.withColumn("reextracted", number))
 
 
@@ -313,8 +322,11 @@ def arxiv_id_extract(spark, d):
 
 
 def atom_feed_parse(spark, d):
-    xml = F.concat(F.lit("<feed><entry>\n<title> "), F.coalesce("section", F.lit("")), F.lit("\n of </title><summary>"), F.coalesce("lang", F.lit("")), F.lit("</summary><published>2021-03-04</published></entry><entry><title>no</title></entry></feed>"))
-    return table(spark, d, "documents").select("doc_id", *extract.atom_feed(xml))
+    """Every document as the first entry of a feed, its text as the title, its source as summary and author."""
+    xml = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    feed = F.concat(F.lit("<feed><id>no</id><entry>\n<id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit("</id><title type='text'>"), xml(F.col("text")), F.lit("</title><author><name>"), xml(F.col("source")), F.lit("</name></author><author><name>"), xml(F.col("section")), F.lit("</name></author><published>2021-03-04</published></entry><entry><title>no</title></entry></feed>"))
+    got = table(spark, d, "documents").select("doc_id", *extract.atom_feed(feed))
+    return got.select("doc_id", F.md5(F.col("title").cast("binary")).alias("title_digest"), F.array_join("authors", "|").alias("authors"), "year", "arxiv_id")
 
 
 def slugify(spark, d):
@@ -387,7 +399,7 @@ def stream_incremental_ingest(spark, d):
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        dense_topk, softmax_weights, word_hash_embedding, cosine_pairs_in_group, cluster_single_linkage, consolidate_report, hausdorff_by_label, novelty_argmin, components_by_level, components_strong_level, upward_trace, downward_expand, trajectories_tree, best_ancestor, ppr_fixed_k, search_end_to_end, parent_grouping, merge_rewire, merge_apply_statuses, reduce_groups, reduction_edges,
+        dense_topk, softmax_weights, word_hash_embedding, cosine_pairs_in_group, cluster_single_linkage, consolidate_report, hausdorff_by_label, novelty_argmin, components_by_level, components_strong_level, upward_trace, downward_expand, trajectories_tree, best_ancestor, ppr_fixed_k, ppr_by_joins, search_end_to_end, parent_grouping, merge_rewire, merge_apply_statuses, reduce_groups, reduction_edges,
         audit_dispatch, audit_i1, audit_i2, audit_i3_catalogue, audit_i4_children, audit_i4, audit_outcome, audit_report_cpr, citation_resolve, vote_scalar, vote_float, vote_list_len, vote_nested, parse_extraction_json, parse_extraction_edges, parent_resolve_prefix, segments_concat_truncate, arxiv_id_extract, atom_feed_parse, slugify, okf_relation_lines, okf_concepts, okf_index, okf_log, okf_parse_relations, page_nodes, graphml_lines, stream_incremental_ingest,
     )
 }
@@ -410,8 +422,17 @@ def _parents_sql(pairs: str = "") -> str:
 
 
 _SIB = f"{_parents_sql().format('use')}, sib AS (SELECT par.parent_id AS grp, use.node_id, use.e FROM use JOIN par USING (node_id)), prs AS (SELECT x.grp, x.node_id AS a, y.node_id AS b, list_cosine_similarity(x.e, y.e) AS cos FROM sib x JOIN sib y ON x.grp = y.grp AND x.node_id < y.node_id WHERE list_cosine_similarity(x.e, y.e) >= 0.2)"
-_TRAJ = f"""tr AS (SELECT c.node_id AS w5, p4.parent_id AS w4, p3.parent_id AS w3, p2.parent_id AS w2, p1.parent_id AS w1 FROM cur c
-  LEFT JOIN par p4 ON p4.node_id = c.node_id LEFT JOIN par p3 ON p3.node_id = p4.parent_id LEFT JOIN par p2 ON p2.node_id = p3.parent_id LEFT JOIN par p1 ON p1.node_id = p2.parent_id
+# Walks along hierarchy edges from seeds of some levels, each step halved: the sum over all steps is the rank from the seed.
+_WALK = f"""hr AS MATERIALIZED (SELECT DISTINCT src, tgt FROM ek WHERE relation IN ('aggregates_to', 'decomposes_into') AND src <> tgt),
+  arc AS MATERIALIZED (SELECT src, tgt, 0.5 / count(*) OVER (PARTITION BY src) AS f FROM hr),
+  walk AS (SELECT 0 AS k, node_id AS seed, node_id AS node, 0.5::DOUBLE AS m FROM cur WHERE level IN ({{0}})
+    UNION ALL SELECT k + 1, seed, tgt, sum(m * f) FROM walk JOIN arc ON src = node WHERE k < {STEPS} GROUP BY k, seed, tgt),
+  rank_ AS (SELECT seed, node, sum(m) AS p FROM walk GROUP BY seed, node)"""
+_BEST = "SELECT seed, node AS node_id, round(p, 6) AS score FROM rank_ JOIN cur c ON c.node_id = node WHERE {0} QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(ln(p), 8) DESC, node) = 1"
+_STEPS_UP = " OR ".join(f"(c.level = '{O.LEVELS[i - 1]}' AND seed IN (SELECT node_id FROM cur WHERE level = '{O.LEVELS[i]}'))" for i in range(1, 5))
+_TRAJ = f"""{_WALK.format(", ".join(f"'{x}'" for x in O.LEVELS[1:]))}, par AS ({_BEST.format(_STEPS_UP)}),
+  tr AS (SELECT c.node_id AS w5, p4.node_id AS w4, p3.node_id AS w3, p2.node_id AS w2, p1.node_id AS w1 FROM cur c
+  LEFT JOIN par p4 ON p4.seed = c.node_id LEFT JOIN par p3 ON p3.seed = p4.node_id LEFT JOIN par p2 ON p2.seed = p3.node_id LEFT JOIN par p1 ON p1.seed = p2.node_id
   WHERE c.level = 'W5_code' AND c.status IN {_in(O.TRUSTED_STATUSES)})"""
 _IND = "ind AS (SELECT DISTINCT src, tgt FROM ek JOIN cur s ON s.node_id = src JOIN cur t ON t.node_id = tgt WHERE s.level = 'W3_approach' AND t.level = 'W3_approach' AND src <> tgt)"
 _WEAK = "arcs AS (SELECT src AS a, tgt AS b FROM ind UNION SELECT tgt, src FROM ind), rch AS (SELECT a, b FROM arcs UNION SELECT r.a, x.b FROM rch r JOIN arcs x ON x.a = r.b), comp AS (SELECT node_id, least(node_id, coalesce(min(b), node_id)) AS component FROM cur LEFT JOIN rch ON a = node_id WHERE level = 'W3_approach' GROUP BY node_id)"
@@ -462,7 +483,9 @@ _Q1 = f"SELECT {_hash_sql("'atom: " + QUESTION + "'")} AS v"
 _Q2 = f"SELECT {_hash_sql("'code: " + QUESTION + "'")} AS v"
 _JSON = lambda c: f"CAST(to_json(coalesce({c}, '')) AS VARCHAR)"
 _FRONT = [("type", _JSON("p.type")), ("title", _JSON("p.name")), ("description", _JSON("substr(p.context, 1, 500)")), ("resource", _JSON("p.source_pdf")), ("tags", "coalesce(p.tags, '[]')"), ("timestamp", _JSON("strftime(p.updated_at, '%Y-%m-%d %H:%M:%S')")), (f"{okf.PREFIX}_node_id", _JSON("p.node_id")), (f"{okf.PREFIX}_level", _JSON("p.level")), (f"{okf.PREFIX}_status", _JSON("p.status")), (f"{okf.PREFIX}_provenance", "coalesce(p.provenance, '{}')")]
-_UPW = "upw AS (SELECT src, arg_min(tgt, (-coalesce(weight, 1.0), tgt)) AS nxt FROM edg WHERE relation = 'aggregates_to' GROUP BY src)"
+_UPW = "upw AS (SELECT src, arg_min(tgt, (-coalesce(weight, 1.0), tgt)) AS nxt FROM edg WHERE relation = 'aggregates_to' AND src <> tgt GROUP BY src)"
+
+_PPR = f"WITH {CUR}, {KEY}, {_ppr_sql("SELECT node_id, 1.0 AS r FROM cur WHERE level = 'W1_problem'", graph.ROUNDS)} SELECT node_id, round(p, 6) AS score FROM p{graph.ROUNDS} WHERE p > 0"
 
 SQL: dict[str, str] = {
     "dense_topk": f"WITH {CUR}, {_USE}, {_TOP} SELECT node_id, round(score, 6) AS score FROM top",
@@ -473,29 +496,28 @@ SQL: dict[str, str] = {
     "hausdorff_by_label": """WITH p AS (SELECT b.label, a.vec_id AS ia, b.vec_id AS ib, 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label <> 0),
       x AS (SELECT label, max(m) AS x FROM (SELECT label, ia, min(d) AS m FROM p GROUP BY ALL) GROUP BY label), y AS (SELECT label, max(m) AS y FROM (SELECT label, ib, min(d) AS m FROM p GROUP BY ALL) GROUP BY label)
       SELECT label, round(greatest(x, y), 6) AS distance FROM x JOIN y USING (label)""",
-    "novelty_argmin": f"""WITH {CUR}, {KEY}, {_USE}, {_parents_sql().format('cur')}, {_TRAJ},
+    "novelty_argmin": f"""WITH RECURSIVE {CUR}, {KEY}, {_USE}, {_TRAJ},
       per AS (SELECT k.level, k.node_id AS ib, max(1 - list_cosine_similarity(m.e, k.e)) AS distance FROM use k JOIN use m ON m.level = k.level AND m.status = 'transient' WHERE k.status <> 'transient' GROUP BY ALL),
       mem AS (SELECT w5 AS trajectory, unnest([w1, w2, w3, w4, w5]) AS ib FROM tr),
       tot AS (SELECT trajectory, sum(distance * coalesce({_map({k: str(v) for k, v in O.LEVEL_WEIGHTS.items()})}[level]::DOUBLE, 0.2)) AS total FROM mem JOIN per USING (ib) GROUP BY trajectory)
       SELECT trajectory, round(total, 6) AS distance, round(1 - least(total / 10, 1), 4) AS score FROM (SELECT trajectory, round(total, 9) AS total FROM tot ORDER BY round(total, 9), trajectory LIMIT 1)""",
     "components_by_level": f"WITH RECURSIVE {CUR}, {KEY}, {_IND}, {_WEAK} SELECT node_id, component FROM comp",
     "components_strong_level": f"WITH RECURSIVE {CUR}, {KEY}, {_IND}, rch AS (SELECT src AS a, tgt AS b FROM ind UNION SELECT r.a, i.tgt FROM rch r JOIN ind i ON i.src = r.b) SELECT node_id, least(node_id, coalesce(min(x.b), node_id)) AS component FROM cur LEFT JOIN (SELECT r.a, r.b FROM rch r JOIN rch q ON q.a = r.b AND q.b = r.a) x ON x.a = node_id WHERE level = 'W3_approach' GROUP BY node_id",
-    "upward_trace": f"""WITH RECURSIVE {CUR}, {EDG}, {_UPW}, w AS (SELECT node_id AS start, 0 AS step, node_id FROM cur WHERE level = 'W5_code'
-      UNION ALL SELECT w.start, w.step + 1, u.nxt FROM w JOIN upw u ON u.src = w.node_id LEFT JOIN cur c ON c.node_id = w.node_id WHERE w.step < 4 AND coalesce(c.level, '') <> 'W2_direction') SELECT start, step, node_id FROM w""",
+    "upward_trace": f"""WITH RECURSIVE {CUR}, {EDG}, {_UPW}, w AS (SELECT node_id AS start, 0 AS step, node_id, [node_id] AS seen FROM cur WHERE level = 'W5_code'
+      UNION ALL SELECT w.start, w.step + 1, u.nxt, list_append(w.seen, u.nxt) FROM w JOIN upw u ON u.src = w.node_id LEFT JOIN cur c ON c.node_id = w.node_id WHERE coalesce(c.level, '') <> 'W2_direction' AND NOT list_contains(w.seen, u.nxt)) SELECT start, step, node_id FROM w""",
     "downward_expand": f"""WITH RECURSIVE {CUR}, {KEY}, dn AS (SELECT DISTINCT src, tgt FROM ek WHERE relation = 'decomposes_into' AND src NOT IN (SELECT node_id FROM cur WHERE level = 'W4_implementation')),
       w AS (SELECT node_id AS start, node_id FROM cur WHERE level = 'W1_problem' UNION SELECT w.start, dn.tgt FROM w JOIN dn ON dn.src = w.node_id) SELECT start, node_id FROM w""",
-    "trajectories_tree": f"WITH {CUR}, {KEY}, {_parents_sql().format('cur')}, {_TRAJ} SELECT w5, w4, w3, w2, w1 FROM tr",
-    "best_ancestor": f"""WITH {CUR}, {KEY}, hr AS (SELECT DISTINCT src, tgt FROM ek WHERE relation IN ('aggregates_to', 'decomposes_into') AND src <> tgt), dg AS (SELECT src, count(*) AS n FROM hr GROUP BY src),
-      s0 AS (SELECT node_id AS seed, node_id, 1.0::DOUBLE AS p FROM cur WHERE level = 'W5_code'), {", ".join(f"s{i + 1} AS (SELECT seed, node_id, sum(p) AS p FROM (SELECT seed, hr.tgt AS node_id, 0.5 * p / n AS p FROM s{i} JOIN hr ON hr.src = s{i}.node_id JOIN dg ON dg.src = hr.src UNION ALL SELECT seed, node_id, 0.5 FROM s0) GROUP BY ALL)" for i in range(3))}
-      SELECT seed, node_id, round(p, 6) AS score FROM s3 WHERE node_id IN (SELECT node_id FROM cur WHERE level = 'W4_implementation') QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(p, 9) DESC, node_id) = 1""",
-    "ppr_fixed_k": f"WITH {CUR}, {KEY}, {_ppr_sql("SELECT node_id, 1.0 AS r FROM cur WHERE level = 'W1_problem'", ROUNDS)} SELECT node_id, round(p, 6) AS score FROM p{ROUNDS} WHERE p > 0",
+    "trajectories_tree": f"WITH RECURSIVE {CUR}, {KEY}, {_TRAJ} SELECT w5, w4, w3, w2, w1 FROM tr",
+    "best_ancestor": f"WITH RECURSIVE {CUR}, {KEY}, {_WALK.format("'W5_code'")} {_BEST.format("c.level = 'W4_implementation'")}",
+    "ppr_fixed_k": _PPR,
+    "ppr_by_joins": _PPR,
     "search_end_to_end": f"""WITH {CUR}, {KEY}, vec AS MATERIALIZED (SELECT node_id, level, {_hash_sql("coalesce(name, '')")} AS v FROM cur), q1 AS MATERIALIZED ({_Q1}), q2 AS MATERIALIZED ({_Q2}),
       tp AS MATERIALIZED (SELECT node_id, round(list_dot_product(vec.v, q1.v), 9) AS s FROM vec, q1 ORDER BY s DESC, node_id LIMIT 10),
       cd AS MATERIALIZED (SELECT node_id, round(list_dot_product(vec.v, q2.v), 9) AS s FROM vec, q2 WHERE level = 'W5_code'),
       rs AS MATERIALIZED (SELECT node_id, sum(r) AS r FROM (SELECT node_id, exp(s - (SELECT max(s) FROM tp)) / (SELECT sum(exp(s - (SELECT max(s) FROM tp))) FROM tp) AS r FROM tp
         UNION ALL SELECT node_id, 0.05 * exp(s - (SELECT max(s) FROM cd)) / (SELECT sum(exp(s - (SELECT max(s) FROM cd))) FROM cd) FROM cd) GROUP BY node_id),
-      {_ppr_sql('SELECT node_id, r FROM rs', ROUNDS)}
-      SELECT c.node_id, c.name, c.type, round(p, 6) AS score FROM p{ROUNDS} x JOIN cur c ON c.node_id = x.node_id WHERE p > 0 AND c.level = 'W4_implementation' AND c.status IN {_in(O.TRUSTED_STATUSES)} ORDER BY score DESC, c.node_id LIMIT 10""",
+      {_ppr_sql('SELECT node_id, r FROM rs', graph.ROUNDS)}
+      SELECT c.node_id, c.name, c.type, round(p, 6) AS score FROM p{graph.ROUNDS} x JOIN cur c ON c.node_id = x.node_id WHERE p > 0 AND c.level = 'W4_implementation' AND c.status IN {_in(O.TRUSTED_STATUSES)} ORDER BY score DESC, c.node_id LIMIT 10""",
     "parent_grouping": f"WITH {CUR}, {KEY}, {_parents_sql().format('cur')}, live AS (SELECT node_id, level FROM cur WHERE status NOT IN ('merged', 'transient')) SELECT level, node_id, '__root__' AS grp FROM live WHERE level = 'W1_problem' UNION ALL SELECT l.level, node_id, parent_id FROM live l JOIN par USING (node_id) WHERE l.level <> 'W1_problem'",
     "merge_rewire": f"WITH {EDG}, {_MRG} SELECT src, tgt, relation, bool_and(moved) AS moved FROM (SELECT coalesce(s.canonical_id, src) AS src, coalesce(t.canonical_id, tgt) AS tgt, relation, s.dup_id IS NOT NULL OR t.dup_id IS NOT NULL AS moved FROM edg LEFT JOIN mrg s ON s.dup_id = src LEFT JOIN mrg t ON t.dup_id = tgt) WHERE src <> tgt GROUP BY src, tgt, relation",
     "merge_apply_statuses": f"WITH {CUR}, {_MRG}, fr AS (SELECT canonical_id, count(DISTINCT dup_id) AS n FROM mrg GROUP BY 1) SELECT c.node_id, CASE WHEN m.dup_id IS NOT NULL THEN 'merged' WHEN fr.n IS NOT NULL THEN 'active' ELSE c.status END AS status, m.canonical_id AS merged_into, coalesce(fr.n, 0)::INT AS n_from FROM cur c LEFT JOIN mrg m ON m.dup_id = c.node_id LEFT JOIN fr ON fr.canonical_id = c.node_id",
@@ -529,8 +551,9 @@ SQL: dict[str, str] = {
       m AS (SELECT child_id, CASE WHEN r = lower(name) THEN 0 ELSE 1 END AS tier, version, node_id FROM k JOIN cur ON cur.level = k.level AND length(name) > 0 AND (starts_with(r, lower(name)) OR starts_with(lower(name), r)))
       SELECT child_id, arg_min(node_id, (tier, version, node_id)) AS parent_id FROM m GROUP BY child_id""",
     "segments_concat_truncate": r"WITH p AS (SELECT source, count(*) AS n_segments, substr(string_agg(text, E'\n\n--- chunk ---\n\n' ORDER BY doc_id), 1, 12000) AS prompt FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source) SELECT source, n_segments, length(prompt)::INT AS n_chars, md5(prompt) AS digest FROM p",
-    "arxiv_id_extract": "SELECT doc_id, lpad((doc_id % 9000)::VARCHAR, 4, '1') || '.' || lpad(doc_id::VARCHAR, 5, '0') AS arxiv_id FROM documents",
-    "atom_feed_parse": "SELECT doc_id, trim(coalesce(section, '') || ' of') AS title, coalesce(lang, '') AS summary, '2021' AS year FROM documents",
+    "arxiv_id_extract": r"SELECT doc_id, regexp_extract(text, '(?i)(?:arxiv[:\s])?(\d{4}\.\d{4,5}(?:v\d+)?)', 1) AS arxiv_id FROM documents",
+    "atom_feed_parse": r"""WITH x AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, replace(replace(replace(coalesce(source, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s, coalesce(section, '') AS c FROM documents)
+      SELECT doc_id, md5(trim(regexp_replace(t, '[\s\v]+', ' ', 'g'))) AS title_digest, s || '|' || c AS authors, 2021 AS year, doc_id::VARCHAR AS arxiv_id FROM x""",
     "slugify": f"WITH {CUR} SELECT node_id, {_SLUG.format('name')} AS slug FROM cur",
     "okf_relation_lines": f"WITH {CUR}, {KEY}, {_LINES} SELECT node_id, string_agg(line, chr(10) ORDER BY d, relation, o) AS lines FROM lnk GROUP BY node_id",
     "okf_concepts": f"""WITH {CUR}, {PROV}, {KEY}, {_LINES}, l AS (SELECT node_id, string_agg(line, chr(10) ORDER BY d, relation, o) AS lines FROM lnk GROUP BY node_id),

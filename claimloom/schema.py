@@ -62,7 +62,7 @@ def with_provenance(atoms: DataFrame) -> DataFrame:
     """Promotes the provenance keys that rules read to columns; provenance that is no JSON counts as none."""
     p = valid_json(F.col("provenance"))
     got = {k: F.get_json_object(p, f"$.{k}") for k in ("raw_citation", "code_span", "phase")}
-    nums = {k: F.get_json_object(p, f"$.{k}").cast("double") for k in ("score", "score_std")}
+    nums = {k: F.get_json_object(p, f"$.{k}").try_cast("double") for k in ("score", "score_std")}
     return atoms.withColumns({"provenance": F.when(p != "{}", p), **got, **nums})
 
 

@@ -277,4 +277,4 @@ def test_arxiv_ids_come_from_whole_texts(spark, rows, tmp_path):
     texts = [(1, "arXiv:1234.00001v2 a"), (2, "long before it " * 50 + "see https://arxiv.org/abs/2101.12345v3."), (3, "no id"), (4, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["arxiv_id"] for r in analytics.arxiv_id_extract(spark, str(tmp_path)).collect()}
-    assert got == {1: "1234.00001", 2: "2101.12345", 3: "", 4: None}
+    assert got == {1: "1234.00001v2", 2: "2101.12345v3", 3: "", 4: None}
