@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -59,8 +60,8 @@ def read_confusables(path: str) -> dict[str, str]:
     return out
 
 
-def _tables() -> tuple[dict, set, set]:
-    """Translation before decomposition (ignorables, white space, shown forms), and the letters that join the next or the one before."""
+def _tables() -> tuple[dict, set, set, re.Pattern]:
+    """Translation before decomposition (ignorables, white space, shown forms), the letters that join the next or the one before, and what finds a character to translate."""
     before: dict[int, str | None] = {c: None for a, b in IGNORABLE for c in range(a, b + 1)}
     joins_next, joins_last = set(), set()
     for c in range(sys.maxunicode + 1):
@@ -76,21 +77,34 @@ def _tables() -> tuple[dict, set, set]:
             shape, *letters = unicodedata.decomposition(chr(c)).split() or [""]
             if len(letters) == 1 and shape in ("<initial>", "<medial>", "<final>"):
                 (joins_last if shape == "<final>" else joins_next).add(chr(int(letters[0], 16)))
-    return before, joins_next, joins_last
+    changed = sorted(c for c, to in before.items() if to != chr(c))
+    ends = [(a, b) for a, b in zip([None, *changed], [*changed, None], strict=True) if a is None or b is None or b > a + 1]
+    runs = zip([b for _, b in ends[:-1]], [a for a, _ in ends[1:]], strict=True)
+    return before, joins_next, joins_last, re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
-_TABLES: tuple[dict, set, set] | None = None
-_BUILT_IN = {ord(a): b for a, b in LOOK_ALIKES.items()}
+_TABLES: tuple[dict, set, set, re.Pattern] | None = None
 
 
-def look(text: str, letters: dict[int, str] = _BUILT_IN) -> str:
+class Letters:
+    """Look-alike letters as a translation, and what finds one."""
+
+    def __init__(self, look_alikes: dict[str, str]):
+        self.to = {ord(a): b for a, b in look_alikes.items()}
+        self.found = re.compile(f"[{re.escape(''.join(sorted(look_alikes)))}]").search
+
+
+_BUILT_IN = Letters(LOOK_ALIKES)
+
+
+def look(text: str, letters: Letters = _BUILT_IN) -> str:
     """The text as it looks: one sequence of characters for all that are shown alike.
 
     Characters that are not shown are removed (but joiners that change what is
     shown: in sequences of symbols, after a virama, and where they make or break a
     join of cursive letters); every kind of space is a plain one; full-width forms
     and ligatures are written out; letters of other scripts are the Latin letters
-    they look like (``letters``, by code point); accents are composed.  Letter case
+    they look like (``letters``); accents are composed.  Letter case
     and the numbers of spaces and line breaks stay.
     """
     global _TABLES
@@ -98,17 +112,21 @@ def look(text: str, letters: dict[int, str] = _BUILT_IN) -> str:
         return text.replace("\r\n", "\n") if "\r" in text else text
     if _TABLES is None:
         _TABLES = _tables()
-    if JOINER in text or NON_JOINER in text:
+    joined = JOINER in text or NON_JOINER in text
+    if joined:
         text = _keep_shown_joiners(text)
-    plain = text.translate(_TABLES[0]).replace("\r\n", "\n").translate(_BACK)
+    plain = (text.translate(_TABLES[0]) if _TABLES[3].search(text) else text).replace("\r\n", "\n")
+    if joined:
+        plain = plain.translate(_BACK)
     if plain.isascii():
         return plain
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", plain).translate(letters))
+    apart = unicodedata.normalize("NFD", plain)
+    return unicodedata.normalize("NFC", apart.translate(letters.to) if letters.found(apart) else apart)
 
 
 def _keep_shown_joiners(text: str) -> str:
     """Joiners that change what is shown as private characters, so that they are not removed."""
-    _, joins_next, joins_last = _TABLES
+    _, joins_next, joins_last, _ = _TABLES
     out = list(text)
     for i, c in enumerate(text):
         if c not in KEPT:
@@ -125,7 +143,7 @@ def _keep_shown_joiners(text: str) -> str:
     return "".join(out)
 
 
-def form(text: str, letters: dict[int, str] = _BUILT_IN) -> str:
+def form(text: str, letters: Letters = _BUILT_IN) -> str:
     """The one consistent form: compatibility composition of the look, full case folding, single spaces."""
     return form_of_look(look(text, letters))
 
@@ -144,9 +162,9 @@ def _each(texts: pd.Series, f) -> pd.Series:
     return pd.Series([None if c < 0 else done[c] for c in codes], dtype=object)
 
 
-def _letters(confusables: str | None) -> dict[int, str]:
+def _letters(confusables: str | None) -> Letters:
     """Look-alike letters: the built-in ones, and those of a file, which is read on the driver."""
-    return _BUILT_IN if confusables is None else _BUILT_IN | {ord(a): b for a, b in read_confusables(confusables).items()}
+    return _BUILT_IN if confusables is None else Letters(LOOK_ALIKES | read_confusables(confusables))
 
 
 def consistent_form(text: Column, confusables: str | None = None) -> Column:
