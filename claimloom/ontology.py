@@ -20,15 +20,15 @@ TYPE_CHECKS = {"numerical": "I1", "citation": "I3", "method": "I4", "solution":
 LEVEL_MIGRATIONS = {"W2_problem_analysis": "W1_problem", "W3_solution_direction": "W2_direction", "W4_concrete_solution": "W4_implementation", "W5_code_implementation": "W5_code"}
 TYPE_MIGRATIONS = {"paper": "citation", "fact": "concept"}
 MATRIX = {
-    "extends": ["method>method", "solution>solution", "component>component"],
-    "improves": ["method>method", "method>bottleneck", "solution>solution", "solution>bottleneck"],
-    "replaces": ["method>method", "solution>solution", "component>component", "citation>citation"],
-    "adapts": ["method>method", "solution>solution", "method>bottleneck", "solution>bottleneck"],
-    "uses_component": ["method>component", "solution>component"],
-    "compares": ["method>method", "solution>solution", "experiment>method", "experiment>solution"],
-    "implements": ["solution>method", "component>solution", "component>method", "solution>hypothesis"],
-    "validates": ["verification>hypothesis", "verification>numerical", "verification>method", "verification>solution", "experiment>hypothesis"],
-    "boundary_of": ["concept>method", "concept>solution", "concept>experiment", "numerical>experiment"],
+    "extends": [("method", "method"), ("solution", "solution"), ("component", "component")],
+    "improves": [("method", "method"), ("method", "bottleneck"), ("solution", "solution"), ("solution", "bottleneck")],
+    "replaces": [("method", "method"), ("solution", "solution"), ("component", "component"), ("citation", "citation")],
+    "adapts": [("method", "method"), ("solution", "solution"), ("method", "bottleneck"), ("solution", "bottleneck")],
+    "uses_component": [("method", "component"), ("solution", "component")],
+    "compares": [("method", "method"), ("solution", "solution"), ("experiment", "method"), ("experiment", "solution")],
+    "implements": [("solution", "method"), ("component", "solution"), ("component", "method"), ("solution", "hypothesis")],
+    "validates": [("verification", "hypothesis"), ("experiment", "hypothesis"), ("verification", "numerical"), ("verification", "method"), ("verification", "solution")],
+    "boundary_of": [("concept", "method"), ("concept", "solution"), ("concept", "experiment"), ("numerical", "experiment")],
 }
 REQUIRED_PROVENANCE = {"numerical": "score", "citation": "raw_citation", "method": "*", "solution": "*", "experiment": "*"}
 DEMOTIONS = {"numerical": "conclusion", "citation": "concept"}
@@ -60,7 +60,7 @@ def level_ordinal(c: Column) -> Column:
 
 def matrix(spark: SparkSession) -> DataFrame:
     """Allowed pairs of types by relation: relation, src_type, tgt_type."""
-    rows = [(r, *p.split(">")) for r, pairs in MATRIX.items() for p in pairs]
+    rows = [(r, *p) for r, pairs in MATRIX.items() for p in pairs]
     return spark.createDataFrame(rows, "relation string, src_type string, tgt_type string")
 
 

@@ -13,6 +13,7 @@ from claimloom.ontology import LEVELS, TYPES
 from claimloom.operators.graph import parents_at, weak_components
 from claimloom.plans.lineage import cut
 from claimloom.plans.ship import ship
+from claimloom.plans.skew import hot_from_counts, salted_join
 
 #: Vectors of a group compared in one block; larger groups are compared by pairs of blocks.
 BLOCK = 2_000
@@ -36,9 +37,11 @@ def similar_in_group(vectors: DataFrame, threshold: float) -> DataFrame:
     is spread; many small groups share a call.  Groups are the stated unit of
     comparison, and no pair leaves the task unless it passes.
     """
-    sizes = vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    v = vectors.join(sizes, "grp").select("grp", "node_id", "embedding", parts.alias("parts"), F.pmod(F.xxhash64("node_id"), parts).cast("int").alias("block"))
+    total, tiled = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * parts), F.lit(0))).first()
+    hot = hot_from_counts(sizes, ["grp"], "n", total)
+    v = salted_join(vectors, sizes, ["grp"], total=total, hot=hot).select("grp", "node_id", "embedding", parts.alias("parts"), F.pmod(F.xxhash64("node_id"), parts).cast("int").alias("block"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     sent = v.select("grp", "node_id", "embedding", "block", F.explode(tiles).alias("t")).select("grp", "node_id", "embedding", "block", "t.i", "t.j")
     ship(vectors.sparkSession)
@@ -61,7 +64,7 @@ def similar_in_group(vectors: DataFrame, threshold: float) -> DataFrame:
                 parts.append(pd.DataFrame({"grp": grp[at[0]], "a": np.minimum(x, y), "b": np.maximum(x, y), "cos": c}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"grp": [], "a": [], "b": [], "cos": []})
 
-    packs = max(1, vectors.count() // PACK)
+    packs = max(1, tiled // PACK)  # rows as they are sent, once per pair of blocks
     packed = sent.withColumn("pack", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(packs)))
     return packed.groupBy("pack").applyInPandas(compare, "grp string, a string, b string, cos double")
 
@@ -80,7 +83,7 @@ def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     rho = [c for c in edges.columns if c == "rho_json"]
     s, t = mapping.select(F.col("dup_id").alias("src"), F.col("canonical_id").alias("ns")), mapping.select(F.col("dup_id").alias("tgt"), F.col("canonical_id").alias("nt"))
-    out = edges.join(s, "src", "left").join(t, "tgt", "left").select(F.coalesce("ns", "src").alias("src"), F.coalesce("nt", "tgt").alias("tgt"), "relation", "weight", *rho, (F.col("ns").isNotNull() | F.col("nt").isNotNull()).alias("moved"))
+    out = salted_join(edges.join(s, "src", "left"), t, ["tgt"], "left").select(F.coalesce("ns", "src").alias("src"), F.coalesce("nt", "tgt").alias("tgt"), "relation", "weight", *rho, (F.col("ns").isNotNull() | F.col("nt").isNotNull()).alias("moved"))
     kept = out.where(F.col("src") != F.col("tgt"))
     return kept.groupBy("src", "tgt", "relation").agg(F.min_by("weight", F.struct("moved", F.coalesce("weight", F.lit(1.0)))).alias("weight"), *[F.min_by(c, F.struct(F.col(c).isNull(), "moved", F.coalesce("weight", F.lit(1.0)), c)).alias(c) for c in rho], F.min("moved").alias("moved"))
 

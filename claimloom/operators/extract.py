@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.ontology import DEFAULT_TYPE, HORIZONTAL, TYPES, lookup
+from claimloom.ontology import DEFAULT_TYPE, TYPES, lookup
 
 #: A prompt takes so many characters.
 PROMPT_CHARS = 12_000
@@ -24,15 +24,18 @@ PHASE2 = f"""struct<W4_implementations: array<struct<name: string, context: stri
 def prompts(segments: DataFrame, chars: int = PROMPT_CHARS) -> DataFrame:
     """(source, n_segments, prompt): a source's segments in order, joined, cut to ``chars`` characters.
 
-    Only segments that begin before the cut are gathered: a running length, itself
-    by source, tells which, so no task holds more than ``chars`` and one segment
-    per source.
+    A segment takes at least the mark between two, so only a source's first few
+    hundred can begin before the cut: others are left behind before the shuffle, and
+    of those few a running length tells which are gathered.  So a source with any
+    number of segments is small by the time it meets in one task.
     """
-    order = Window.partitionBy("source").orderBy("pos")
-    lengths = segments.withColumn("before", F.sum(F.length("text") + len(CHUNK_MARK)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    order = Window.partitionBy("source").orderBy("pos", "text")
+    some = segments.select("source", "pos", F.substring("text", 1, chars).alias("text"), F.length("text").alias("n"))
+    first = some.withColumn("i", F.row_number().over(order)).where(F.col("i") <= chars // len(CHUNK_MARK) + 2)
+    before = F.coalesce(F.sum(F.col("n") + len(CHUNK_MARK)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = first.withColumn("before", before).where(F.col("before") - len(CHUNK_MARK) < chars)
     counts = segments.groupBy("source").agg(F.count(F.lit(1)).alias("n_segments"))
-    near = lengths.where(F.coalesce("before", F.lit(0)) - len(CHUNK_MARK) < chars)
-    joined = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("pos", F.substring("text", 1, chars).alias("text")))).alias("s"))
+    joined = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("i", "text"))).alias("s"))
     text = F.substring(F.array_join(F.transform("s", lambda x: x["text"]), CHUNK_MARK), 1, chars)
     return joined.join(counts, "source").select("source", "n_segments", text.alias("prompt"))
 
@@ -132,10 +135,6 @@ def parse_phase2(replies: DataFrame, approaches: DataFrame) -> tuple[DataFrame,
     return atoms, e1.unionByName(e2).unionByName(parts[0]).unionByName(parts[1]).distinct()
 
 
-def known_relation(c: Column) -> Column:
-    return F.when(c.isin(HORIZONTAL), c).otherwise("related_to")
-
-
 def reduce_groups(components: DataFrame, atoms: DataFrame, to_prefix: str) -> DataFrame:
     """One new atom per component: id, name of the first source atom, size, first provenance; the offline form of a level reduction."""
     j = components.join(atoms, "node_id")

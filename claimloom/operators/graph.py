@@ -315,6 +315,12 @@ def parents_at(edges: DataFrame, atoms: DataFrame, child_level: str, parent_leve
     return cand.groupBy("node_id").agg(F.min(F.struct("prio", "parent_id")).alias("m")).select("node_id", F.col("m.parent_id").alias("parent_id"))
 
 
+def trajectory_members(chains: DataFrame, name: str = "node_id") -> DataFrame:
+    """(trajectory, level, ``name``): the atoms of each trajectory, which is named by its code atom."""
+    steps = F.array(*[F.struct(F.lit(lv).alias("level"), F.col(f"w{i + 1}").alias(name)) for i, lv in enumerate(LEVELS)])
+    return chains.select(F.col("w5").alias("trajectory"), F.explode(steps).alias("x")).select("trajectory", "x.*").where(F.col(name).isNotNull())
+
+
 def trajectories(edges: DataFrame, atoms: DataFrame, statuses: list[str], damping: float = 0.5) -> DataFrame:
     """(w5, w4, w3, w2, w1): from every code atom of the given statuses its best ancestor at each level, at any distance.
 

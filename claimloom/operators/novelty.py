@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.vectors import cosine
+from claimloom import ontology as O
 from claimloom.ontology import LEVEL_WEIGHTS, lookup
 from claimloom.plans.ship import ship
 
@@ -23,6 +23,18 @@ def _units(vectors) -> np.ndarray:
     return m / np.where(length == 0, 1.0, length)
 
 
+def _blocks(spark, rows) -> Iterator:
+    """Rows of a query set, broadcast in blocks of at most ``QUERY_BLOCK``."""
+    block = []
+    for row in rows:
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            yield spark.sparkContext.broadcast(block)
+            block = []
+    if block:
+        yield spark.sparkContext.broadcast(block)
+
+
 def farthest(known: DataFrame, proposal: DataFrame) -> DataFrame:
     """(level, ib, distance): for each known atom (level, ib, vb) the largest cosine distance to the proposal's (level, va).
 
@@ -30,35 +42,49 @@ def farthest(known: DataFrame, proposal: DataFrame) -> DataFrame:
     stated query set: it goes to the workers in blocks of ``QUERY_BLOCK`` vectors, and
     known atoms stay where they are; only one number per atom and block is combined.
     """
-    ship(known.sparkSession)
-    parts, block = [], []
-
-    def compare(chunk: list) -> DataFrame:
-        sent = known.sparkSession.sparkContext.broadcast(chunk)  # QUERY_BLOCK vectors at most
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by: dict = {}
-            for level, v in sent.value:
-                by.setdefault(level, []).append(v)
-            mine = {level: _units(v) for level, v in by.items()}
-            for pdf in batches:
+    spark = known.sparkSession
+    ship(spark)
+    sent = list(_blocks(spark, ((r[0], [float(x) for x in r[1]]) for r in proposal.select("level", "va").toLocalIterator())))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block in sent:
+                by: dict = {}
+                for level, v in block.value:
+                    by.setdefault(level, []).append(v)
                 for level, rows in pdf.groupby("level"):
-                    if level in mine:
-                        yield pd.DataFrame({"level": level, "ib": rows["ib"].to_numpy(), "distance": (1 - _units(rows["vb"]) @ mine[level].T).max(axis=1)})
+                    if level in by:
+                        yield pd.DataFrame({"level": level, "ib": rows["ib"].to_numpy(), "distance": (1 - _units(rows["vb"]) @ _units(by[level]).T).max(axis=1)})
 
-        return known.select("level", "ib", "vb").mapInPandas(run, "level string, ib string, distance double")
+    return known.select("level", "ib", "vb").mapInPandas(run, "level string, ib string, distance double").groupBy("level", "ib").agg(F.max("distance").alias("distance"))
 
-    for row in proposal.select("level", "va").toLocalIterator():
-        block.append((row[0], [float(x) for x in row[1]]))
-        if len(block) == QUERY_BLOCK:
-            parts.append(compare(block))
-            block = []
-    if block or not parts:
-        parts.append(compare(block))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("level", "ib").agg(F.max("distance").alias("distance"))
+
+def hausdorff_to(points: DataFrame, by: str, base: DataFrame) -> DataFrame:
+    """(by, distance): Hausdorff distance of each group of ``points`` (by, v) from one set ``base`` (v).
+
+    ``base`` is the stated query set and goes to the workers in blocks; the points
+    stay where they are.  Of each batch only the smallest distances leave a task: one
+    per point, and one per group and vector of the base.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    kind = dict(points.dtypes)[by]
+    sent = list(_blocks(spark, ([float(x) for x in r[0]] for r in base.select("v").toLocalIterator())))
+    if not sent:
+        return points.select(by, F.lit(0.0).alias("distance")).limit(0)
+    numbered = points.select(by, "v", F.monotonically_increasing_id().alias("id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, rows in pdf.groupby(by):
+                m = _units(rows["v"])
+                for i, block in enumerate(sent):
+                    d = 1 - m @ _units(block.value).T
+                    yield pd.DataFrame({by: g, "side": "a", "id": rows["id"].to_numpy(), "m": d.min(axis=1)})
+                    yield pd.DataFrame({by: g, "side": "b", "id": i * QUERY_BLOCK + np.arange(d.shape[1]), "m": d.min(axis=0)})
+
+    near = numbered.mapInPandas(run, f"{by} {kind}, side string, id bigint, m double").groupBy(by, "side", "id").agg(F.min("m").alias("m"))
+    return near.groupBy(by).agg(F.max("m").alias("distance"))
 
 
 def hausdorff(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -80,6 +106,25 @@ def weighted_total(distances: DataFrame, by: list[str]) -> DataFrame:
     return distances.groupBy(*by).agg(F.sum(F.col("distance") * w).alias("total"))
 
 
+def trajectory_distances(members: DataFrame, per: DataFrame, proposal_levels: DataFrame) -> DataFrame:
+    """(trajectory, level, distance) at all five levels, an empty side counting as in ``with_empty_sets``.
+
+    ``members``: (trajectory, level, ib), at most one per level; ``per``: (ib,
+    distance) of the atoms whose level the proposal has; ``proposal_levels``: (level).
+    """
+    levels = F.broadcast(O.levels(members.sparkSession).select("level"))  # fixed values
+    mine = F.broadcast(proposal_levels.select("level").distinct().withColumn("na", F.lit(1)))  # five levels at most
+    full = members.select("trajectory").distinct().join(levels).join(mine, "level", "left")
+    held = members.join(per.select("ib", "distance"), "ib", "left").select("trajectory", "level", "distance", "usable")
+    both = full.join(held, ["trajectory", "level"], "left")
+    return with_empty_sets(both, "na", "usable").select("trajectory", "level", "distance")
+
+
+def last_wins(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Of several rows of a key, the last in the given order; null orders come first."""
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in by]), F.struct(*order)).alias("__m")).select(*by, "__m.*")
+
+
 def score(total):
     """1 - min(total / 10, 1), to four places; a larger distance lowers it, so the raw distance is kept beside it."""
     return F.round(1 - F.least(total / 10, F.lit(1.0)), 4)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from claimloom.ontology import HIERARCHY, LEVEL_ALIASES, LEVEL_MIGRATIONS, TRUSTED_STATUSES, TYPE_MIGRATIONS, lookup
+from claimloom.ontology import LEVEL_ALIASES, LEVEL_MIGRATIONS, TRUSTED_STATUSES, TYPE_MIGRATIONS, lookup
+from claimloom.plans.skew import salted_join
 
 EDGE_KEY = ["src", "tgt", "relation"]
 
@@ -67,7 +71,7 @@ def graph_view(edges: DataFrame, atoms: DataFrame) -> DataFrame:
     a = atoms.select("node_id", "type", "level")
     s = a.select(F.col("node_id").alias("src"), F.col("type").alias("src_type"), F.col("level").alias("src_level"))
     t = a.select(F.col("node_id").alias("tgt"), F.col("type").alias("tgt_type"), F.col("level").alias("tgt_level"))
-    return edges.join(s, "src").join(t, "tgt").select("src", "tgt", "relation", "weight", "src_type", "src_level", "tgt_type", "tgt_level")
+    return salted_join(edges.join(s, "src"), t, ["tgt"]).select("src", "tgt", "relation", "weight", "src_type", "src_level", "tgt_type", "tgt_level")
 
 
 def consistency_report(edges: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -150,60 +154,111 @@ def delete_transient(atoms: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
 # -- snapshots ---------------------------------------------------------------
 
 
-class GraphStore:
-    """Atoms and edges as versioned Parquet snapshots behind a pointer file.
+class Conflict(RuntimeError):
+    """Another writer has committed since the state was read."""
+
 
-    A commit writes a new folder and then moves the pointer, so readers see either
-    the old or the new state, and a plan may read the tables it replaces.
+class GraphStore:
+    """Atoms and edges as folders of Parquet files behind a log of commits.
+
+    A commit names the folders that make up each table.  It is a file of its own,
+    written aside and then renamed to the next number, which fails if that number is
+    taken: readers see the state before or after, a crash leaves the state before,
+    and of two writers that began from one state the second gets ``Conflict``.
+    ``append`` adds folders, ``commit`` replaces them, and a plan may read what it
+    replaces; ``vacuum`` removes folders that no recent commit names.
     """
 
+    TABLES = ("atoms", "edges")
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._file = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._file(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._file(self.path).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(self._file(self.path)).toUri(), conf)
 
-    def _pointer(self) -> str | None:
-        p = self._file(f"{self.path}/current")
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+    def versions(self) -> list[int]:
+        """Numbers of all commits, in order."""
+        log = self._file(f"{self.path}/log")
+        names = [f.getPath().getName() for f in self._fs.listStatus(log)] if self._fs.exists(log) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n))
 
     def exists(self) -> bool:
-        return self._pointer() is not None
-
-    def _read(self, table: str) -> DataFrame:
-        now = self._pointer()
-        if now is None:
-            raise FileNotFoundError(f"no snapshot in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{now}/{table}")
+        return bool(self.versions())
+
+    def _state(self, version: int | None = None) -> dict:
+        numbers = self.versions()
+        if not numbers:
+            raise FileNotFoundError(f"no commit in {self.path}")
+        number = numbers[-1] if version is None else version
+        stream = self._fs.open(self._file(f"{self.path}/log/{number}.json"))
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text) | {"version": number}
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table as of a commit, by default the last."""
+        state = self._state(version)
+        schema = T.StructType.fromJson(state["schema"][table])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in state[table]])
 
     @property
     def atoms(self) -> DataFrame:
-        return self._read("atoms")
+        return self.read("atoms")
 
     @property
     def edges(self) -> DataFrame:
-        return self._read("edges")
-
-    def commit(self, atoms: DataFrame, edges: DataFrame) -> str:
-        """Write both tables as a new snapshot and make it current; returns its name."""
-        name = f"snapshot-{uuid.uuid4().hex[:12]}"
-        atoms.write.parquet(f"{self.path}/{name}/atoms")
-        edges.write.parquet(f"{self.path}/{name}/edges")
-        old, new = self._file(f"{self.path}/current"), self._file(f"{self.path}/.current-{name}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
-        return name
-
-
-def edge_of(src: str, tgt: str, relation: str, **more) -> dict:
-    """A row of edges as a dict; relation must be of the ontology's hierarchy or horizontal ones."""
-    return {"src": src, "tgt": tgt, "relation": relation, "weight": 1.0, "rho_json": json.dumps(more["rho"]) if more.get("rho") else None, "provenance": None, "created_at": None}
+        return self.read("edges")
 
-
-def is_hierarchy(c: Column) -> Column:
-    return c.isin(HIERARCHY)
+    def _log(self, state: dict, number: int) -> int:
+        aside, final = self._file(f"{self.path}/log/.{uuid.uuid4().hex}"), self._file(f"{self.path}/log/{number}.json")
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        try:
+            self._context.rename(aside, final, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            self._fs.delete(aside, False)
+            if self._fs.exists(final):
+                raise Conflict(f"commit {number} of {self.path} is taken") from e
+            raise
+        return number
+
+    def commit(self, atoms: DataFrame, edges: DataFrame, *, since: int | None = None) -> int:
+        """Replace both tables; returns the number of the commit.  ``since``: the commit that was read."""
+        name, state = f"data-{uuid.uuid4().hex[:12]}", {"schema": {}}
+        number = 1 + (max(self.versions(), default=0) if since is None else since)
+        for table, df in zip(self.TABLES, (atoms, edges), strict=True):
+            df.write.parquet(f"{self.path}/{name}/{table}")
+            state |= {table: [f"{name}/{table}"]}
+            state["schema"][table] = df.schema.jsonValue()
+        return self._log(state, number)
+
+    def append(self, atoms: DataFrame | None = None, edges: DataFrame | None = None, *, since: int | None = None) -> int:
+        """Add rows to the tables, in their columns; only the new rows are written."""
+        state = self._state()
+        number = 1 + (state.pop("version") if since is None else since)
+        name = f"data-{uuid.uuid4().hex[:12]}"
+        for table, df in zip(self.TABLES, (atoms, edges), strict=True):
+            if df is None:
+                continue
+            have = set(df.columns)
+            fields = T.StructType.fromJson(state["schema"][table]).fields
+            df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{self.path}/{name}/{table}")
+            state[table] = [*state[table], f"{name}/{table}"]
+        return self._log(state, number)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete data that none of the last ``keep`` commits names, and older commits; returns the number of folders."""
+        numbers = self.versions()
+        named = {f.split("/")[0] for n in numbers[-keep:] for t in self.TABLES for f in self._state(n)[t]}
+        gone = 0
+        for f in self._fs.listStatus(self._file(self.path)):
+            name = f.getPath().getName()
+            if name.startswith("data-") and name not in named:
+                gone += self._fs.delete(f.getPath(), True)
+        for n in numbers[:-keep]:
+            self._fs.delete(self._file(f"{self.path}/log/{n}.json"), False)
+        return gone

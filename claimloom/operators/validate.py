@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom import ontology as O
+from claimloom.plans.skew import salted_join
 
 
 def _edge_target() -> Column:
@@ -35,7 +36,7 @@ def _held(edges: DataFrame, atoms: DataFrame) -> DataFrame:
     a = atoms.select("node_id", "type", "level")
     s = a.select(F.col("node_id").alias("src"), F.lit(True).alias("has_src"), F.col("type").alias("src_type"), F.col("level").alias("src_level"))
     t = a.select(F.col("node_id").alias("tgt"), F.lit(True).alias("has_tgt"), F.col("type").alias("tgt_type"), F.col("level").alias("tgt_level"))
-    return edges.join(s, "src", "left").join(t, "tgt", "left")
+    return salted_join(edges.join(s, "src", "left"), t, ["tgt"], "left")
 
 
 def r1_edges(edges: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def rewrite_ends(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with mapped ends; self loops and repeated edges stay, as a batch repair leaves them."""
     s = mapping.select(F.col("dup_id").alias("src"), F.col("canonical_id").alias("new_src"))
     t = mapping.select(F.col("dup_id").alias("tgt"), F.col("canonical_id").alias("new_tgt"))
-    out = edges.join(s, "src", "left").join(t, "tgt", "left")
+    out = salted_join(edges.join(s, "src", "left"), t, ["tgt"], "left")
     return out.select(F.coalesce("new_src", "src").alias("src"), F.coalesce("new_tgt", "tgt").alias("tgt"), *[c for c in edges.columns if c not in ("src", "tgt")])
 
 
@@ -139,15 +140,15 @@ def apply_edge_actions(edges: DataFrame, updates: DataFrame, removals: DataFrame
 # Fixed values of the older ontology.
 V2_TYPES = ["method", "bottleneck", "paper", "fact", "component", "hypothesis", "experiment", "verification"]
 V2_MATRIX = {
-    "EXTENDS": ["method>method"],
-    "IMPROVES": ["method>method", "method>bottleneck"],
-    "REPLACES": ["method>method", "component>component"],
-    "ADAPTS": ["method>method", "method>bottleneck"],
-    "USES_COMPONENT": ["method>component"],
-    "COMPARES": ["method>method", "experiment>method"],
-    "IMPLEMENTS": ["method>hypothesis", "method>paper"],
-    "VALIDATES": ["experiment>hypothesis", "verification>hypothesis", "method>method"],
-    "BOUNDARY_OF": ["fact>method", "fact>experiment"],
+    "EXTENDS": [("method", "method")],
+    "IMPROVES": [("method", "method"), ("method", "bottleneck")],
+    "REPLACES": [("method", "method"), ("component", "component")],
+    "ADAPTS": [("method", "method"), ("method", "bottleneck")],
+    "USES_COMPONENT": [("method", "component")],
+    "COMPARES": [("method", "method"), ("experiment", "method")],
+    "IMPLEMENTS": [("method", "hypothesis"), ("method", "paper")],
+    "VALIDATES": [("experiment", "hypothesis"), ("verification", "hypothesis"), ("method", "method")],
+    "BOUNDARY_OF": [("fact", "method"), ("fact", "experiment")],
 }
 V2_RELATIONS = [*V2_MATRIX, "BACKGROUND", "RELATED_TO"]
 V2_STRONG = ["EXTENDS", "IMPROVES", "REPLACES", "ADAPTS"]
@@ -165,7 +166,7 @@ def v2_validate(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     named = atoms.groupBy("name").agg(F.max_by("type", "pos").alias("type"))
     s, t = named.select(F.col("name").alias("src"), F.col("type").alias("src_type")), named.select(F.col("name").alias("tgt"), F.col("type").alias("tgt_type"))
     e = edges.join(s, "src", "left").join(t, "tgt", "left")
-    rows = [r for rel, pairs in V2_MATRIX.items() for r in [(rel, *p.split(">")) for p in pairs]]
+    rows = [(rel, *p) for rel, pairs in V2_MATRIX.items() for p in pairs]
     allowed = F.broadcast(atoms.sparkSession.createDataFrame(rows, "relation string, src_type string, tgt_type string"))
     pair_bad = e.where(F.col("src_type").isNotNull() & F.col("tgt_type").isNotNull() & F.col("relation").isin(list(V2_MATRIX))).join(allowed, ["relation", "src_type", "tgt_type"], "left_anti")
     return reduce(
@@ -195,9 +196,3 @@ def v2_coerce(atoms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     t = F.lower("type")
     a = atoms.withColumn("type", F.when(t.isin(V2_TYPES), t).otherwise("method"))
     return a, edges.withColumn("relation", F.upper("relation")).where(F.col("relation").isin(V2_RELATIONS))
-
-
-def first_in_group(df: DataFrame, by: list[str], value: str, order: list[Column]) -> DataFrame:
-    """(by, value of the first row) by a window; the library's form of first-wins columns."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*by, value)

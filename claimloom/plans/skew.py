@@ -29,10 +29,14 @@ def hot_from_counts(counts: DataFrame, keys: list[str], n: str, total: int) -> D
     return counts.where(F.col(n) > bar).select(*keys, salts.alias(_N))
 
 
-def hot_keys(df: DataFrame, keys: list[str], total: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
     """Hot keys of ``df``; the count is combined before its shuffle."""
     counts = df.where(_all_set(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return hot_from_counts(counts, keys, "__n", total)
+    if total is not None:
+        return hot_from_counts(counts, keys, "__n", total)
+    bar = counts.agg(F.greatest(F.lit(HOT_ROWS), F.floor(F.sum("__n") / HOT_PARTS)).alias("__bar"))
+    many = counts.where(F.col("__n") > HOT_ROWS).join(F.broadcast(bar)).where(F.col("__n") > F.col("__bar"))  # one row
+    return many.select(*keys, F.least(F.lit(HOT_PARTS), F.ceil(F.col("__n") / F.col("__bar")).cast("int") + 1).alias(_N))
 
 
 def _all_set(keys: list[str]) -> Column:
@@ -42,19 +46,20 @@ def _all_set(keys: list[str]) -> Column:
     return out
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, total: int, hot: DataFrame | None = None) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, total: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join of ``big`` with ``small`` on ``keys``, split where a key is hot in ``big``.
 
     Rows of a hot key get one of several salts (from a hash of the whole row, so
     that a recomputed task salts alike); the rows of ``small`` with that key are
     repeated once per salt.  Null keys are spread too, since an outer or anti join
     would otherwise send them all to one task.  ``how``: inner, left, left_semi or
-    left_anti.  ``total`` is the number of rows of ``big``.  If no key can be hot,
-    the plain join comes out.
+    left_anti.  ``total`` is the number of rows of ``big``, which is counted in the
+    plan itself where it isn't given.  If no key can be hot, the plain join comes out.
     """
-    if total <= HOT_ROWS:
+    if total is not None and total <= HOT_ROWS:
         return big.join(small, keys, how)
-    hot = hot_keys(big, keys, total) if hot is None else hot
+    if hot is None:
+        hot = hot_keys(big, keys, total)
     hashed = F.xxhash64(*[F.col(c) for c in big.columns])
     left = big.join(F.broadcast(hot), keys, "left")
     n = F.when(_all_set(keys), F.coalesce(F.col(_N), F.lit(1))).otherwise(F.lit(HOT_PARTS))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import time
@@ -118,7 +117,3 @@ def resolve_citations(raw: DataFrame, catalogues: dict[str, DataFrame]) -> DataF
     known = [n for n in SERVICES if n in catalogues]
     first = F.coalesce(*[F.when(F.col(f"t_{n}").isNotNull(), F.struct(F.lit(n).alias("source_api"), F.col(f"t_{n}").alias("title"), F.lit(SERVICES[n]).alias("confidence"))) for n in known])
     return out.select("cite_id", first.alias("f")).select("cite_id", "f.source_api", "f.title", "f.confidence")
-
-
-def stable_id(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()[:8]

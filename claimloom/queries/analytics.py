@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimloom import ontology as O
 from claimloom import providers
 from claimloom.functions.text import present
-from claimloom.functions.vectors import cosine, dot, finite, literal_vector, softmax, word_hash
+from claimloom.functions.vectors import dot, finite, literal_vector, softmax, word_hash
 from claimloom.operators import audit, consolidate, extract, graph, novelty, search, store, vote
 from claimloom.plans.lineage import cut, ensure_checkpoint_dir
 from claimloom.plans.tables import table
@@ -78,23 +78,20 @@ def consolidate_report(spark, d):
 
 
 def hausdorff_by_label(spark, d):
-    e = table(spark, d, "embeddings")
-    a = e.where("label = 0").select(F.col("vec_id").alias("ia"), F.col("embedding").alias("va"), F.lit(1).alias("k"))
-    b = e.where("label <> 0").select(F.col("vec_id").alias("ib"), F.col("embedding").alias("vb"), "label", F.lit(1).alias("k"))
-    pairs = b.join(a, "k").select("label", "ia", "ib", (1 - cosine(F.col("va"), F.col("vb"))).alias("d"))
-    return novelty.hausdorff(pairs, ["label"]).select("label", F.round("distance", 6).alias("distance"))
+    """Sets of vectors by label against the set of label 0."""
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").alias("v"))
+    return novelty.hausdorff_to(e.where("label <> 0"), "label", e.where("label = 0")).select("label", F.round("distance", 6).alias("distance"))
 
 
 def novelty_argmin(spark, d):
     """Transient atoms are the proposal; distances are to the one atom a trajectory has at each level."""
     u = _usable(spark, d)
     mine = u.where("status = 'transient'").select("level", F.col("node_id").alias("ia"), F.col("embedding").alias("va"))
-    known = u.where("status <> 'transient'").select("level", F.col("node_id").alias("ib"), F.col("embedding").alias("vb"))
+    known = u.select("level", F.col("node_id").alias("ib"), F.col("embedding").alias("vb"))
     per = cut(novelty.farthest(known, mine))
     chains = graph.trajectories(_keys(spark, d), atoms_(spark, d), O.TRUSTED_STATUSES)
-    parts = [chains.where(F.col(f"w{i}").isNotNull()).select(F.col("w5").alias("trajectory"), F.col(f"w{i}").alias("ib")) for i in range(1, 6)]
-    members = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
-    return novelty.nearest(novelty.weighted_total(members.join(per, "ib"), ["trajectory"]))
+    members = graph.trajectory_members(chains, "ib").join(u.select(F.col("node_id").alias("ib"), F.lit(1).alias("usable")), "ib", "left")
+    return novelty.nearest(novelty.weighted_total(novelty.trajectory_distances(members, per, mine), ["trajectory"]))
 
 
 def components_by_level(spark, d):
@@ -497,9 +494,11 @@ SQL: dict[str, str] = {
       x AS (SELECT label, max(m) AS x FROM (SELECT label, ia, min(d) AS m FROM p GROUP BY ALL) GROUP BY label), y AS (SELECT label, max(m) AS y FROM (SELECT label, ib, min(d) AS m FROM p GROUP BY ALL) GROUP BY label)
       SELECT label, round(greatest(x, y), 6) AS distance FROM x JOIN y USING (label)""",
     "novelty_argmin": f"""WITH RECURSIVE {CUR}, {KEY}, {_USE}, {_TRAJ},
-      per AS (SELECT k.level, k.node_id AS ib, max(1 - list_cosine_similarity(m.e, k.e)) AS distance FROM use k JOIN use m ON m.level = k.level AND m.status = 'transient' WHERE k.status <> 'transient' GROUP BY ALL),
-      mem AS (SELECT w5 AS trajectory, unnest([w1, w2, w3, w4, w5]) AS ib FROM tr),
-      tot AS (SELECT trajectory, sum(distance * coalesce({_map({k: str(v) for k, v in O.LEVEL_WEIGHTS.items()})}[level]::DOUBLE, 0.2)) AS total FROM mem JOIN per USING (ib) GROUP BY trajectory)
+      per AS (SELECT k.node_id AS ib, max(1 - list_cosine_similarity(m.e, k.e)) AS distance FROM use k JOIN use m ON m.level = k.level AND m.status = 'transient' GROUP BY ALL),
+      mem AS (SELECT w5 AS trajectory, unnest(['W1_problem', 'W2_direction', 'W3_approach', 'W4_implementation', 'W5_code']) AS level, unnest([w1, w2, w3, w4, w5]) AS ib FROM tr),
+      dst AS (SELECT trajectory, mem.level, CASE WHEN NOT (mem.level IN (SELECT level FROM use WHERE status = 'transient')) AND u.node_id IS NULL THEN 0 WHEN NOT (mem.level IN (SELECT level FROM use WHERE status = 'transient')) OR u.node_id IS NULL THEN 1 ELSE distance END AS distance
+        FROM mem LEFT JOIN use u ON u.node_id = mem.ib LEFT JOIN per ON per.ib = mem.ib),
+      tot AS (SELECT trajectory, sum(distance * coalesce({_map({k: str(v) for k, v in O.LEVEL_WEIGHTS.items()})}[level]::DOUBLE, 0.2)) AS total FROM dst GROUP BY trajectory)
       SELECT trajectory, round(total, 6) AS distance, round(1 - least(total / 10, 1), 4) AS score FROM (SELECT trajectory, round(total, 9) AS total FROM tot ORDER BY round(total, 9), trajectory LIMIT 1)""",
     "components_by_level": f"WITH RECURSIVE {CUR}, {KEY}, {_IND}, {_WEAK} SELECT node_id, component FROM comp",
     "components_strong_level": f"WITH RECURSIVE {CUR}, {KEY}, {_IND}, rch AS (SELECT src AS a, tgt AS b FROM ind UNION SELECT r.a, i.tgt FROM rch r JOIN ind i ON i.src = r.b) SELECT node_id, least(node_id, coalesce(min(x.b), node_id)) AS component FROM cur LEFT JOIN (SELECT r.a, r.b FROM rch r JOIN rch q ON q.a = r.b AND q.b = r.a) x ON x.a = node_id WHERE level = 'W3_approach' GROUP BY node_id",

@@ -262,7 +262,7 @@ EDG = f"""edg AS (
   SELECT src, tgt, relation, weight, rho_json, provenance, created_at FROM (SELECT * REPLACE ({REL_SQL} AS relation) FROM cc_edges WHERE {OKE})
   QUALIFY row_number() OVER (PARTITION BY src, tgt, relation ORDER BY created_at NULLS LAST, weight NULLS LAST, rho_json NULLS LAST, provenance NULLS LAST) = 1)"""
 KEY = f"ek AS (SELECT DISTINCT src, tgt, {REL_SQL} AS relation FROM cc_edges WHERE {OKE})"
-MATRIX_SQL = "mat(relation, s, t) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{b}')" for r, ps in O.MATRIX.items() for a, b in (p.split(">") for p in ps)) + ")"
+MATRIX_SQL = "mat(relation, s, t) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{b}')" for r, ps in O.MATRIX.items() for a, b in ps) + ")"
 ORD = "(list_position([" + ", ".join(f"'{x}'" for x in O.LEVELS) + "], {}) - 1)"
 NEED = f"{_map(O.REQUIRED_PROVENANCE)}[type]"
 MISS = f"({NEED} IS NOT NULL AND NOT CASE {NEED} WHEN 'score' THEN score IS NOT NULL WHEN 'raw_citation' THEN raw_citation IS NOT NULL ELSE provenance IS NOT NULL END)"
@@ -287,7 +287,7 @@ _ENDS = f"SELECT i.node_id, tgt AS other, relation, 'out' AS direction FROM ek J
 _V2 = f"""v2a AS (SELECT name, type, node_id AS pos FROM cur),
 v2e AS (SELECT s.name AS src, upper(e.relation) AS relation, coalesce(t.name, e.tgt) AS tgt, e.rho_json IS NOT NULL AS has_rho FROM edg e JOIN cur s ON s.node_id = e.src LEFT JOIN cur t ON t.node_id = e.tgt WHERE e.relation NOT IN {_in(O.HIERARCHY)})"""
 _VALID = "coalesce(length({0}) >= 2 AND NOT regexp_matches({0}, '^\\p{{Nd}}+$') AND regexp_matches({0}, '[A-Za-z0-9]'), false)"
-_V2MAT = "m2(relation, s, t) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{b}')" for r, ps in validate.V2_MATRIX.items() for a, b in (p.split(">") for p in ps)) + ")"
+_V2MAT = "m2(relation, s, t) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{b}')" for r, ps in validate.V2_MATRIX.items() for a, b in ps) + ")"
 _UPS = "node_id, name, type, level, context, version, tags, status, code_body, source_refs, provenance, source_pdf"
 
 SQL: dict[str, str] = {

@@ -1,4 +1,4 @@
-"""Incremental ingest with Structured Streaming: segments in, snapshots out, idempotent by key."""
+"""Incremental ingest with Structured Streaming: segments in, appended commits out, idempotent by key."""
 
 from __future__ import annotations
 
@@ -24,8 +24,7 @@ def ingest_batch(store: GraphStore, batch: DataFrame) -> None:
     if not store.exists():
         store.commit(new, no_edges)
         return
-    held = store.atoms
-    store.commit(held.unionByName(new.join(held.select("node_id"), "node_id", "left_anti")), store.edges)
+    store.append(new.join(store.atoms.select("node_id"), "node_id", "left_anti"))
 
 
 def ingest_stream(segments: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
