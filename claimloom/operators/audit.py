@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom import providers
+from claimloom.functions.json import merged
 from claimloom.ontology import PASSED_OVER_BY_AUDIT, TYPE_CHECKS, lookup
+from claimloom.plans.lineage import cut
+from claimloom.schema import with_provenance
 
 
 def dispatch(atoms: DataFrame) -> DataFrame:
@@ -15,6 +21,11 @@ def dispatch(atoms: DataFrame) -> DataFrame:
     return atoms.select("node_id", "type", "status", check.alias("check"), action.alias("action"))
 
 
+def audited(atoms: DataFrame) -> DataFrame:
+    """The atoms that an audit takes: those of status active, so that nothing is checked twice."""
+    return atoms.where(F.col("status") == "active")
+
+
 def i1_tolerance(score: Column, std: Column) -> Column:
     """1 % of the score, or three deviations over the score if that is more."""
     size = F.when(score == 0, 1e-9).otherwise(F.abs(score))
@@ -85,3 +96,75 @@ def report(dispatched: DataFrame, outcomes: DataFrame, checks: DataFrame) -> Dat
     )
     fails = checks.agg(*[F.count_if((F.col("check") == c) & (F.col("check_status") == "failed")).alias(f"failed_{c.lower()}") for c in ("I1", "I2", "I3", "I4")])
     return main.join(F.broadcast(fails))  # one row each
+
+
+# -- the audit of a base -------------------------------------------------------
+
+#: Characters of an atom's text, and of its code, that a prompt takes.
+CONTEXT_CHARS, CODE_CHARS = 1_000, 2_000
+
+
+def checks(atoms: DataFrame, edges: DataFrame, *, model: providers.Model | None = None, spec: dict | None = None, catalogue: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """(node_id, check, check_status, soft, resolved): the check of every atom that has one.
+
+    ``atoms`` are those to be audited, with promoted provenance.  Scores are read
+    again by the model; experiments are held against ``spec``, and skipped without
+    one; citations against ``catalogue`` (key, resolved: a record as JSON); methods
+    and solutions against the code of their components.  Verdicts are votes of ``k``
+    replies; where the model fails altogether, a check is skipped.
+    """
+    spark = atoms.sparkSession
+    quiet = [F.lit(False).alias("soft"), F.lit(None).cast("string").alias("resolved")]
+    num = atoms.where("type = 'numerical'")
+    asked = num.where("score is not null").select("node_id", F.substring("context", 1, CONTEXT_CHARS).alias("prompt"))
+    again = providers.verdicts(asked, "node_id", "score", "score", model).select("node_id", F.col("score").try_cast("double").alias("reextracted"))
+    i1 = check_i1(num.join(again, "node_id", "left")).select("node_id", F.lit("I1").alias("check"), "check_status", *quiet)
+
+    exp = atoms.where("type = 'experiment'")
+    if spec is None:
+        i2 = check_i2(exp, has_spec=False)
+    else:
+        asked = exp.select("node_id", F.concat(F.lit(json.dumps(spec) + "\n"), F.substring(F.coalesce("code_body", "context"), 1, CODE_CHARS)).alias("prompt"))
+        said = exp.select("node_id").join(providers.verdicts(asked, "node_id", "spec", "verdict", model, k), "node_id", "left")
+        i2 = check_i2(said.where("verdict is not null")).unionByName(said.where("verdict is null").select("node_id", F.lit("skipped").alias("check_status")))
+    i2 = i2.select("node_id", F.lit("I2").alias("check"), "check_status", *quiet)
+
+    cites = atoms.where("type = 'citation'").withColumn("cite_key", F.col("raw_citation"))
+    known = spark.createDataFrame([], "key string, resolved string") if catalogue is None else catalogue.select("key", "resolved").dropDuplicates(["key"])
+    i3 = check_i3(cites, known).select("node_id", F.lit("I3").alias("check"), "check_status", F.lit(False).alias("soft"))
+    hit = cites.join(known.withColumnRenamed("key", "cite_key"), "cite_key").select("node_id", "resolved")
+    i3 = i3.join(hit, "node_id", "left")
+
+    subjects = atoms.where("type in ('method', 'solution')").select("node_id", "context")
+    kids = subjects.join(children(edges, atoms), "node_id", "left")
+    asked = kids.where("n_children > 0").select("node_id", F.concat(F.substring("context", 1, CONTEXT_CHARS), F.lit("\n"), "code").alias("prompt"))
+    said = kids.join(providers.verdicts(asked, "node_id", "align", "verdict", model, k), "node_id", "left")
+    said = said.withColumn("n_children", F.when(F.col("verdict").isNull(), 0).otherwise(F.col("n_children")))
+    i4 = check_i4(said).select("node_id", F.lit("I4").alias("check"), "check_status", "soft", F.lit(None).cast("string").alias("resolved"))
+    return i1.unionByName(i2).unionByName(i3).unionByName(i4)
+
+
+def verify(atoms: DataFrame, edges: DataFrame, **named) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Atoms after the audit, the report (one row) and the verdicts per atom (node_id, type, status, checks, reason).
+
+    Only active atoms are audited.  Each gets its new status: verified,
+    low_confidence, low_reliability, or skipped if its type has no check.  A citation
+    that was found gets the record into its provenance (``resolved``).  ``named`` as
+    in ``checks``.
+    """
+    mine = cut(with_provenance(audited(atoms)))
+    d = dispatch(mine)
+    done = cut(checks(mine, edges, **named))
+    results = cut(outcome(done))
+    new = d.select("node_id", "action").join(results, "node_id", "left").select("node_id", F.when(F.col("action") == "skipped", "skipped").otherwise(F.coalesce("new_status", F.lit("verified"))).alias("__status"))
+    found = done.where("resolved is not null").groupBy("node_id").agg(F.max("resolved").alias("__resolved"))
+    out = atoms.join(new, "node_id", "left").join(found, "node_id", "left")
+    patch = F.concat(F.lit('{"resolved":'), "__resolved", F.lit("}"))
+    prov = F.when(F.col("__resolved").isNotNull(), merged(F.col("provenance"), patch)).otherwise(F.col("provenance"))
+    cols = {"status": F.coalesce("__status", "status").alias("status"), "provenance": prov.alias("provenance")}
+    after = out.select(*[cols.get(c, F.col(c)) for c in atoms.columns])
+    named_checks = done.groupBy("node_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check", "check_status")))).alias("checks"))  # one per kind of check
+    per = d.join(new, "node_id").join(named_checks, "node_id", "left")
+    reason = F.when(F.col("action") == "skipped", "no check for this type")
+    per = per.select("node_id", "type", F.col("__status").alias("status"), F.coalesce("checks", F.expr("cast(map() as map<string,string>)")).alias("checks"), reason.alias("reason"))
+    return after, report(d, results, done), per

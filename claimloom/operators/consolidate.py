@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom import providers
+from claimloom.functions import json as J
 from claimloom.ontology import LEVELS, TYPES
+from claimloom.operators import extract
 from claimloom.operators.graph import parents_at, weak_components
+from claimloom.operators.vote import vote_nested
 from claimloom.plans.lineage import cut
 from claimloom.plans.ship import ship
 from claimloom.plans.skew import hot_from_counts, salted_join
@@ -19,13 +24,15 @@ from claimloom.plans.skew import hot_from_counts, salted_join
 BLOCK = 2_000
 #: Rows of pairs of blocks that one call works off together.
 PACK = 8_000
+#: The group of all atoms of the top level, which have no parent.
+ROOT = "__root__"
 
 
 def candidates(atoms: DataFrame, edges: DataFrame, level: str) -> DataFrame:
     """(node_id, grp): live atoms of a level with their parent one level up; orphans left out, the top level is one group."""
     live = atoms.where((F.col("level") == level) & ~F.col("status").isin("merged", "transient"))
     if level == LEVELS[0]:
-        return live.select("node_id", F.lit("__root__").alias("grp"))
+        return live.select("node_id", F.lit(ROOT).alias("grp"))
     return parents_at(edges, atoms, level, LEVELS[LEVELS.index(level) - 1]).join(live.select("node_id"), "node_id", "left_semi").withColumnRenamed("parent_id", "grp")
 
 
@@ -62,7 +69,7 @@ def similar_in_group(vectors: DataFrame, threshold: float) -> DataFrame:
             x, y, c = x[keep], y[keep], cos[a, b][keep]
             if len(x):
                 parts.append(pd.DataFrame({"grp": grp[at[0]], "a": np.minimum(x, y), "b": np.maximum(x, y), "cos": c}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"grp": [], "a": [], "b": [], "cos": []})
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"grp": pd.Series(dtype=object), "a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "cos": pd.Series(dtype=float)})
 
     packs = max(1, tiled // PACK)  # rows as they are sent, once per pair of blocks
     packed = sent.withColumn("pack", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(packs)))
@@ -78,14 +85,16 @@ def clusters(pairs: DataFrame) -> DataFrame:
 def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with duplicates replaced by their canonical atom at both ends; self loops dropped, keys once, attributes carried.
 
-    ``mapping``: (dup_id, canonical_id), one row per dup_id.  ``rho_json``, if there
-    is one, is kept too; of edges that become one, the first that has any gives it.
+    ``mapping``: (dup_id, canonical_id), one row per dup_id.  All other columns are
+    kept; of edges that become one, the first that wasn't moved gives weight, and the
+    first that has any gives the evidence and the rest.
     """
-    rho = [c for c in edges.columns if c == "rho_json"]
+    rest = [c for c in edges.columns if c not in ("src", "tgt", "relation", "weight")]
     s, t = mapping.select(F.col("dup_id").alias("src"), F.col("canonical_id").alias("ns")), mapping.select(F.col("dup_id").alias("tgt"), F.col("canonical_id").alias("nt"))
-    out = salted_join(edges.join(s, "src", "left"), t, ["tgt"], "left").select(F.coalesce("ns", "src").alias("src"), F.coalesce("nt", "tgt").alias("tgt"), "relation", "weight", *rho, (F.col("ns").isNotNull() | F.col("nt").isNotNull()).alias("moved"))
+    out = salted_join(edges.join(s, "src", "left"), t, ["tgt"], "left").select(F.coalesce("ns", "src").alias("src"), F.coalesce("nt", "tgt").alias("tgt"), "relation", "weight", *rest, (F.col("ns").isNotNull() | F.col("nt").isNotNull()).alias("moved"))
     kept = out.where(F.col("src") != F.col("tgt"))
-    return kept.groupBy("src", "tgt", "relation").agg(F.min_by("weight", F.struct("moved", F.coalesce("weight", F.lit(1.0)))).alias("weight"), *[F.min_by(c, F.struct(F.col(c).isNull(), "moved", F.coalesce("weight", F.lit(1.0)), c)).alias(c) for c in rho], F.min("moved").alias("moved"))
+    order = F.coalesce("weight", F.lit(1.0))
+    return kept.groupBy("src", "tgt", "relation").agg(F.min_by("weight", F.struct("moved", order)).alias("weight"), *[F.min_by(c, F.struct(F.col(c).isNull(), "moved", order, c)).alias(c) for c in rest], F.min("moved").alias("moved"))
 
 
 def decide(cluster_rows: DataFrame, atoms: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -102,40 +111,78 @@ def canonical_type(raw: str = "raw_type", fallback: str = "type"):
     return F.when(F.col(raw).isin(TYPES), F.col(raw)).otherwise(F.coalesce(F.col(fallback), F.lit("method")))
 
 
+def adjudicate(cluster_rows: DataFrame, atoms: DataFrame, model: providers.Model | None = None, k: int = 3) -> DataFrame:
+    """Decisions of the model on clusters (cluster, node_id): (cluster, name, type, context) of those to be merged.
+
+    The model is asked once per cluster with its atoms in order of their ids, as
+    many as a prompt takes; each field is a vote of ``k`` replies.  An unknown type
+    falls back to the first member's, a missing name or context too.
+    """
+    first = atoms.select(F.col("node_id").alias("cluster"), "name", "type", "context")
+    rows = cluster_rows.join(atoms.select("node_id", "name", "type", "context"), "node_id")
+    lines = rows.select(F.col("cluster").alias("source"), F.col("node_id").alias("pos"), F.to_json(F.struct("node_id", "name", "type", F.substring("context", 1, 400).alias("context"))).alias("text"))
+    replies = providers.ask(extract.prompts(lines, mark="\n"), "source", model, k, "judge")
+    said = replies.select(F.col("source").alias("cluster"), "sample", F.from_json("reply", "map<string,string>").alias("r")).where("r is not null")
+    votes = vote_nested(said, ["cluster"], "r", [F.col("sample")])
+    one = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    got = votes.groupBy("cluster").agg(one("merge").alias("merge"), one("canonical_name").alias("n"), one("canonical_type").alias("raw_type"), one("canonical_context").alias("c"))
+    yes = got.where("merge = 'true'").join(first, "cluster")
+    return yes.select("cluster", F.coalesce(F.nullif("n", F.lit("")), "name").alias("name"), canonical_type().alias("type"), F.coalesce(F.nullif("c", F.lit("")), "context").alias("context"))
+
+
 def apply_merges(atoms: DataFrame, edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Atoms with canonical ones active and duplicates merged, and the rewired edges.
 
-    ``merged_into`` and ``merged_from`` (sorted) keep the trace.
+    ``decisions``: (canonical_id, dup_id) and, where the canonical atom is rewritten,
+    name, type, context and parent.  ``merged_into`` and ``merged_from`` (sorted) keep
+    the trace.  Where atoms have a provenance it also gets both, ``merged_from``
+    united with an older list, the phase and the parent.
     """
     into = decisions.select(F.col("dup_id").alias("node_id"), F.col("canonical_id").alias("merged_into"))
-    frm = decisions.groupBy(F.col("canonical_id").alias("node_id")).agg(F.sort_array(F.collect_set("dup_id")).alias("merged_from"))  # the atom's own trace
+    given = [c for c in ("name", "type", "context", "parent") if c in decisions.columns]
+    frm = decisions.groupBy(F.col("canonical_id").alias("node_id")).agg(F.sort_array(F.collect_set("dup_id")).alias("merged_from"), *[F.max(c).alias(f"__{c}") for c in given])  # the atom's own trace
     out = atoms.join(into, "node_id", "left").join(frm, "node_id", "left")
-    status = F.when(F.col("merged_into").isNotNull(), "merged").when(F.col("merged_from").isNotNull(), "active").otherwise(F.col("status"))
-    return out.withColumn("status", status), rewire(edges, decisions)
+    is_dup, is_canonical = F.col("merged_into").isNotNull(), F.col("merged_from").isNotNull()
+    cols = {"status": F.when(is_dup, "merged").when(is_canonical, "active").otherwise(F.col("status"))}
+    cols |= {c: F.coalesce(f"__{c}", c) for c in given if c != "parent"}
+    if "provenance" in atoms.columns:
+        old = J.strings(F.col("provenance"), "merged_from")
+        both = F.array_distinct(F.concat(old, F.coalesce("merged_from", F.array().cast("array<string>"))))
+        parent = F.nullif("__parent", F.lit(ROOT)) if "parent" in given else F.lit(None).cast("string")
+        patch = F.to_json(F.struct(F.lit("consolidate").alias("phase"), "merged_into", F.when(is_canonical, both).alias("merged_from"), F.when(is_canonical, parent).alias("parent")))
+        cols["provenance"] = F.when(is_dup | is_canonical, J.merged(F.col("provenance"), patch)).otherwise(F.col("provenance"))
+    keep = [cols[c].alias(c) if c in cols else F.col(c) for c in atoms.columns]
+    return out.select(*keep, "merged_into", "merged_from"), rewire(edges, decisions)
 
 
 def consolidate(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float = 0.85, judge=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All levels from the top; each level sees the rewiring of the one above.
 
-    Returns atoms, edges and the report (level, n_candidates, n_clusters, n_merged).
+    ``judge`` gets a level's clusters (cluster, node_id) and its atoms and returns
+    decisions as ``adjudicate`` does, or only the clusters; without it every cluster
+    is merged.  Returns atoms, edges and the report (level, n_candidates, n_clusters,
+    n_merged).
     """
-    reports, merged = [], None
+    reports = []
     for level in LEVELS:
-        cand = candidates(atoms, edges, level).join(vectors, "node_id")
-        groups = cut(clusters(similar_in_group(cand.select("grp", "node_id", "embedding"), threshold)))
-        picks = cut(decide(groups, atoms, judge))
-        counts = groups.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("cluster").alias("n_clusters")).join(F.broadcast(picks.agg(F.count(F.lit(1)).alias("n_merged"))))
+        groups = candidates(atoms, edges, level)
+        cand = groups.join(vectors, "node_id")
+        found = cut(clusters(similar_in_group(cand.select("grp", "node_id", "embedding"), threshold)))
+        said = None if judge is None else cut(judge(found, atoms))
+        picks = decide(found, atoms, None if said is None else lambda rows, said=said: said)
+        if said is not None and "name" in said.columns:
+            picks = picks.join(said.withColumnRenamed("cluster", "canonical_id"), "canonical_id")
+            picks = picks.join(groups.select(F.col("node_id").alias("canonical_id"), F.col("grp").alias("parent")), "canonical_id", "left")
+        picks = cut(picks)
+        counts = found.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("cluster").alias("n_clusters")).join(F.broadcast(picks.agg(F.count(F.lit(1)).alias("n_merged"))))  # one row each
         reports.append(counts.select(F.lit(level).alias("level"), "n_candidates", "n_clusters", "n_merged"))
-        merged = picks if merged is None else merged.unionByName(picks)
-        gone = picks.select(F.col("dup_id").alias("node_id"), F.lit(True).alias("gone"))
-        atoms = cut(atoms.join(gone, "node_id", "left").withColumn("status", F.when(F.col("gone"), "merged").otherwise(F.col("status"))).drop("gone"))
-        edges = cut(rewire(edges, picks).drop("moved"))
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return atoms, edges, out
-
-
-def report(clusters_by_level: DataFrame) -> DataFrame:
-    """(level, candidates, merged) from (level, cluster, node_id)."""
-    return clusters_by_level.groupBy("level").agg(F.count(F.lit(1)).alias("candidates"), (F.count(F.lit(1)) - F.count_distinct("cluster")).alias("merged"))
+        merged_atoms, rewired = apply_merges(atoms, edges, picks)
+        atoms, edges = cut(merged_atoms.drop("merged_into", "merged_from")), cut(rewired.drop("moved"))
+    return atoms, edges, reduce(DataFrame.unionByName, reports)
+
+
+def totals(report: DataFrame) -> DataFrame:
+    """One row: atoms_merged, clusters_formed and levels_processed, the levels that had clusters, from the top."""
+    order = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level"))
+    had = F.sort_array(F.collect_list(F.when(F.col("n_clusters") > 0, F.struct(order.alias("o"), "level"))))  # five at most
+    return report.agg(F.sum("n_merged").alias("atoms_merged"), F.sum("n_clusters").alias("clusters_formed"), F.transform(had, lambda x: x["level"]).alias("levels_processed"))

@@ -10,33 +10,34 @@ from claimloom.ontology import DEFAULT_TYPE, TYPES, lookup
 #: A prompt takes so many characters.
 PROMPT_CHARS = 12_000
 CHUNK_MARK = "\n\n--- chunk ---\n\n"
+APPROACHES = "\n\n--- approaches ---\n"
 
 # Fields of the replies of both phases.
 _PROV = "struct<code_span: string, raw_citation: string, score: double, score_std: double>"
 _RHO = "struct<bottleneck: string, mechanism: string, tradeoff: string, confidence: double>"
 PHASE1 = f"""struct<W1_problem: struct<name: string, type: string, context: string>,
   W2_directions: array<struct<name: string, type: string, context: string, compares_to: array<string>, provenance: {_PROV},
-    W3_approaches: array<struct<name: string, type: string, context: string, provenance: {_PROV}>>>>>"""
+    W3_approaches: array<struct<name: string, type: string, context: string, compares_to: array<string>, provenance: {_PROV}>>>>>"""
 PHASE2 = f"""struct<W4_implementations: array<struct<name: string, context: string, type: string, parent_W3_id: string, extends: array<string>, improves: array<string>,
   extends_rho: {_RHO}, improves_rho: {_RHO}, provenance: {_PROV}, W5_code: array<struct<name: string, context: string, type: string, code_ref: string, code_body: string, provenance: {_PROV}>>>>>"""
 
 
-def prompts(segments: DataFrame, chars: int = PROMPT_CHARS) -> DataFrame:
+def prompts(segments: DataFrame, chars: int = PROMPT_CHARS, mark: str = CHUNK_MARK) -> DataFrame:
     """(source, n_segments, prompt): a source's segments in order, joined, cut to ``chars`` characters.
 
-    A segment takes at least the mark between two, so only a source's first few
-    hundred can begin before the cut: others are left behind before the shuffle, and
+    A segment takes at least ``mark``, which stands between two, so only a source's first few
+    hundred or thousand can begin before the cut: others are left behind before the shuffle, and
     of those few a running length tells which are gathered.  So a source with any
     number of segments is small by the time it meets in one task.
     """
     order = Window.partitionBy("source").orderBy("pos", "text")
     some = segments.select("source", "pos", F.substring("text", 1, chars).alias("text"), F.length("text").alias("n"))
-    first = some.withColumn("i", F.row_number().over(order)).where(F.col("i") <= chars // len(CHUNK_MARK) + 2)
-    before = F.coalesce(F.sum(F.col("n") + len(CHUNK_MARK)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = first.withColumn("before", before).where(F.col("before") - len(CHUNK_MARK) < chars)
+    first = some.withColumn("i", F.row_number().over(order)).where(F.col("i") <= chars // len(mark) + 2)
+    before = F.coalesce(F.sum(F.col("n") + len(mark)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = first.withColumn("before", before).where(F.col("before") - len(mark) < chars)
     counts = segments.groupBy("source").agg(F.count(F.lit(1)).alias("n_segments"))
     joined = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("i", "text"))).alias("s"))
-    text = F.substring(F.array_join(F.transform("s", lambda x: x["text"]), CHUNK_MARK), 1, chars)
+    text = F.substring(F.array_join(F.transform("s", lambda x: x["text"]), mark), 1, chars)
     return joined.join(counts, "source").select("source", "n_segments", text.alias("prompt"))
 
 
@@ -64,24 +65,39 @@ def parse_phase1(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     w3 = a.select("source", F.lit("W3_approach").alias("level"), "a.name", "a.type", "a.context", F.col("a.provenance").alias("prov"), F.col("dir").alias("parent"))
     rows = w1.unionByName(w2).unionByName(w3)
     prefix = F.lower(F.substring("level", 1, 2))
-    atoms = rows.select(atom_id(prefix, F.col("name"), F.col("source")).alias("node_id"), "source", "name", valid_type(F.col("type"), lookup(F.col("level"), DEFAULT_TYPE)).alias("type"), "level", F.coalesce("context", F.lit("")).alias("context"), "parent", *_provenance())
+    typed = rows.withColumns({"type": valid_type(F.col("type"), lookup(F.col("level"), DEFAULT_TYPE)), "context": F.coalesce("context", F.lit(""))})
+    atoms = typed.select(atom_id(prefix, F.col("name"), F.col("source")).alias("node_id"), "source", "name", "type", "level", "context", "parent", *_provenance())
     up = {"W2_direction": "w1", "W3_approach": "w2"}
     pairs = rows.where("parent is not null").select(atom_id(lookup(F.col("level"), up), F.col("parent"), F.col("source")).alias("p"), atom_id(prefix, F.col("name"), F.col("source")).alias("c"))
     both = F.explode(F.array(F.struct(F.col("p").alias("src"), F.col("c").alias("tgt"), F.lit("decomposes_into").alias("relation")), F.struct(F.col("c").alias("src"), F.col("p").alias("tgt"), F.lit("aggregates_to").alias("relation"))))
     edges = pairs.select(both.alias("e")).select("e.*")
-    cmp_ = d.select("source", F.col("d.name").alias("n"), F.explode("d.compares_to").alias("other"))
+    cmp_ = d.select("source", F.lit("w2").alias("p"), F.col("d.name").alias("n"), F.explode("d.compares_to").alias("other")).unionByName(a.select("source", F.lit("w3").alias("p"), F.col("a.name").alias("n"), F.explode("a.compares_to").alias("other")))
     known = atoms.select("source", F.lower("name").alias("k"), F.col("node_id").alias("tgt"))
-    cmp_ = cmp_.withColumn("k", F.lower("other")).join(known, ["source", "k"]).select(atom_id(F.lit("w2"), F.col("n"), F.col("source")).alias("src"), "tgt", F.lit("compares").alias("relation"))
+    cmp_ = cmp_.withColumn("k", F.lower("other")).join(known, ["source", "k"]).select(atom_id(F.col("p"), F.col("n"), F.col("source")).alias("src"), "tgt", F.lit("compares").alias("relation"))
     return atoms, edges.unionByName(cmp_).distinct()
 
 
-def _provenance() -> list[Column]:
-    """Defaults: a citation without raw text takes its context (300), an experiment its code span."""
-    return [
-        F.when(F.col("type") == "citation", F.coalesce("prov.raw_citation", F.substring("context", 1, 300))).otherwise(F.col("prov.raw_citation")).alias("raw_citation"),
-        F.col("prov.code_span").alias("code_span"),
-        F.col("prov.score").alias("score"),
-    ]
+def _provenance(via: str = "phase1") -> list[Column]:
+    """raw_citation, code_span, score and the provenance as JSON.
+
+    Defaults: a citation without raw text takes its context (300), an experiment of
+    the code level its code reference; without any provenance of its own an atom
+    gets the phase it comes from, but not one of the code level.
+    """
+    citation = F.when(F.col("type") == "citation", F.coalesce("prov.raw_citation", F.substring("context", 1, 300))).otherwise(F.col("prov.raw_citation"))
+    ref = F.col("code_ref") if via == "phase2" else F.lit(None)
+    bare_code = (F.col("level") == "W5_code") & F.col("prov").isNull()
+    span = F.when(bare_code & (F.col("type") == "experiment"), F.coalesce(F.nullif(ref, F.lit("")), F.lit("unknown"))).otherwise(F.col("prov.code_span"))
+    tag = lambda value, name: F.when(F.col("prov").isNull(), F.lit(value)).alias(name)
+    whole = F.to_json(F.struct(tag("extract", "phase"), tag(via, "via"), citation.alias("raw_citation"), span.alias("code_span"), F.col("prov.score").alias("score"), F.col("prov.score_std").alias("score_std")))
+    return [citation.alias("raw_citation"), span.alias("code_span"), F.col("prov.score").alias("score"), F.when(~bare_code | (F.col("type") == "experiment"), whole).alias("provenance")]
+
+
+def followup_prompts(prompts_: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(source, prompt) of the second phase: the text of the first with the approaches it gave, one a line."""
+    mine = atoms.where("level = 'W3_approach'").select("source", F.col("node_id").alias("pos"), F.format_string("- %s: %s", "name", F.substring("context", 1, 200)).alias("text"))
+    lines = prompts(mine, mark="\n").select("source", F.col("prompt").alias("lines"))
+    return prompts_.select("source", "prompt").join(lines, "source", "left").select("source", F.concat("prompt", F.lit(APPROACHES), F.coalesce("lines", F.lit("(none)"))).alias("prompt"))
 
 
 def resolve_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -119,7 +135,8 @@ def parse_phase2(replies: DataFrame, approaches: DataFrame) -> tuple[DataFrame,
     rows = w4.unionByName(w5)
     prefix = F.lower(F.substring("level", 1, 2))
     nid = atom_id(prefix, F.col("name"), F.col("source"))
-    atoms = rows.select(nid.alias("node_id"), "source", "name", valid_type(F.col("type"), lookup(F.col("level"), DEFAULT_TYPE)).alias("type"), "level", F.coalesce("context", F.lit("")).alias("context"), "parent", "code_ref", "code_body", *_provenance())
+    typed = rows.withColumns({"type": valid_type(F.col("type"), lookup(F.col("level"), DEFAULT_TYPE)), "context": F.coalesce("context", F.lit(""))})
+    atoms = typed.select(nid.alias("node_id"), "source", "name", "type", "level", "context", "parent", "code_ref", "code_body", *_provenance("phase2"))
     refs = atoms.where("level = 'W4_implementation'").select("source", F.col("node_id").alias("child_id"), F.col("parent").alias("parent_ref"))
     up = resolve_parents(refs, approaches)
     hier = F.explode(F.array(F.struct(F.col("parent_id").alias("src"), F.col("child_id").alias("tgt"), F.lit("decomposes_into").alias("relation")), F.struct(F.col("child_id").alias("src"), F.col("parent_id").alias("tgt"), F.lit("aggregates_to").alias("relation"))))

@@ -34,3 +34,13 @@ def cards(atoms: DataFrame, label: str) -> DataFrame:
 def cpr_band(cpr):
     """Colour band of a verified share."""
     return F.when(cpr >= 0.8, "good").when(cpr >= 0.5, "fair").otherwise("poor")
+
+
+def audit_cards(per_atom: DataFrame, label: str) -> DataFrame:
+    """One card per label of verdicts (label, type, status, checks): numbers, failures per check, the share of numerical atoms verified and its band."""
+    num, ok = F.col("type") == "numerical", F.col("status") == "verified"
+    audited = F.size("checks") > 0
+    share = F.coalesce(F.try_divide(F.count_if(num & ok & audited), F.count_if(num & audited)), F.lit(0.0))
+    fails = [F.count_if(F.coalesce(F.element_at("checks", F.lit(c)) == "failed", F.lit(False))).alias(f"failed_{c.lower()}") for c in ("I1", "I2", "I3", "I4")]
+    out = per_atom.groupBy(label).agg(F.count_if(audited).alias("n_audited"), F.count_if(audited & ok).alias("n_passed"), F.count_if(audited & ~ok).alias("n_failed"), F.count_if(~audited).alias("n_skipped"), share.alias("cpr"), *fails)
+    return out.withColumn("band", cpr_band(F.col("cpr"))).withColumn("cpr", F.round("cpr", 6))

@@ -23,7 +23,7 @@ def restart_weights(vectors: DataFrame, code_vectors: DataFrame, q_atom, q_code,
 
 
 def search(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, q_atom, q_code, *, level: str = "W4", top_k: int = 10, link_top_k: int = 10, status_filter=None, damping: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
-    """(node_id, name, type, score): the best ``top_k`` atoms of a level.
+    """(node_id, name, type, score, and context, source_pdf and status where atoms have them): the best ``top_k`` atoms of a level.
 
     Vectors meet vertices by id.  The status filter applies before the cut to
     ``top_k``, so as many rows come back as there are.
@@ -35,5 +35,6 @@ def search(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, q_atom, q_cod
     ranked = pagerank(arcs, r, damping, rounds)
     of_level = atoms.where(F.col("level") == LEVEL_ALIASES.get(level, level))
     of_level = of_level if status_filter is None else of_level.where(status_filter)
-    found = ranked.join(of_level.select("node_id", "name", "type"), "node_id").withColumn("score", F.round("score", 6))
-    return found.orderBy(F.col("score").desc(), "node_id").limit(top_k).select("node_id", "name", "type", "score")
+    more = [c for c in ("context", "source_pdf", "status") if c in of_level.columns]
+    found = ranked.join(of_level.select("node_id", "name", "type", *more), "node_id").withColumn("score", F.round("score", 6))
+    return found.orderBy(F.col("score").desc(), "node_id").limit(top_k).select("node_id", "name", "type", "score", *more)

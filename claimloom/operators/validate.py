@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom import ontology as O
+from claimloom.functions.json import merged
 from claimloom.plans.skew import salted_join
 
 
@@ -122,10 +123,17 @@ def rewrite_ends(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def apply_atom_updates(atoms: DataFrame, actions: DataFrame) -> DataFrame:
-    """Actions (seq, node_id, type, level, context): per field the last given value wins."""
+    """Actions (seq, node_id, type, level, context, provenance): per field the last given value wins; provenance is merged, later fields over earlier ones."""
     last = actions.groupBy("node_id").agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in ("type", "level", "context")])
+    new = ["type", "level", "context"]
     out = atoms.join(last, "node_id", "left")
-    return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ("type", "level", "context") else F.col(c) for c in atoms.columns])
+    cols = {c: F.coalesce(f"new_{c}", c).alias(c) for c in new}
+    if "provenance" in actions.columns and "provenance" in atoms.columns:
+        given = actions.where(F.col("provenance").isNotNull()).groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("seq", "provenance"))).alias("p"))  # the fixes of one atom
+        patch = F.aggregate("p", F.lit(None).cast("string"), lambda acc, x: merged(acc, x["provenance"]))
+        out = out.join(given.select("node_id", patch.alias("patch")), "node_id", "left")
+        cols["provenance"] = F.when(F.col("patch").isNotNull(), merged(F.col("provenance"), F.col("patch"))).otherwise(F.col("provenance")).alias("provenance")
+    return out.select(*[cols.get(c, F.col(c)) for c in atoms.columns])
 
 
 def apply_edge_actions(edges: DataFrame, updates: DataFrame, removals: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from claimloom.functions.text import present
 from claimloom.ontology import LEVEL_ALIASES, LEVEL_MIGRATIONS, LEVELS, TYPE_MIGRATIONS, lookup, relation_name
 
-RHO = T.StructType([T.StructField(n, T.StringType()) for n in ("bottleneck", "mechanism", "tradeoff")] + [T.StructField("confidence", T.DoubleType())])
 ATOMS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("node_id", "name", "type", "level", "context")]
     + [T.StructField("version", T.IntegerType()), T.StructField("source_pdf", T.StringType()), T.StructField("source_chunk", T.IntegerType())]
@@ -20,12 +19,21 @@ ATOMS = T.StructType(
 EDGES = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("src", "tgt", "relation")] + [T.StructField("weight", T.DoubleType())] + [T.StructField(n, T.StringType()) for n in ("rho_json", "provenance")] + [T.StructField("created_at", T.TimestampNTZType())]
 )
-ERRORS = "rule string, target string, message string"
 
 #: Every spelling of a level (short, old, untidy) by its lower-case form with underscores.
 LEVEL_SPELLINGS = {k.lower(): v for k, v in ({x: x for x in LEVELS} | LEVEL_ALIASES | LEVEL_MIGRATIONS).items()}
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` in the columns of ``schema``: missing ones are added as null, others dropped, so tables of older layouts are read alike."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def as_record(df: DataFrame) -> Column:
+    """The row as a JSON object without its null fields and its vector."""
+    return F.to_json(F.struct(*[c for c in df.columns if c != "embedding"]))
+
+
 def type_name(c: Column) -> Column:
     """A type in the ontology's spelling, old names included; unknown ones stay as their letters."""
     bare = F.regexp_replace(F.lower(c), "[^a-z]+", "")
