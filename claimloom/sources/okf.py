@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -11,8 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.json import merged
 from claimloom.ontology import HIERARCHY, HORIZONTAL, LEVELS, TYPES
+from claimloom.operators import store
+from claimloom.plans.lineage import cut
 from claimloom.plans.ship import ship
+from claimloom.schema import ATOMS, EDGES, conform
+from claimloom.sources.files import absolute, open_text, write_text
 
 RESERVED = ["index.md", "log.md"]
 #: Prefix of the front matter keys that go beyond the open format.  Any writer's prefix is read.
@@ -70,32 +74,33 @@ def log_lines(atoms: DataFrame) -> DataFrame:
     return atoms.select(at.alias("at"), "node_id", F.format_string("- %s · `%s` · %s · %s", F.when(at == "", "?").otherwise(at), "node_id", F.coalesce("name", F.lit("")), "status").alias("line"))
 
 
-def export(atoms: DataFrame, edges: DataFrame, folder: str) -> str:
-    """Write a bundle to a folder that all workers share; returns its absolute path.
+def export(atoms: DataFrame, edges: DataFrame, folder: str, source: str | None = None) -> str:
+    """Write a bundle, on request only of one source, to a folder that all workers share; returns its URI.
 
     Concept files are written where their rows are; index and log are written in
     order, part by part, from a sorted iterator.
     """
-    folder = os.path.abspath(folder)
+    folder = absolute(folder)
+    if source is not None:
+        atoms = atoms.where(F.col("source_pdf") == source)
     ship(atoms.sparkSession)
 
     def write(rows) -> None:
         for r in rows:
-            p = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(p), exist_ok=True)
-            with open(p, "w", encoding="utf-8") as f:
-                f.write(r["content"])
+            write_text(folder, r["path"], r["content"])
 
     concepts(atoms, edges).foreachPartition(write)
-    with open(os.path.join(folder, "index.md"), "w", encoding="utf-8") as f:
-        f.write("# Index\n")
+    with open_text(folder, "index.md") as f:
+        f.write(b"# Index\n")
         for level in LEVELS:
             mine = index_lines(atoms).where(F.col("level") == level)
-            f.write(f"\n## {level}  ({mine.count()})\n")
-            f.writelines(r["line"] + "\n" for r in mine.orderBy("o").toLocalIterator())
-    with open(os.path.join(folder, "log.md"), "w", encoding="utf-8") as f:
-        f.write("# Log\n\n")
-        f.writelines(r["line"] + "\n" for r in log_lines(atoms).orderBy("at", "node_id").toLocalIterator())
+            f.write(f"\n## {level}  ({mine.count()})\n".encode())
+            for r in mine.orderBy("o").toLocalIterator():
+                f.write((r["line"] + "\n").encode())
+    with open_text(folder, "log.md") as f:
+        f.write(b"# Log\n\n")
+        for r in log_lines(atoms).orderBy("at", "node_id").toLocalIterator():
+            f.write((r["line"] + "\n").encode())
     return folder
 
 
@@ -105,7 +110,7 @@ def export(atoms: DataFrame, edges: DataFrame, folder: str) -> str:
 def read_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text): every markdown file but the reserved ones, paths relative to the bundle."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    base = os.path.abspath(folder).rstrip("/") + "/"
+    base = re.sub("^file:/*", "/", absolute(folder)).rstrip("/") + "/"
     path = F.regexp_replace(F.expr("url_decode(_metadata.file_path)"), "^file:/*", "/")
     rel = F.expr(f"replace(p, {json.dumps(base)}, '')")
     rows = files.select(path.alias("p"), F.col("value").alias("text")).select(rel.alias("path"), "text")
@@ -178,7 +183,12 @@ def to_atoms(split: DataFrame) -> DataFrame:
         F.nullif(m("resource"), F.lit("")).alias("source_pdf"),
         F.coalesce(F.nullif(m(f"{PREFIX}_status"), F.lit("")), F.lit("active")).alias("status"),
         F.when(~t.isin(TYPES) & (t != ""), t).alias("original_type"),
-    )
+        F.when(F.get_json_object("meta", "$.tags").startswith("["), m("tags")).alias("tags"),
+        m(f"{PREFIX}_provenance").alias("provenance"),
+        m(f"{PREFIX}_source_refs").alias("source_refs"),
+        m(f"{PREFIX}_code_ref").alias("code_ref"),
+        F.regexp_extract("body", r"(?s)\n## Code\n```python\n(.*?)\n```\n", 1).alias("code_body"),
+    ).withColumns({"code_body": F.nullif("code_body", F.lit("")), "provenance": F.when(F.col("original_type").isNotNull(), merged(F.col("provenance"), F.to_json(F.struct(F.col("original_type"))))).otherwise(F.col("provenance"))})
 
 
 def relations(bodies: DataFrame) -> DataFrame:
@@ -212,3 +222,20 @@ def import_bundle(spark: SparkSession, folder: str, *, direction_aware: bool = T
     flip = F.col("incoming") & F.lit(direction_aware)
     edges = e.select(F.when(flip, F.col("node_id")).otherwise(F.col("own")).alias("src"), F.when(flip, F.col("own")).otherwise(F.col("node_id")).alias("tgt"), "relation").where("src <> tgt").distinct()
     return atoms, edges
+
+
+def import_into(base: store.GraphStore, folder: str, **named) -> dict:
+    """Insert a bundle into a base: atoms and edges held already stay.  Returns atoms_imported, edges_imported and concepts_skipped."""
+    spark = base.spark
+    skipped = split_front(read_bundle(spark, folder)).where("meta is null").count()
+    atoms, edges = import_bundle(spark, folder, **named)
+    atoms = cut(atoms.withColumns({"source_pdf": F.coalesce("source_pdf", F.lit("bundle import")), "version": F.lit(1)}))
+    known = atoms.select("node_id")
+    edges = cut(edges.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "tgt"), "tgt", "left_semi"))
+    out = {"atoms_imported": atoms.count(), "edges_imported": edges.count(), "concepts_skipped": skipped}
+    a, e = conform(atoms, ATOMS), conform(edges, EDGES).withColumn("weight", F.lit(1.0))
+    if not base.exists():
+        base.commit(store.first_wins(a, ["node_id"], [F.col("name")]), store.first_wins(e, store.EDGE_KEY, [F.col("weight")]))
+    else:
+        base.append(store.insert_ignore(base.atoms, a, ["node_id"], [F.col("name")]), store.insert_ignore(base.edges, e, store.EDGE_KEY, [F.col("weight")]))
+    return out

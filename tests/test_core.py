@@ -184,11 +184,33 @@ def test_bundle_round_trip(spark, rows, tmp_path):
     assert rows(edges) == [("n1", "n2", "extends"), ("other", "n2", "related_to")]
 
 
-def test_page(spark, tmp_path):
-    a = spark.createDataFrame([("n1", "<b>", "method", "W3_approach", "stuck")], "node_id string, name string, type string, level string, status string")
-    e = spark.createDataFrame([("n1", "n1", "extends")], "src string, tgt string, relation string")
-    page = open(report.write_page(a, e, str(tmp_path / "p.html"))).read()
-    assert "&lt;b&gt;" in page and report.GREY in page
+def test_pages_hold_the_whole_graph(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "PAGE_ATOMS", 10)
+    a = spark.createDataFrame([(f"n{i:02}", "<b>", "method", "W3_approach", "stuck", "ctx") for i in range(35)], "node_id string, name string, type string, level string, status string, context string")
+    e = spark.createDataFrame([(f"n{i:02}", "n00", "extends") for i in range(35)], "src string, tgt string, relation string")
+    v = spark.createDataFrame([("a.pdf", "n00", "numerical", "verified", {"I1": "failed"}, 0), ("b.pdf", "n00", "numerical", "verified", {"I1": "passed"}, 1), ("b.pdf", "n01", "concept", "skipped", {}, 1)], "label string, node_id string, type string, status string, checks map<string,string>, pos int")
+    index = open(report.write_pages(a, e, str(tmp_path / "pages"), verdicts=v).removeprefix("file://")).read()
+    pages = [p.read_text() for p in (tmp_path / "pages").glob("page-*.html")]
+    data = [json.loads(p.split("id='graph'>")[1].split("</script>")[0]) for p in pages]
+    assert len(pages) == 4 and sum(len(d["nodes"]) for d in data) == 35 and sum(len(d["links"]) for d in data) == 35
+    node = next(n for d in data for n in d["nodes"] if n["id"] == "n00")
+    assert json.loads(node["checks"]) == {"I1": "passed"} and node["label"] == "&lt;b&gt;" and node["colour"] == report.GREY
+    assert "b.pdf" in index and "100 %" in index and "page-000003.html" in index and "failed 0" in index
+
+
+def test_import_into_a_base(spark, rows, tmp_path):
+    f = tmp_path / "bundle" / "W3_approach"
+    f.mkdir(parents=True)
+    (f / "n1.md").write_text('---\ntype: Odd\ntitle: One\ntags: ["domain:x"]\nvendor_provenance: {"phase": "x"}\n---\n\nText\n\n## Code\n```python\nrun()\n```\n\n## Relations\n- extends → [Two](W3_approach/n2.md)\n')
+    (f / "n2.md").write_text("---\ntype: method\ntitle: Two\n---\n\nBody\n")
+    (f / "bad.md").write_text("---\n- : [\n---\nx")
+    base = store.GraphStore(spark, str(tmp_path / "kb"))
+    assert okf.import_into(base, str(tmp_path / "bundle")) == {"atoms_imported": 2, "edges_imported": 1, "concepts_skipped": 1}
+    okf.import_into(base, str(tmp_path / "bundle"))
+    got = {r["name"]: r for r in base.atoms.collect()}
+    assert set(got) == {"One", "Two"} and base.edges.count() == 1
+    assert got["One"]["code_body"] == "run()" and json.loads(got["One"]["provenance"]) == {"phase": "x", "original_type": "Odd"} and got["One"]["source_pdf"] == "bundle import"
+    assert store.by_domain(base.atoms, "x").count() == 1
 
 
 def test_offline_model_and_retry(spark):
@@ -205,16 +227,134 @@ def test_offline_model_and_retry(spark):
     assert providers.with_retry(flaky, pause=0.0)() == 7
 
 
-def test_engine(spark, tmp_path):
+def test_engine(spark, rows, tmp_path):
+    from claimloom import tools
     from claimloom.api import Config, Engine
 
-    eng = Engine(spark, str(tmp_path / "kb"), Config(rounds=5))
-    seg = spark.createDataFrame([(0, "Agents fail in mazes. Use sparse rewards. Train a critic.")], "pos int, text string")
-    first = eng.ingest(seg, "a.pdf")
-    again = eng.ingest(seg, "a.pdf")
-    assert first["atoms_inserted"] == 5 and again["atoms_inserted"] == 0 and again["edges_inserted"] == 0
-    assert eng.search("critic", level="W3", status="all").count() == 2
-    assert eng.audit().count() == 5 and Engine.schema()["types"] == O.TYPES
+    eng = Engine(spark, str(tmp_path / "kb"), Config(audit_k=1, consolidate_k=1))
+    text = "Agents fail in mazes. Use sparse rewards. Train a critic."
+    seen = []
+    first = eng.ingest(spark.createDataFrame([(0, text)], "pos int, text string"), "a.pdf", on_progress=lambda stage, pct: seen.append(stage))
+    assert first["atoms_inserted"] == 9 and first["edges_inserted"] == 14 and first["atoms_reduced"] == 8 and seen[-1] == "done"
+    assert first["levels"] == {"W1_problem": 3, "W2_direction": 4, "W3_approach": 4, "W4_implementation": 4, "W5_code": 2} and first["trajectories"] == 2
+    assert first["audit_report"]["n_audited"] == 12 and eng.store.atoms.where("status = 'active'").count() == 0
+    up = eng.store.edges.where("relation = 'aggregates_to' and tgt like 'reduced%'")
+    assert up.count() == 8
+    made = eng.store.atoms.where("node_id like 'reduced_W4%'").first()
+    assert made["code_body"] and json.loads(made["provenance"])["phase"] == "reduce" and made["embedding"]
+    again = eng.ingest(spark.createDataFrame([(0, text)], "pos int, text string"), "a.pdf")
+    assert again["atoms_inserted"] == 0 and again["edges_inserted"] == 0
+    found = tools.call(eng, "search", {"query": "critic", "level": "W3"})["result"]
+    assert {"context", "source_pdf", "status"} <= set(found[0])
+    said = tools.call(eng, "evaluate_novelty", {"proposal_text": text})["result"]
+    assert set(said["level_distances"]) == set(O.LEVELS) and said["most_similar_trajectory"]["w5"].startswith("w5_")
+    assert eng.store.atoms.where("source_pdf = '__proposal__'").count() == 0
+    assert tools.call(eng, "get_schema", {})["result"]["types"] == O.TYPES and "error" in tools.call(eng, "search", {})
+
+
+def test_several_sources_and_consolidation(spark, tmp_path):
+    from claimloom.api import Config, Engine
+
+    eng = Engine(spark, str(tmp_path / "kb"), Config(audit_k=1, consolidate_k=1))
+    text = "Agents fail in mazes. Use sparse rewards. Train a critic."
+    out = eng.ingest(spark.createDataFrame([("a.pdf", 0, text), ("b.pdf", 0, text)], "source string, pos int, text string"))
+    # the refinement has merged what the two sources have in common
+    assert out["refine_log"]["errors_found"][0] > 0 and out["refine_log"]["errors_fixed"][-1] > 0
+    later = eng.ingest(spark.createDataFrame([(0, text)], "pos int, text string"), "c.pdf")
+    assert later["consolidate_report"]["atoms_merged"] >= 1 and "W1_problem" in later["consolidate_report"]["levels_processed"]
+    merged = eng.store.atoms.where("status = 'merged'").collect()
+    kept = json.loads(eng.store.atoms.where(F.col("node_id") == json.loads(merged[0]["provenance"])["merged_into"]).first()["provenance"])
+    assert merged[0]["node_id"] in kept["merged_from"] and kept["phase"] == "consolidate"
+
+
+def test_only_active_atoms_are_audited(spark, rows):
+    cols = "node_id string, type string, status string, context string, code_body string, provenance string"
+    a = spark.createDataFrame([("n", "numerical", "active", "got 0.90 now", None, '{"score": 0.9}'), ("bad", "numerical", "active", "got 0.10", None, '{"score": "about 3"}'), ("off", "numerical", "active", "got 0.10", None, '{"score": 0.9}'), ("old", "numerical", "verified", "got 0.10", None, '{"score": 0.9}'), ("c", "citation", "active", "", None, '{"raw_citation": "K"}'), ("p", "problem", "active", "", None, None), ("m", "method", "active", "", None, "x"), ("e", "experiment", "active", "assert", None, None), ("k", "component", "skipped", "return", None, None)], cols)
+    e = spark.createDataFrame([("m", "k", "decomposes_into")], "src string, tgt string, relation string")
+    cat = spark.createDataFrame([("K", '{"doi":"1"}')], "key string, resolved string")
+    after, report_, per = audit.verify(a, e, catalogue=cat, k=1)
+    got = {r["node_id"]: r for r in after.collect()}
+    assert {n: r["status"] for n, r in got.items()} == {"n": "verified", "bad": "verified", "off": "low_confidence", "old": "verified", "c": "verified", "p": "skipped", "m": "verified", "e": "verified", "k": "skipped"}
+    assert json.loads(got["c"]["provenance"]) == {"raw_citation": "K", "resolved": {"doi": "1"}}
+    r = report_.first()
+    assert (r["n_audited"], r["n_passed"], r["n_failed"], r["n_skipped"]) == (6, 5, 1, 1)
+    checks = {x["node_id"]: x["checks"] for x in per.collect()}
+    assert checks["off"] == {"I1": "failed"} and checks["e"] == {"I2": "skipped"} and checks["p"] == {} and "old" not in checks
+    with_spec = audit.verify(a, e, spec={"task_name": "t"}, k=3)[2]
+    assert {x["node_id"]: x["checks"] for x in with_spec.collect()}["e"] == {"I2": "passed"}
+
+
+def test_replies_of_the_services(spark):
+    feed = "<feed><entry><id>http://arxiv.org/abs/1706.03762v5</id><title>Attention\n Is All</title><published>2017-06-12T17:57:34Z</published><author><name>A. V</name></author></entry></feed>"
+    rows_ = [
+        ("a", "some paper", json.dumps({"data": [{"title": "T", "authors": [{"name": f"N{i}"} for i in range(9)], "year": 2017, "venue": "V", "externalIds": {"DOI": "10.1/x"}}]}), feed, None, None),
+        ("b", "arXiv:1706.03762", json.dumps({"data": []}), feed, None, None),
+        ("c", "some paper", None, feed, None, None),
+        ("d", "x", None, "<feed></feed>", json.dumps({"results": [{"title": "O", "doi": "https://doi.org/10.2/y", "authorships": [{"author": {"display_name": "P"}}], "publication_year": 2020, "primary_location": None}]}), None),
+        ("e", "x", "no json", None, json.dumps({"results": []}), json.dumps({"message": {"items": [{"DOI": "10.3/z", "title": ["C"], "author": [{"given": "Q", "family": "R"}, {"family": "S"}], "issued": {"date-parts": [[2021]]}, "container-title": ["J"]}]}})),
+        ("f", " ", json.dumps({"data": [{"title": "T"}]}), None, None, None),
+        ("g", "x", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows_, "id string, raw_citation string, semantic_scholar string, arxiv string, openalex string, crossref string")
+    got = {r["id"]: r["resolved"] and r["resolved"].asDict() for r in providers.resolve_replies(df).collect()}
+    assert got["a"]["source_api"] == "semantic_scholar" and got["a"]["authors"] == [f"N{i}" for i in range(5)] and got["a"]["doi"] == "10.1/x" and got["a"]["confidence"] == 0.9
+    assert got["b"]["source_api"] == "arxiv" and got["b"]["confidence"] == 0.85 and got["b"]["title"] == "Attention Is All" and got["b"]["year"] == 2017 and got["c"]["confidence"] == 0.6
+    assert got["d"]["source_api"] == "openalex" and got["d"]["doi"] == "10.2/y" and got["d"]["venue"] is None
+    assert got["e"]["source_api"] == "crossref" and got["e"]["authors"] == ["Q R", "S"] and got["e"]["year"] == 2021 and got["e"]["venue"] == "J"
+    assert got["f"] is None and got["g"] is None
+    asked = df.select(providers.service_query("arxiv", F.col("raw_citation")).alias("q")).collect()
+    assert asked[0]["q"] == "ti:some+paper" and asked[1]["q"] == "id_list=1706.03762"
+
+
+def test_fixes_of_a_model(spark, rows):
+    from claimloom.operators import refine
+
+    replies = spark.createDataFrame([("s", json.dumps({"fixes": [{"action": "update_atom", "node_id": "a", "type": "concept", "provenance": {"x": 1, "y": 1}}, {"action": "update_atom", "node_id": "a", "type": "method", "provenance": {"y": 2}}, {"action": "update_edge", "src": "a", "tgt": "b", "relation": "adapts", "rho": {"mechanism": "m"}}, {"action": "remove_edge", "src": "b", "tgt": "a"}, {"action": "other"}]})), ("t", "no json")], "source string, reply string")
+    up, eup, gone = refine.parse_fixes(replies)
+    a = spark.createDataFrame([("a", "wrong", "W3_approach", "c", '{"z": 0}'), ("b", "method", "W3_approach", "c", None)], "node_id string, type string, level string, context string, provenance string")
+    fixed = {r["node_id"]: r for r in validate.apply_atom_updates(a, up).collect()}
+    assert fixed["a"]["type"] == "method" and json.loads(fixed["a"]["provenance"]) == {"z": 0, "x": 1, "y": 2} and fixed["b"]["provenance"] is None
+    e = spark.createDataFrame([("a", "b", "extends", None), ("a", "b", "improves", None), ("b", "a", "extends", None)], "src string, tgt string, relation string, rho_json string")
+    assert [(r["relation"], json.loads(r["rho_json"])) for r in validate.apply_edge_actions(e, eup, gone).collect()] == [("adapts", {"mechanism": "m"})] * 2
+
+
+def test_commits_append_and_conflict(spark, rows, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path / "kb"))
+    a = spark.createDataFrame([("a", 1)], "node_id string, version int")
+    e = spark.createDataFrame([("a", "b", "r")], "src string, tgt string, relation string")
+    first = s.commit(a, e)
+    s.append(spark.createDataFrame([("b",)], "node_id string"))
+    assert rows(s.atoms) == [("a", 1), ("b", None)] and rows(s.edges) == [("a", "b", "r")] and rows(s.read("atoms", first)) == [("a", 1)]
+    with pytest.raises(store.Conflict):
+        s.append(a, since=first)
+    assert s.versions() == [1, 2] and rows(s.atoms.select("node_id")) == [("a",), ("b",)]
+    s.commit(s.atoms.where("node_id = 'b'"), e)
+    assert s.vacuum(keep=1) >= 2 and rows(s.atoms.select("node_id")) == [("b",)] and s.versions() == [3]
+
+
+def test_texts_of_pdf_files(spark, rows, tmp_path):
+    from claimloom.sources import pdf
+
+    (tmp_path / "one.pdf").write_bytes(b"p1|p2")
+    (tmp_path / "bad.pdf").write_bytes(b"")
+    got = pdf.read_pages(spark, str(tmp_path), lambda content: content.decode().split("|") if content else 1 / 0)
+    assert rows(got.select("pos", "text")) == [(0, "p1"), (1, "p2")]
+
+
+def test_the_last_problem_counts(spark, rows):
+    df = spark.createDataFrame([("s", "a", 1), ("s", "b", 3), ("s", "c", None)], "source string, name string, pos int")
+    assert rows(novelty.last_wins(df, ["source"], [F.col("pos")])) == [("s", "b", 3)]
+
+
+def test_hausdorff_to_a_set_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(novelty, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(5, 8)), rng.normal(size=(3, 8))
+    cos = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    a = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    b = spark.createDataFrame([(7, v.tolist()) for v in y], "k int, v array<double>")
+    assert novelty.hausdorff_to(b, "k", a).first()["distance"] == pytest.approx(max(cos.min(1).max(), cos.min(0).max()))
+    assert novelty.hausdorff_to(b, "k", a.limit(0)).count() == 0
 
 
 def test_best_ancestor_is_found_at_any_distance(spark, rows):
@@ -264,9 +404,8 @@ def test_consolidate_keeps_the_evidence_of_the_store(spark, rows, tmp_path):
     from claimloom.api import Engine
 
     eng = Engine(spark, str(tmp_path / "kb"))
-    held, none = eng._held()
-    a = spark.createDataFrame([(n, n, "method", O.LEVELS[2], "", "active", None, None, None, None, None, None) for n in ("a", "b")], held.schema)
-    eng.store.commit(a, spark.createDataFrame([("a", "b", "extends", 1.0, "why")], none.schema))
+    a = spark.createDataFrame([(n, n, "method", O.LEVELS[2], "", "active") for n in ("a", "b")], "node_id string, name string, type string, level string, context string, status string")
+    eng.store.commit(a, spark.createDataFrame([("a", "b", "extends", 1.0, "why")], "src string, tgt string, relation string, weight double, rho_json string"))
     eng.consolidate()
     assert [r["rho_json"] for r in eng.store.edges.collect()] == ["why"]
 
