@@ -152,18 +152,6 @@ def parse_phase2(replies: DataFrame, approaches: DataFrame) -> tuple[DataFrame,
     return atoms, e1.unionByName(e2).unionByName(parts[0]).unionByName(parts[1]).distinct()
 
 
-def reduce_groups(components: DataFrame, atoms: DataFrame, to_prefix: str) -> DataFrame:
-    """One new atom per component: id, name of the first source atom, size, first provenance; the offline form of a level reduction."""
-    j = components.join(atoms, "node_id")
-    g = j.groupBy("component").agg(F.count(F.lit(1)).alias("n_sources"), F.min_by("name", "node_id").alias("name"), F.min_by("provenance", "node_id").alias("provenance"))
-    return g.select(F.concat(F.lit(f"{to_prefix}_"), F.substring(F.sha2("component", 256), 1, 8)).alias("node_id"), F.col("component").alias("reduced_from"), "name", "n_sources", "provenance")
-
-
-def reduction_edges(components: DataFrame, to_prefix: str) -> DataFrame:
-    """aggregates_to edges from every atom to the new atom of its own component."""
-    return components.select(F.col("node_id").alias("src"), F.concat(F.lit(f"{to_prefix}_"), F.substring(F.sha2("component", 256), 1, 8)).alias("tgt"), F.lit("aggregates_to").alias("relation"))
-
-
 # Fixed value: how an arXiv id stands in a citation.
 ARXIV = r"(?i)(?:arxiv[:\s])?(\d{4}\.\d{4,5}(?:v\d+)?)"
 

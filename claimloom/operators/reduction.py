@@ -13,6 +13,8 @@ from claimloom.plans.lineage import cut
 
 # The fields of a reply with reduced atoms.
 REDUCED = "struct<reduced_atoms: array<struct<name: string, type: string, context: string>>>"
+#: Characters of an atom's context that stand in a prompt.
+CONTEXT_CHARS = 400
 #: The four steps, from the lowest level.
 STEPS = [(LEVELS[i], LEVELS[i - 1]) for i in range(4, 0, -1)]
 
@@ -30,7 +32,7 @@ def reduce_level(atoms: DataFrame, edges: DataFrame, batch: DataFrame, level: st
     comp = graph.components_by_level(edges, atoms, level, mode)
     mine = cut(comp.join(batch.where(F.col("level") == level).select("node_id", "name", "type", "context", "source_refs", "code_body", "provenance"), "node_id"))
     head = F.lit(f"reduce {level} {to_level}\n")
-    lines = mine.select(F.col("component").alias("source"), F.col("node_id").alias("pos"), F.to_json(F.struct("node_id", "name", "type", "context")).alias("text"))
+    lines = mine.select(F.col("component").alias("source"), F.col("node_id").alias("pos"), F.to_json(F.struct("node_id", "name", "type", F.substring("context", 1, CONTEXT_CHARS).alias("context"))).alias("text"))
     asked = extract.prompts(lines, mark="\n").select("source", F.concat(head, "prompt").alias("prompt"))
     replies = providers.ask(asked, "source", model, task="reduce")
     said = replies.select(F.col("source").alias("component"), F.from_json(extract.fenced_json(F.col("reply")), REDUCED).alias("r")).select("component", F.posexplode("r.reduced_atoms").alias("i", "x"))

@@ -47,7 +47,7 @@ class OfflineModel:
         return {"W1_problem": {"name": t(sentences[0]), "type": "problem", "context": sentences[0]}, "W2_directions": directions}
 
     def _extract_code(self, prompt: str) -> dict:
-        named = [line[2:].partition(": ") for line in prompt.rpartition("--- approaches ---\n")[2].splitlines() if line.startswith("- ")]
+        named = [line[2:].partition(": ") for line in prompt.rpartition("--- approaches ---\n")[2].split("\n") if line.startswith("- ")]
         code = lambda name, text: [{"name": f"{name} code", "type": "component", "context": text, "code_ref": "main.py", "code_body": "def run(x):\n    return x"}]
         return {"W4_implementations": [{"name": f"{name} built", "type": "solution", "context": text, "parent_W3_id": name, "W5_code": code(name, text)} for name, _, text in named]}
 
@@ -58,13 +58,13 @@ class OfflineModel:
         return {"fixes": [{"action": "update_atom", "node_id": x, "provenance": {"code_span": "text"}} for x in missing] + [{"action": "update_edge", "src": s, "tgt": t, "rho": rho} for s, t in bare]}
 
     def _reduce(self, prompt: str) -> dict:
-        rows = [json.loads(line) for line in prompt.splitlines()[1:] if line.startswith("{") and line.endswith("}")]
+        rows = [json.loads(line) for line in prompt.split("\n")[1:] if line.startswith("{") and line.endswith("}")]
         if not rows:
             return {}
         return {"reduced_atoms": [{"name": f"{rows[0].get('name', '')} and like", "type": rows[0].get("type"), "context": " ".join(r.get("context", "") for r in rows)[:500]}]}
 
     def _judge(self, prompt: str) -> dict:
-        rows = [json.loads(line) for line in prompt.splitlines() if line.startswith("{") and line.endswith("}")]
+        rows = [json.loads(line) for line in prompt.split("\n") if line.startswith("{") and line.endswith("}")]
         return {"merge": len(rows) > 1, "canonical_name": rows[0].get("name") if rows else None, "canonical_type": rows[0].get("type") if rows else None, "canonical_context": rows[0].get("context") if rows else None, "reasoning": "alike"}
 
     def _score(self, prompt: str) -> dict:

@@ -167,17 +167,6 @@ def merge_apply_statuses(spark, d):
     return a.select("node_id", "status", "merged_into", F.coalesce(F.size("merged_from"), F.lit(0)).alias("n_from"))
 
 
-def reduce_groups(spark, d):
-    a = with_provenance(atoms_(spark, d, "provenance"))
-    comp = graph.components_by_level(_keys(spark, d), a, "W3_approach")
-    return extract.reduce_groups(comp, a, "w2").select("node_id", "reduced_from", "name", "n_sources")
-
-
-def reduction_edges(spark, d):
-    comp = graph.components_by_level(_keys(spark, d), atoms_(spark, d), "W3_approach")
-    return extract.reduction_edges(comp, "w2")
-
-
 # -- audit -----------------------------------------------------------------------
 
 
@@ -268,8 +257,7 @@ def vote_scalar(spark, d):
 
 
 def vote_float(spark, d):
-    e = table(spark, d, "events").withColumn("value", F.round("value", 0))
-    return vote.vote_scalar(e, ["event_type"], "value", [F.col("event_id")])
+    return vote.vote_scalar(table(spark, d, "events"), ["event_type"], "value", [F.col("event_id")])
 
 
 def vote_list_len(spark, d):
@@ -396,7 +384,7 @@ def stream_incremental_ingest(spark, d):
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        dense_topk, softmax_weights, word_hash_embedding, cosine_pairs_in_group, cluster_single_linkage, consolidate_report, hausdorff_by_label, novelty_argmin, components_by_level, components_strong_level, upward_trace, downward_expand, trajectories_tree, best_ancestor, ppr_fixed_k, ppr_by_joins, search_end_to_end, parent_grouping, merge_rewire, merge_apply_statuses, reduce_groups, reduction_edges,
+        dense_topk, softmax_weights, word_hash_embedding, cosine_pairs_in_group, cluster_single_linkage, consolidate_report, hausdorff_by_label, novelty_argmin, components_by_level, components_strong_level, upward_trace, downward_expand, trajectories_tree, best_ancestor, ppr_fixed_k, ppr_by_joins, search_end_to_end, parent_grouping, merge_rewire, merge_apply_statuses,
         audit_dispatch, audit_i1, audit_i2, audit_i3_catalogue, audit_i4_children, audit_i4, audit_outcome, audit_report_cpr, citation_resolve, vote_scalar, vote_float, vote_list_len, vote_nested, parse_extraction_json, parse_extraction_edges, parent_resolve_prefix, segments_concat_truncate, arxiv_id_extract, atom_feed_parse, slugify, okf_relation_lines, okf_concepts, okf_index, okf_log, okf_parse_relations, page_nodes, graphml_lines, stream_incremental_ingest,
     )
 }
@@ -520,8 +508,6 @@ SQL: dict[str, str] = {
     "parent_grouping": f"WITH {CUR}, {KEY}, {_parents_sql().format('cur')}, live AS (SELECT node_id, level FROM cur WHERE status NOT IN ('merged', 'transient')) SELECT level, node_id, '__root__' AS grp FROM live WHERE level = 'W1_problem' UNION ALL SELECT l.level, node_id, parent_id FROM live l JOIN par USING (node_id) WHERE l.level <> 'W1_problem'",
     "merge_rewire": f"WITH {EDG}, {_MRG} SELECT src, tgt, relation, bool_and(moved) AS moved FROM (SELECT coalesce(s.canonical_id, src) AS src, coalesce(t.canonical_id, tgt) AS tgt, relation, s.dup_id IS NOT NULL OR t.dup_id IS NOT NULL AS moved FROM edg LEFT JOIN mrg s ON s.dup_id = src LEFT JOIN mrg t ON t.dup_id = tgt) WHERE src <> tgt GROUP BY src, tgt, relation",
     "merge_apply_statuses": f"WITH {CUR}, {_MRG}, fr AS (SELECT canonical_id, count(DISTINCT dup_id) AS n FROM mrg GROUP BY 1) SELECT c.node_id, CASE WHEN m.dup_id IS NOT NULL THEN 'merged' WHEN fr.n IS NOT NULL THEN 'active' ELSE c.status END AS status, m.canonical_id AS merged_into, coalesce(fr.n, 0)::INT AS n_from FROM cur c LEFT JOIN mrg m ON m.dup_id = c.node_id LEFT JOIN fr ON fr.canonical_id = c.node_id",
-    "reduce_groups": f"WITH RECURSIVE {CUR}, {KEY}, {_IND}, {_WEAK} SELECT 'w2_' || substr(sha256(component), 1, 8) AS node_id, component AS reduced_from, arg_min(c.name, c.node_id) AS name, count(*) AS n_sources FROM comp JOIN cur c USING (node_id) GROUP BY component",
-    "reduction_edges": f"WITH RECURSIVE {CUR}, {KEY}, {_IND}, {_WEAK} SELECT node_id AS src, 'w2_' || substr(sha256(component), 1, 8) AS tgt, 'aggregates_to' AS relation FROM comp",
     "audit_dispatch": f'WITH {CUR} SELECT node_id, type, status, {_map(O.TYPE_CHECKS)}[type] AS "check", {_ACT} AS action FROM cur',
     "audit_i1": f"WITH {CUR}, {PROV}, {_I1} SELECT node_id, check_status, round(delta, 6) AS delta, round(CASE WHEN check_status = 'skipped' AND tol IS NULL THEN NULL ELSE tol END, 6) AS tolerance FROM i1",
     "audit_i2": f"WITH {CUR}, {_I2} SELECT node_id, check_status FROM i2",
@@ -538,7 +524,7 @@ SQL: dict[str, str] = {
       SELECT node_id AS cite_id, CASE WHEN a.key IS NOT NULL THEN 'semantic_scholar' WHEN b.key IS NOT NULL THEN 'crossref' END AS source_api, coalesce(a.title, b.title) AS title, CASE WHEN a.key IS NOT NULL THEN 0.9 WHEN b.key IS NOT NULL THEN 0.7 END::DOUBLE AS confidence
       FROM prov LEFT JOIN cat a ON a.key = raw_citation LEFT JOIN oth b ON b.key = raw_citation WHERE raw_citation IS NOT NULL""",
     "vote_scalar": "SELECT user_id, event_type, n AS votes FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
-    "vote_float": "SELECT event_type, v AS value, n AS votes FROM (SELECT event_type, round(value, 0) AS v, count(*) AS n, min(event_id) AS f FROM events WHERE value IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, f) = 1",
+    "vote_float": "SELECT event_type, v AS value, n AS votes FROM (SELECT event_type, round(value, 4) AS r, arg_min(value, event_id) AS v, count(*) AS n, min(event_id) AS f FROM events WHERE value IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, f) = 1",
     "vote_list_len": """WITH n AS (SELECT DISTINCT level, decision_id, dup_ids FROM merge_decisions WHERE dup_ids IS NOT NULL)
       SELECT level, k::INT AS n_ids, votes, array_to_string(list_transform(ids, lambda x: coalesce(x, '~')), ',') AS ids FROM (SELECT level, len(dup_ids) AS k, count(*) AS votes, min(decision_id) AS f, arg_min(dup_ids, decision_id) AS ids FROM n GROUP BY 1, 2)
       QUALIFY row_number() OVER (PARTITION BY level ORDER BY votes DESC, f) = 1""",

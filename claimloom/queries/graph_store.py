@@ -74,11 +74,11 @@ def migrate_values(spark, d):
 
 
 def store_insert_first_wins(spark, d):
-    """Rows of version 1 are the store, all others arrive: an id held already is skipped, of new ids the first row counts."""
+    """Rows of version 1 are the store, all others arrive (those without a version last): an id held already is skipped, of new ids the first row counts."""
     n = table(spark, d, "cc_nodes").where("node_id is not null").select("node_id", "version", "name", "updated_at", "source_pdf")
     held = n.where("version = 1").dropDuplicates(["node_id"])
-    new = n.where("version > 1")
-    return store.insert_blueprint(held, new, [F.col("version"), F.col("updated_at").asc_nulls_last()], "unknown").select("node_id", "version", F.when(F.col("version") > 1, F.col("source_pdf")).alias("source_pdf"))
+    new = n.where("version is null or version <> 1")
+    return store.insert_blueprint(held, new, [F.col("version").asc_nulls_last(), F.col("updated_at").asc_nulls_last()], "unknown").select("node_id", "version", F.when(F.coalesce("version", F.lit(0)) != 1, F.col("source_pdf")).alias("source_pdf"))
 
 
 def _upsert_sides(spark, d):
@@ -97,11 +97,11 @@ def store_upsert_coalesce(spark, d):
 
 
 def edges_insert_ignore(spark, d):
-    """Edges of 2022 and earlier are the store, later ones arrive; what an insert-or-ignore adds."""
+    """Edges of 2022 and earlier are the store, later ones and those without a time arrive; what an insert-or-ignore adds."""
     e = table(spark, d, "cc_edges").where(present(F.col("src")) & present(F.col("tgt"))).select("src", "tgt", "relation", "weight", "created_at")
     bar = F.lit("2023-01-01").cast("timestamp_ntz")
-    held, new = e.where(F.col("created_at") < bar), e.where(F.col("created_at") >= bar)
-    return store.insert_ignore(held, new, store.EDGE_KEY, [F.col("created_at"), F.col("weight").asc_nulls_last()]).select("src", "tgt", "relation", "weight")
+    held, new = e.where(F.col("created_at") < bar), e.where(F.col("created_at").isNull() | (F.col("created_at") >= bar))
+    return store.insert_ignore(held, new, store.EDGE_KEY, [F.col("created_at").asc_nulls_last(), F.col("weight").asc_nulls_last()]).select("src", "tgt", "relation", "weight")
 
 
 def delete_touching(spark, d):
@@ -303,7 +303,7 @@ SQL: dict[str, str] = {
     "migrate_values": f"""SELECT coalesce({_map(O.LEVEL_MIGRATIONS)}[level], level) AS level, count(*) AS n_rows,
       CAST(sum(CAST({_map(O.LEVEL_MIGRATIONS)}[level] IS NOT NULL AS INT) + CAST({_map(O.TYPE_MIGRATIONS)}[type] IS NOT NULL AS INT)) AS BIGINT) AS n_changes FROM cc_nodes GROUP BY 1""",
     "store_insert_first_wins": """WITH n AS (SELECT * FROM cc_nodes WHERE node_id IS NOT NULL), h AS (SELECT DISTINCT node_id FROM n WHERE version = 1),
-      new AS (SELECT * FROM n WHERE version > 1 AND node_id NOT IN (SELECT node_id FROM h) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY version, updated_at NULLS LAST) = 1)
+      new AS (SELECT * FROM n WHERE version IS DISTINCT FROM 1 AND node_id NOT IN (SELECT node_id FROM h) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY version NULLS LAST, updated_at NULLS LAST) = 1)
       SELECT node_id, 1 AS version, NULL AS source_pdf FROM h UNION ALL SELECT node_id, version, coalesce(source_pdf, 'unknown') FROM new""",
     "store_upsert_coalesce": f"""WITH n AS (SELECT DISTINCT {_UPS}, max(version) OVER (PARTITION BY node_id) AS top FROM cc_nodes WHERE node_id IS NOT NULL),
       new AS (SELECT * FROM n WHERE version = top QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY context NULLS LAST, code_body NULLS LAST) = 1),
@@ -312,7 +312,7 @@ SQL: dict[str, str] = {
         coalesce(n.code_body, o.code_body) AS code_body, coalesce(n.provenance, o.provenance) AS provenance, CASE WHEN o.node_id IS NULL THEN n.source_pdf ELSE o.source_pdf END AS source_pdf
       FROM old o FULL JOIN new n ON n.node_id = o.node_id""",
     "edges_insert_ignore": f"""WITH e AS (SELECT * FROM cc_edges WHERE {OKE}), h AS (SELECT * FROM e WHERE created_at < TIMESTAMP '2023-01-01'),
-      n AS (SELECT * FROM e WHERE created_at >= TIMESTAMP '2023-01-01' QUALIFY row_number() OVER (PARTITION BY src, tgt, relation ORDER BY created_at, weight NULLS LAST) = 1)
+      n AS (SELECT * FROM e WHERE created_at IS NULL OR created_at >= TIMESTAMP '2023-01-01' QUALIFY row_number() OVER (PARTITION BY src, tgt, relation ORDER BY created_at NULLS LAST, weight NULLS LAST) = 1)
       SELECT src, tgt, relation, weight FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.src = n.src AND h.tgt = n.tgt AND h.relation = n.relation)""",
     "delete_touching": f"WITH {KEY}, g AS (SELECT node_id FROM cc_deleted WHERE node_id IS NOT NULL) SELECT * FROM ek WHERE src NOT IN (SELECT node_id FROM g) AND tgt NOT IN (SELECT node_id FROM g)",
     "delete_transient": f"WITH {CUR}, {KEY}, g AS (SELECT node_id FROM cur WHERE status = 'transient') SELECT (SELECT count(*) FROM cur WHERE status <> 'transient') AS n_atoms, (SELECT count(*) FROM ek WHERE src NOT IN (SELECT node_id FROM g) AND tgt NOT IN (SELECT node_id FROM g)) AS n_edges",

@@ -187,7 +187,7 @@ def to_atoms(split: DataFrame) -> DataFrame:
         m(f"{PREFIX}_provenance").alias("provenance"),
         m(f"{PREFIX}_source_refs").alias("source_refs"),
         m(f"{PREFIX}_code_ref").alias("code_ref"),
-        F.regexp_extract("body", r"(?s)\n## Code\n```python\n(.*?)\n```\n", 1).alias("code_body"),
+        F.regexp_extract("body", r"(?s)(?:^|\n)## Code\n```python\n(.*?)\n```\n", 1).alias("code_body"),
     ).withColumns({"code_body": F.nullif("code_body", F.lit("")), "provenance": F.when(F.col("original_type").isNotNull(), merged(F.col("provenance"), F.to_json(F.struct(F.col("original_type"))))).otherwise(F.col("provenance"))})
 
 
