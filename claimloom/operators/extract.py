@@ -176,6 +176,6 @@ def atom_feed(xml: Column) -> list[Column]:
 
 
 def fenced_json(c: Column) -> Column:
-    """Content of the first fenced block of a reply, else the reply itself."""
+    """The reply itself if it begins as JSON, else the content of its first fenced block, if there is one."""
     inner = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(inner != "", F.trim(inner)).otherwise(c)
+    return F.when((inner != "") & ~c.rlike(r"^\s*[\[{]"), F.trim(inner)).otherwise(c)
