@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from claimloom.plans.lineage import cut
 from claimloom.plans.ship import ship
-from claimloom.plans.skew import salted_join
+from claimloom.plans.skew import hot_from_counts, salted_join
 
 #: Vectors that the pivots are taken from: a bounded sample, as the pivots are too.
 SAMPLE = 20_000
@@ -31,8 +31,6 @@ PER_PIVOT = 200
 ORDER, POSTINGS = 12, 4
 #: Files beyond this are split by pivots of their own until they fit.
 FILE = 4_000
-#: At most so many files are split at once, so their pivots may be sent to all workers.
-MAX_SPLIT = 4_096
 #: Most pivots of one split file, and in how many of its parts a vector is posted.
 LOCAL_PIVOTS, LOCAL_POSTINGS = 32, 2
 #: Postings that one task works off, so that tasks stay as large however many vectors there are.
@@ -98,89 +96,87 @@ def _postings(orders: DataFrame, postings: int) -> DataFrame:
     return orders.select(F.explode(F.slice("perm", 1, postings).cast("array<bigint>")).alias("file"), "k", "v", "perm")
 
 
-def _local_pivots(files: DataFrame, large: dict[int, int]) -> dict[int, np.ndarray]:
-    """Pivots of each large file, from its own vectors by hash: at most ``LOCAL_PIVOTS`` of at most ``MAX_SPLIT`` files."""
-    listed = files.sparkSession.createDataFrame([(f, n) for f, n in large.items()], "file bigint, n bigint")
+def _local_pivots(files: DataFrame) -> DataFrame:
+    """(file, n, i, v): pivots of each large file, from its own vectors by hash, at most ``LOCAL_PIVOTS``."""
     mix = F.xxhash64("k", "file")
-    some = files.join(F.broadcast(listed), "file").where(F.pmod(mix, F.lit(2**31)) <= (F.least(F.lit(1.0), 4.0 * LOCAL_PIVOTS / F.col("n")) * 2**31).cast("bigint"))
+    share = F.least(F.lit(1.0), 4.0 * LOCAL_PIVOTS / F.col("n"))
+    some = files.select("file", "k", "v", "n").where(F.pmod(mix, F.lit(2**31)) <= (share * 2**31).cast("bigint"))
     first = some.withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy(mix, "k"))).where(F.col("i") <= LOCAL_PIVOTS)
-    first = first.where(F.col("i") <= F.greatest(F.lit(4.0), F.ceil(2.0 * LOCAL_POSTINGS * F.col("n") / FILE)))
-    found: dict[int, list] = {}
-    for f, v in first.select("file", "v").collect():
-        found.setdefault(f, []).append(np.frombuffer(v, dtype=np.float32))
-    return {f: np.stack(sorted(vs, key=bytes)) for f, vs in found.items() if len(vs) > 1}
-
-
-def _split(files: DataFrame, pivots: dict[int, np.ndarray], start: int) -> tuple[DataFrame, int]:
-    """The files of ``pivots``, each vector posted at its nearest pivots; and the first free file number."""
-    first = {}
-    for f, p in pivots.items():
-        first[f], start = start, start + len(p)
-    sent = files.sparkSession.sparkContext.broadcast((pivots, first))
+    return first.where(F.col("i") <= F.greatest(F.lit(4.0), F.ceil(2.0 * LOCAL_POSTINGS * F.col("n") / FILE))).select("file", "n", F.col("i").cast("bigint").alias("i"), "v")
+
+
+def _split(files: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
+    """The large ``files``, each vector posted at its nearest of the file's own pivots.
+
+    Vectors and pivots of a file meet in tasks of bounded size: a file of any size is
+    spread over salts, its pivots go to each of them and come first, so that a task
+    holds one file's pivots at a time.
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / TASK)).cast("int")
+    rows = files.select("file", F.pmod(F.xxhash64("k", F.lit(3)), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "k", "v", "perm", F.col("n").alias("was"))
+    lead = pivots.select("file", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("i").alias("k"), "v", F.lit(None).cast("array<smallint>").alias("perm"), F.col("n").alias("was"))
+    both = lead.unionByName(rows).repartition(1 + total // TASK, "file", "salt").sortWithinPartitions("file", "salt", "kind", "k")
     ship(files.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, first = sent.value
+        at, pivots = None, []
         for b in batches:
-            file, v = np.asarray(b.column("file")), b.column("v")
+            file, salt, kind = (np.asarray(b.column(c)) for c in ("file", "salt", "kind"))
+            v = b.column("v")
             m = np.frombuffer(b"".join(v.to_pylist()), dtype=np.float32).reshape(len(v), -1)
-            to = np.empty((len(m), LOCAL_POSTINGS), np.int64)
-            by = np.argsort(file, kind="stable")
-            for at in np.split(by, np.flatnonzero(np.diff(file[by])) + 1) if len(by) else []:
-                f = int(file[at[0]])
+            ends = np.flatnonzero((np.diff(file) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(v)], strict=True) if len(v) else []:
+                here = (int(file[lo]), int(salt[lo]))
+                if here != at:
+                    at, pivots = here, []
+                if kind[lo] == 0:
+                    pivots += list(m[lo:hi])
+                    continue
                 # seen from their middle, as vectors of one file may differ by little
-                mid = pivots[f].mean(axis=0)
-                p = pivots[f] - mid
-                near = (m[at] - mid) @ p.T - (p * p).sum(axis=1) / 2
-                to[at] = first[f] + np.argsort(-near, axis=1, kind="stable")[:, :LOCAL_POSTINGS]
-            twice = b.take(pa.array(np.repeat(np.arange(len(m)), LOCAL_POSTINGS)))
-            names = ["k", "v", "perm", "was"]
-            yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1)), *(twice.column(c) for c in names)], ["file", *names])
-
-    return files.mapInArrow(post, "file bigint, k bigint, v binary, perm array<smallint>, was bigint"), start
-
-
-def _in_blocks(files: DataFrame, large: dict[int, int], start: int) -> tuple[DataFrame, int]:
-    """Files that pivots don't split, as one file for every two of their blocks, so that all vectors still meet."""
-    plan = []
-    for f, n in large.items():
-        blocks = -(-2 * n // FILE)
-        plan.append((f, blocks, start))
-        start += blocks * blocks
-    listed = files.sparkSession.createDataFrame(plan, "file bigint, blocks bigint, start bigint")
-    mine = files.join(F.broadcast(listed), "file").withColumn("a", F.pmod(F.xxhash64("k", F.lit(2)), F.col("blocks")))
+                p = np.stack(pivots)
+                mid = p.mean(axis=0)
+                p = p - mid
+                near = (m[lo:hi] - mid) @ p.T - (p * p).sum(axis=1) / 2
+                to = np.argsort(-near, axis=1, kind="stable")[:, :LOCAL_POSTINGS].astype(np.int32)
+                twice = b.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), to.shape[1])))
+                names = ["file", "k", "v", "perm", "was"]
+                yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1)), *(twice.column(c) for c in names)], ["part", *names])
+
+    parts = both.mapInArrow(post, "part int, file bigint, k bigint, v binary, perm array<smallint>, was bigint")
+    return parts.select(F.xxhash64("file", "part").alias("file"), "k", "v", "perm", "was")
+
+
+def _in_blocks(files: DataFrame) -> DataFrame:
+    """Files (with their size n) that pivots don't split, as one file for every two of their blocks, so that all vectors still meet."""
+    blocks = F.ceil(2 * F.col("n") / FILE)
+    mine = files.select("file", "k", "v", "perm", blocks.alias("blocks"), F.pmod(F.xxhash64("k", F.lit(2)), blocks).alias("a"))
     mine = mine.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return mine.select((F.col("start") + F.least("a", "b") * F.col("blocks") + F.greatest("a", "b")).alias("file"), "k", "v", "perm"), start
+    return mine.select(F.xxhash64("file", F.lit("block"), F.least("a", "b"), F.greatest("a", "b")).alias("file"), "k", "v", "perm")
 
 
 def _fitting(files: DataFrame) -> DataFrame:
     """``files`` with those of more than ``FILE`` vectors split, over and over, until all fit.
 
     A part that holds more than three quarters of the file it comes from isn't split
-    by pivots again, but in blocks of which each meets each.
+    by pivots again, but in blocks of which each meets each.  No list of files or
+    pivots reaches the driver or is sent to all workers; joins with the large files
+    are salted by their sizes.
     """
-    spark = files.sparkSession
     keep = ["file", "k", "v", "perm"]
-    files, start, done = files.withColumn("was", F.lit(None).cast("bigint")), MAX_PIVOTS, []
+    files, done = files.withColumn("was", F.lit(None).cast("bigint")), []
     while True:
-        over = files.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("was")).where(F.col("n") > FILE)
-        over = cut(over)
-        now = over.orderBy("file").limit(MAX_SPLIT).collect()
-        if not now:
+        over = cut(files.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("was").alias("was")).where(F.col("n") > FILE))
+        total = over.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not total:
             return reduce(DataFrame.unionByName, [*done, files.select(*keep)])
-        done.append(files.join(over.select("file"), "file", "left_anti").select(*keep))
-        stuck = {r["file"]: r["n"] for r in now if r["was"] is not None and r["n"] > 0.75 * r["was"]}
-        large = {r["file"]: r["n"] for r in now if r["file"] not in stuck}
-        pivots = _local_pivots(files, large) if large else {}
-        stuck |= {f: n for f, n in large.items() if f not in pivots}
-        if stuck:
-            blocks, start = _in_blocks(files, stuck, start)
-            done.append(blocks)
-        sizes = spark.createDataFrame([(f, large[f]) for f in pivots], "file bigint, size bigint")
-        parts, start = _split(files.join(F.broadcast(sizes), "file").select(*keep, F.col("size").alias("was")), pivots, start)
-        later = spark.createDataFrame([(r["file"],) for r in now], "file bigint")
-        rest = files.join(over.select("file"), "file", "left_semi").join(F.broadcast(later), "file", "left_anti")
-        files = cut(parts.unionByName(rest) if len(now) == MAX_SPLIT else parts)
+        hot = hot_from_counts(over, ["file"], "n", total)
+        done.append(salted_join(files.select(*keep), over.select("file"), ["file"], "left_anti", total=total, hot=hot))
+        pick = lambda of, files=files, total=total, hot=hot: salted_join(files.select(*keep), of.select("file", "n"), ["file"], "inner", total=total, hot=hot)
+        split = over.where(F.col("was").isNull() | (F.col("n") <= 0.75 * F.col("was")))
+        pivots = cut(_local_pivots(pick(split)))
+        enough = pivots.groupBy("file").agg(F.count(F.lit(1)).alias("p")).where("p > 1").select("file")
+        done.append(_in_blocks(pick(over.join(enough, "file", "left_anti"))))
+        files = cut(_split(pick(split.join(enough, "file", "left_semi")), pivots.join(enough, "file", "left_semi"), total))
 
 
 def nearest_in_file(keys: np.ndarray, vecs: np.ndarray, perms: np.ndarray, k: int, min_cos: float, rerank: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import knn
 
@@ -94,9 +95,19 @@ def test_recall_in_a_cluster_of_a_third(spark):
 
 def test_files_that_pivots_do_not_split_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "FILE", 100)
-    monkeypatch.setattr(knn, "_local_pivots", lambda files, large: {})
+    monkeypatch.setattr(knn, "_local_pivots", lambda files: files.select("file", "n", F.lit(1).cast("bigint").alias("i"), "v").limit(0))
     pairs, want = dense(300, 100)
     got = {tuple(r) for r in knn.similar_pairs(data(spark, pairs), postings=1, order=1).collect()}
     monkeypatch.setattr(knn, "FILE", 4000)
     whole = {tuple(r) for r in knn.similar_pairs(data(spark, pairs), postings=1, order=1).collect()}
     assert got == whole
+
+
+def test_splits_through_several_levels_and_salts(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FILE", 30)
+    monkeypatch.setattr(knn, "TASK", 100)
+    monkeypatch.setattr(knn, "PER_PIVOT", 1000)
+    pairs = clusters(3)
+    want = truth(pairs, 5, 0.9)
+    got = {tuple(r) for r in knn.similar_pairs(data(spark, pairs)).collect()}
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
