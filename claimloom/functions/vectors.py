@@ -41,7 +41,9 @@ def word_hash(text: Column, dim: int = 128) -> Column:
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
-    count = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(p, lambda q: q == i)).cast("double"))
+    none = F.array_repeat(F.lit(0.0), dim)
+    add = lambda c, q: F.concat(F.slice(c, 1, q.cast("int")), F.array(F.get(c, q.cast("int")) + 1.0), F.slice(c, q.cast("int") + 2, dim))
+    count = lambda p: F.aggregate(p, none, add)
     unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n == 0, c).otherwise(F.transform(c, lambda x: x / n)))
     return F.when(text.isNotNull(), let(places, lambda p: let(count(p), unit)))
 

@@ -140,7 +140,7 @@ def ppr_by_joins(spark, d):
 
 def search_end_to_end(spark, d):
     a = atoms_(spark, d)
-    v = a.select("node_id", word_hash(F.coalesce("name", F.lit(""))).alias("embedding"))
+    v = cut(a.select("node_id", word_hash(F.coalesce("name", F.lit(""))).alias("embedding")))  # read by both recalls
     q = lambda x: literal_vector(spark, word_hash(F.lit(f"{x}: {QUESTION}")))
     return search.search(a, _keys(spark, d), v, q("atom"), q("code"), level="W4", top_k=10, status_filter=store.status_included(None)).select("node_id", "name", "type", "score")
 
@@ -381,11 +381,24 @@ def stream_incremental_ingest(spark, d):
     return s.atoms.groupBy("source").agg(F.count(F.lit(1)).alias("n_atoms"))
 
 
+def stream_windowed_counts(spark, d):
+    """Events by hour and type from a stream of the table's files; the last state of the running counts."""
+    import uuid
+
+    from claimloom.streaming.ingest import windowed_counts
+
+    base = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4().hex[:8]}"
+    counts = windowed_counts(stream_of(spark, d, "events"), "ts", "event_type")
+    keep = lambda df, _: df.write.mode("overwrite").parquet(f"{base}/now")
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{base}/now").select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         dense_topk, softmax_weights, word_hash_embedding, cosine_pairs_in_group, cluster_single_linkage, consolidate_report, hausdorff_by_label, novelty_argmin, components_by_level, components_strong_level, upward_trace, downward_expand, trajectories_tree, best_ancestor, ppr_fixed_k, ppr_by_joins, search_end_to_end, parent_grouping, merge_rewire, merge_apply_statuses,
-        audit_dispatch, audit_i1, audit_i2, audit_i3_catalogue, audit_i4_children, audit_i4, audit_outcome, audit_report_cpr, citation_resolve, vote_scalar, vote_float, vote_list_len, vote_nested, parse_extraction_json, parse_extraction_edges, parent_resolve_prefix, segments_concat_truncate, arxiv_id_extract, atom_feed_parse, slugify, okf_relation_lines, okf_concepts, okf_index, okf_log, okf_parse_relations, page_nodes, graphml_lines, stream_incremental_ingest,
+        audit_dispatch, audit_i1, audit_i2, audit_i3_catalogue, audit_i4_children, audit_i4, audit_outcome, audit_report_cpr, citation_resolve, vote_scalar, vote_float, vote_list_len, vote_nested, parse_extraction_json, parse_extraction_edges, parent_resolve_prefix, segments_concat_truncate, arxiv_id_extract, atom_feed_parse, slugify, okf_relation_lines, okf_concepts, okf_index, okf_log, okf_parse_relations, page_nodes, graphml_lines, stream_incremental_ingest, stream_windowed_counts,
     )
 }
 
@@ -556,5 +569,6 @@ SQL: dict[str, str] = {
     "okf_log": f"WITH {CUR} SELECT coalesce(strftime(updated_at, '%Y-%m-%d %H:%M:%S'), '') AS at, node_id, '- ' || coalesce(strftime(updated_at, '%Y-%m-%d %H:%M:%S'), '?') || ' · `' || node_id || '` · ' || coalesce(name, '') || ' · ' || status AS line FROM cur",
     "okf_parse_relations": f"WITH {CUR}, {KEY}, {_LINES} SELECT {_PATH.format('cur')} AS path, CASE WHEN relation IN {_in(O.HORIZONTAL + O.HIERARCHY)} THEN relation ELSE 'related_to' END AS relation, d = 1 AS incoming, target, o AS node_id FROM lnk JOIN cur USING (node_id)",
     "page_nodes": f"WITH {CUR} SELECT node_id AS id, {_ESC.format("coalesce(name, '')")} AS label, level AS \"group\", status, coalesce({_map(report.COLOURS)}[status], '{report.GREY}') AS colour FROM cur",
+    "stream_windowed_counts": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "stream_incremental_ingest": "SELECT source, count(DISTINCT doc_id) AS n_atoms FROM documents WHERE text IS NOT NULL GROUP BY source",
 }

@@ -34,4 +34,5 @@ def ingest_stream(segments: DataFrame, store: GraphStore, checkpoint: str) -> St
 
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per tumbling window and key, with a watermark; an addition beyond batch semantics."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a time zone
+    return timed.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
