@@ -32,7 +32,7 @@ ORDER, POSTINGS = 12, 4
 #: Files beyond this are split by pivots of their own until they fit.
 FILE = 4_000
 #: Most pivots of one split file, and in how many of its parts a vector is posted.
-LOCAL_PIVOTS, LOCAL_POSTINGS = 32, 2
+LOCAL_PIVOTS, LOCAL_POSTINGS = 32, 3
 #: Postings that one task works off, so that tasks stay as large however many vectors there are.
 TASK = 40_000
 
@@ -70,8 +70,21 @@ def _pivots(distinct: DataFrame, n: int, dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(r[0], dtype=np.float32) for r in some]) if some else np.zeros((0, dim), np.float32)
 
 
-def _orders(units: DataFrame, pivots: np.ndarray, order: int) -> DataFrame:
-    """(k, v, perm): each distinct vector with its nearest pivots, nearest first."""
+def _within(near: np.ndarray, p: np.ndarray, to: np.ndarray, reach: float) -> np.ndarray:
+    """For each vector which of its nearest pivots ``to`` it is to be posted at.
+
+    ``near`` is larger for nearer pivots, its differences being those of half the
+    squared distances.  A neighbour within ``reach`` whose nearest pivot is another
+    one than the vector's lies beyond the plane halfway between the two; so a pivot
+    behind a plane farther away than that needs no posting.
+    """
+    held = np.take_along_axis(near, to, 1)
+    apart = np.linalg.norm(p[to] - p[to[:, :1]], axis=2)
+    return held[:, :1] - held <= reach * apart + 1e-6
+
+
+def _orders(units: DataFrame, pivots: np.ndarray, order: int, postings: int, reach: float) -> DataFrame:
+    """(k, v, perm, post): each distinct vector with its nearest pivots, nearest first, and those it is posted at."""
     sent = units.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
     length = min(order, len(pivots))
 
@@ -81,19 +94,22 @@ def _orders(units: DataFrame, pivots: np.ndarray, order: int) -> DataFrame:
             v = b.column("v")
             m = np.frombuffer(b"".join(v.to_pylist()), dtype=np.float32).reshape(len(v), -1)
             out = np.empty((len(m), length), np.int16)
+            use = np.zeros((len(m), min(postings, length)), bool)
             for i in range(0, len(m), 2048):
                 near = m[i : i + 2048] @ p
                 top = np.argpartition(-near, length - 1, axis=1)[:, :length] if length < near.shape[1] else np.tile(np.arange(length), (len(near), 1))
                 out[i : i + 2048] = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+                use[i : i + 2048] = _within(near, sent.value, out[i : i + 2048, : use.shape[1]], reach)
             perm = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, length, dtype=np.int32)), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("k"), v, perm], ["k", "v", "perm"])
+            post = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(use.sum(axis=1))].astype(np.int32)), pa.array(out[:, : use.shape[1]][use]))
+            yield pa.RecordBatch.from_arrays([b.column("k"), v, perm, post], ["k", "v", "perm", "post"])
 
-    return units.mapInArrow(rank, "k bigint, v binary, perm array<smallint>")
+    return units.mapInArrow(rank, "k bigint, v binary, perm array<smallint>, post array<smallint>")
 
 
-def _postings(orders: DataFrame, postings: int) -> DataFrame:
+def _postings(orders: DataFrame) -> DataFrame:
     """(file, k, v, perm): each vector once per file it is posted in."""
-    return orders.select(F.explode(F.slice("perm", 1, postings).cast("array<bigint>")).alias("file"), "k", "v", "perm")
+    return orders.select(F.explode(F.col("post").cast("array<bigint>")).alias("file"), "k", "v", "perm")
 
 
 def _local_pivots(files: DataFrame) -> DataFrame:
@@ -105,7 +121,7 @@ def _local_pivots(files: DataFrame) -> DataFrame:
     return first.where(F.col("i") <= F.greatest(F.lit(4.0), F.ceil(2.0 * LOCAL_POSTINGS * F.col("n") / FILE))).select("file", "n", F.col("i").cast("bigint").alias("i"), "v")
 
 
-def _split(files: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
+def _split(files: DataFrame, pivots: DataFrame, total: int, reach: float) -> DataFrame:
     """The large ``files``, each vector posted at its nearest of the file's own pivots.
 
     Vectors and pivots of a file meet in tasks of bounded size: a file of any size is
@@ -138,9 +154,10 @@ def _split(files: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
                 p = p - mid
                 near = (m[lo:hi] - mid) @ p.T - (p * p).sum(axis=1) / 2
                 to = np.argsort(-near, axis=1, kind="stable")[:, :LOCAL_POSTINGS].astype(np.int32)
-                twice = b.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), to.shape[1])))
+                use = _within(near, p, to, reach)
+                each = b.slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), use.sum(axis=1))))
                 names = ["file", "k", "v", "perm", "was"]
-                yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1)), *(twice.column(c) for c in names)], ["part", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(to[use]), *(each.column(c) for c in names)], ["part", *names])
 
     parts = both.mapInArrow(post, "part int, file bigint, k bigint, v binary, perm array<smallint>, was bigint")
     return parts.select(F.xxhash64("file", "part").alias("file"), "k", "v", "perm", "was")
@@ -154,7 +171,7 @@ def _in_blocks(files: DataFrame) -> DataFrame:
     return mine.select(F.xxhash64("file", F.lit("block"), F.least("a", "b"), F.greatest("a", "b")).alias("file"), "k", "v", "perm")
 
 
-def _fitting(files: DataFrame) -> DataFrame:
+def _fitting(files: DataFrame, reach: float) -> DataFrame:
     """``files`` with those of more than ``FILE`` vectors split, over and over, until all fit.
 
     A part that holds more than three quarters of the file it comes from isn't split
@@ -176,7 +193,7 @@ def _fitting(files: DataFrame) -> DataFrame:
         pivots = cut(_local_pivots(pick(split)))
         enough = pivots.groupBy("file").agg(F.count(F.lit(1)).alias("p")).where("p > 1").select("file")
         done.append(_in_blocks(pick(over.join(enough, "file", "left_anti"))))
-        files = cut(_split(pick(split.join(enough, "file", "left_semi")), pivots.join(enough, "file", "left_semi"), total))
+        files = cut(_split(pick(split.join(enough, "file", "left_semi")), pivots.join(enough, "file", "left_semi"), total, reach))
 
 
 def nearest_in_file(keys: np.ndarray, vecs: np.ndarray, perms: np.ndarray, k: int, min_cos: float, rerank: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,8 +282,10 @@ def most_similar(vectors: DataFrame, *, id_col: str = "node_id", vec_col: str =
     pivots = _pivots(distinct, n_distinct, dim)
     if n_members < 2:
         return members.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(0).alias("rank")).limit(0)
-    orders = cut(_orders(distinct, pivots, order))
-    near = _work_off(_fitting(_postings(orders, postings)), max(1, n_distinct * postings * LOCAL_POSTINGS // TASK), k, min_cos, rerank)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * min_cos)))  # between unit vectors of that cosine
+    orders = cut(_orders(distinct, pivots, order, postings, reach))
+    n_posted = orders.agg(F.coalesce(F.sum(F.size("post")), F.lit(0))).first()[0]
+    near = _work_off(_fitting(_postings(orders), reach), 1 + LOCAL_POSTINGS * n_posted // TASK, k, min_cos, rerank)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cos").desc(), "r"))
     top = near.dropDuplicates(["q", "r"]).withColumn("n", rank).where(F.col("n") <= k).select("q", "r", "cos")
     # the ids that may stand for a vector: its k + 1 smallest
