@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import present
 from claimloom.ontology import relation_letters
 from claimloom.plans.lineage import cut, forget
+from claimloom.plans.ship import ship
 from claimloom.plans.skew import hot_from_counts, salted_join
 
 #: So many tables of nodes that are done are written together, so that plans stay short.
 GATHER = 8
+#: What is left after peeling to so few nodes is peeled off in one task, instead of in rounds of a few nodes each.
+TAIL = 1_000
 
 
 def _child_parent(edges: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def _heads(c: str, k: int) -> Column:
     return F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(2)) == 1
 
 
-def peel(links: DataFrame, *, with_path: bool = False) -> tuple[list[_Round], DataFrame]:
+def peel(links: DataFrame, *, with_path: bool = False, tail: int | None = None) -> tuple[list[_Round], DataFrame]:
     """Leaf peeling from below, with chains contracted.
 
     Each round removes the nodes whose children are all removed and sends their
@@ -68,18 +73,19 @@ def peel(links: DataFrame, *, with_path: bool = False) -> tuple[list[_Round], Da
     child hangs from their parent; their sizes wait on the link.  So a tree of any
     shape, a chain too, is gone after rounds in the order of the logarithm of its
     size, and each round only writes what is still there.  A cycle shrinks to a node
-    that is its own parent: these nodes are the residue.
+    that is its own parent.  The rounds end when only such nodes are left, or at most
+    ``tail`` of any kind (by default ``TAIL``), which one task works off.
 
-    Returns the rounds and the residue (node, e_min: smallest other id on the cycle).
+    Returns the rounds and what is known of the nodes left, as ``assign`` gives it.
     """
-    spark = links.sparkSession
+    tail = TAIL if tail is None else tail
     kids = links.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("pending"))
     # the link to the parent has e_...: size, height (from the parent) and smallest id of the nodes taken out of it
     link = [F.lit(1).alias("steps"), F.coalesce("pending", F.lit(0)).alias("pending"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("height"), F.lit(0).cast("long").alias("e_size"), F.lit(-1).alias("e_height"), F.lit(None).cast("string").alias("e_min")]
     path = ["e_path"] if with_path else []
     left = cut(links.join(kids, "node", "left").select("node", "parent", *link, *[F.array().cast("array<string>").alias(c) for c in path]))
-    total, rounds = left.count(), []
-    while total:
+    total, rounds, open_ = left.count(), [], 1
+    while total > tail and open_:
         k = len(rounds)
         leaves = left.where("pending = 0")
         mail = leaves.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + F.col("e_size")).alias("s"), F.max(F.greatest(F.col("height") + F.col("steps"), "e_height")).alias("h"))
@@ -103,16 +109,57 @@ def peel(links: DataFrame, *, with_path: bool = False) -> tuple[list[_Round], Da
             *[F.when(took, F.concat("u_e_path", F.array("parent"), "e_path")).otherwise(F.col("e_path")).alias(c) for c in path],
             F.when(took, record).alias("record"),
         )
-        nxt = cut(nxt)
-        now, open_, n_spliced = nxt.agg(F.count(F.lit(1)), F.count_if(F.col("parent").isNull() | (F.col("parent") != F.col("node"))), F.count("record")).first()
+        seen = Observation()
+        nxt = cut(nxt.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("parent").isNull() | (F.col("parent") != F.col("node"))).alias("open"), F.count("record").alias("spliced")))
+        now, open_, n_spliced = (seen.get[c] for c in ("n", "open", "spliced"))
         rounds.append(_Round(total, leaves.select("node", "parent", "steps", "size", "height", *path), nxt.where("record is not null").select("record.*") if n_spliced else None))
         left, total = nxt.drop("record"), now
-        if not open_:
-            break
-    return rounds, left.select("node", "e_min")
-
-
-def assign(rounds: list[_Round], residue: DataFrame, *, with_path: bool = False) -> DataFrame:
+    if total <= tail:
+        return rounds, cut(_tail(left, with_path))
+    none = lambda kind: F.lit(None).cast(kind)
+    cycles = [F.least("node", "e_min").alias("root"), F.lit(0).alias("depth"), F.lit(True).alias("ring"), F.lit(True).alias("cyclic"), none("long").alias("size"), none("int").alias("height")]
+    return rounds, left.select("node", *cycles, *[F.array("node").alias("path") for _ in path])
+
+
+def _tail(left: DataFrame, with_path: bool) -> DataFrame:
+    """The last nodes of ``peel`` (at most ``TAIL``) as ``assign`` gives them, in one task."""
+    schema = "node string, root string, depth int, ring boolean, cyclic boolean, size bigint, height int" + (", path array<string>" if with_path else "")
+    ship(left.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {r.node: r for b in batches for r in b.itertuples()}
+        out: dict[str, dict] = {}
+        order: list[str] = []  # parents before children
+        for start in rows:
+            way: list[str] = []
+            at = start
+            while at is not None and at not in out and at not in way:
+                way.append(at)
+                at = rows[at].parent
+            if at is not None and at not in out:  # the way has come back to itself
+                ring = way[way.index(at) :]
+                label = min([*ring, *[rows[x].e_min for x in ring if rows[x].e_min is not None]])
+                for x in ring:
+                    out[x] = {"node": x, "root": label, "depth": 0, "ring": True, "cyclic": True, "size": None, "height": None, "path": [x]}
+                way = way[: way.index(at)]
+            for x in reversed(way):
+                r, up = rows[x], out.get(rows[x].parent)
+                out[x] = {"node": x, "root": up["root"] if up else x, "depth": up["depth"] + r.steps if up else 0, "ring": False, "cyclic": bool(up and up["cyclic"]), "size": r.size, "height": r.height}
+                out[x]["path"] = [*up["path"], *r.e_path, x] if with_path and up else [x]
+                order.append(x)
+        for x in reversed(order):
+            r, up = rows[x], out.get(rows[x].parent)
+            if up and not up["ring"]:
+                up["size"] += out[x]["size"] + r.e_size
+                up["height"] = max(up["height"], out[x]["height"] + r.steps, r.e_height)
+        if out:
+            made = pd.DataFrame(list(out.values()))
+            yield made.astype({"size": "Int64", "height": "Int32"})[[c.split()[0] for c in schema.split(", ")]]
+
+    return left.coalesce(1).mapInPandas(run, schema)
+
+
+def assign(rounds: list[_Round], last: DataFrame, *, with_path: bool = False) -> DataFrame:
     """Roots, depths and paths in reverse peel order, from what ``peel`` returned.
 
     A node was removed before its parent, so from the last round to the first the
@@ -124,10 +171,8 @@ def assign(rounds: list[_Round], residue: DataFrame, *, with_path: bool = False)
     height and path, which begins at a root or on a cycle.  On and below a cycle the
     root is the smallest id on it.
     """
-    none = lambda kind: F.lit(None).cast(kind)
     path = ["path"] if with_path else []
-    base = residue.select("node", F.least("node", "e_min").alias("root"), F.lit(0).alias("depth"), F.lit(True).alias("ring"), F.lit(True).alias("cyclic"), none("long").alias("size"), none("int").alias("height"), *[F.array("node").alias(c) for c in path])
-    parts = [base]
+    parts = [last]
 
     def known(as_: str, *cols: str) -> DataFrame:
         return reduce(DataFrame.unionByName, parts).select(F.col("node").alias(as_), *[F.col(c).alias(f"{as_[0]}_{c}") for c in cols])

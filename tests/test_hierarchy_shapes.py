@@ -37,8 +37,9 @@ def shapes(seed):
     return parent
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_any_shape_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "tail"), [(1, 0), (2, 40), (3, 10_000)])
+def test_any_shape_against_brute_force(spark, monkeypatch, seed, tail):
+    monkeypatch.setattr(H, "TAIL", tail)
     parent = shapes(seed)
     want = brute(parent)
     full = {r["node_id"]: r for r in H.hierarchy(edges(spark, parent), with_path=True).collect()}
@@ -65,7 +66,8 @@ def test_chain_of_5000(spark):
     assert len(got) == 5000 and all(r["tree_depth"] == int(n[1:]) and r["subtree_size"] == 5000 - int(n[1:]) for n, r in got.items())
 
 
-def test_a_cycle_of_300(spark):
+def test_a_cycle_of_300(spark, monkeypatch):
+    monkeypatch.setattr(H, "TAIL", 0)
     parent = {f"n{i:03}": f"n{(i + 1) % 300:03}" for i in range(300)} | {"low": "n150"}
     assert {(r["root_id"], r["tree_depth"]) for r in H.roots_and_depths(edges(spark, parent)).collect()} == {("n000", -1)}
 
