@@ -103,7 +103,7 @@ class Engine:
             merges = {"per_level": [r.asDict() for r in rep.collect()], **consolidate.totals(rep).first().asDict()}  # five rows
         say("auditing", 85)
         all_a, report, _ = audit.verify(all_a, all_e, model=self.model, spec=task_spec, catalogue=self.catalogue, k=c.audit_k)
-        self.store.commit(all_a, all_e, since=since)
+        self._save(held_a, held_e, cut(all_a), all_e, since)
         say("done", 100)
         base = self.store.atoms
         return counts | {
@@ -114,6 +114,21 @@ class Engine:
             "audit_report": report.first().asDict(),
         }
 
+    def _save(self, held_a: DataFrame, held_e: DataFrame, atoms: DataFrame, edges: DataFrame, since: int) -> None:
+        """One commit: new rows are appended if no row held has changed or gone, else both tables are written anew."""
+        if since:
+            kept_e = [F.col("weight").alias("w1"), F.col("rho_json").alias("r1")]
+            lost = held_e.join(edges.select(*store.EDGE_KEY, *kept_e), store.EDGE_KEY, "left").where(~(F.col("weight").eqNullSafe(F.col("w1")) & F.col("rho_json").eqNullSafe(F.col("r1"))))
+            seen = ["name", "type", "level", "context", "status", "provenance", "version"]
+            same = lambda df, name: df.select("node_id", F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x in seen]).alias(name))
+            changed = same(held_a, "h0").join(same(atoms, "h1"), "node_id", "left").where(~F.col("h0").eqNullSafe(F.col("h1")))
+            if changed.isEmpty() and lost.isEmpty():
+                new_a = atoms.join(held_a.select("node_id"), "node_id", "left_anti")
+                new_e = edges.join(held_e.select(*store.EDGE_KEY), store.EDGE_KEY, "left_anti")
+                self.store.append(new_a, new_e, since=since)
+                return
+        self.store.commit(atoms, edges, since=since)
+
     def _consolidated(self, atoms: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         c = self.config
         vectors = atoms.where(F.size("embedding") > 0).select("node_id", "embedding")

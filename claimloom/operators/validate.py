@@ -72,13 +72,13 @@ def r5(atoms: DataFrame) -> DataFrame:
     """Later atoms of the same lower-case name, type and level; the message names the first.
 
     The first of each key comes from an aggregation combined before its shuffle and
-    is joined back, so no key is gathered in one task.
+    is joined back, salted, so no key is gathered in one task.
     """
     key = [F.lower("name").alias("k"), "type", "level"]
     pos = F.struct(F.coalesce("created_at", F.lit("9999-12-31").cast("timestamp_ntz")), "node_id")
     first = atoms.groupBy(*key).agg(F.min(pos).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.col("type").alias("kt"), F.col("level").alias("kl"), F.col("p.node_id").alias("first_id"))
-    same = (F.lower("name") == F.col("k")) & (F.col("type") == F.col("kt")) & (F.col("level") == F.col("kl"))
-    return atoms.join(first, same).where(F.col("node_id") != F.col("first_id")).select(*_error("R5", F.col("node_id"), F.concat(F.lit("duplicate of "), "first_id")))
+    mine = atoms.select("node_id", F.lower("name").alias("k"), F.col("type").alias("kt"), F.col("level").alias("kl"))
+    return salted_join(mine, first, ["k", "kt", "kl"]).where(F.col("node_id") != F.col("first_id")).select(*_error("R5", F.col("node_id"), F.concat(F.lit("duplicate of "), "first_id")))
 
 
 def _r6_missing() -> Column:

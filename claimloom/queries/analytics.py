@@ -322,7 +322,7 @@ def slugify(spark, d):
 
 
 def okf_relation_lines(spark, d):
-    return okf.relation_lines(_keys(spark, d), atoms_(spark, d).where("level is not null"))
+    return okf.relation_lines(_keys(spark, d), atoms_(spark, d).where("level is not null")).select("node_id", "lines")
 
 
 def okf_concepts(spark, d):

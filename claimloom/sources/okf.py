@@ -15,6 +15,7 @@ from claimloom.ontology import HIERARCHY, HORIZONTAL, LEVELS, TYPES
 from claimloom.operators import store
 from claimloom.plans.lineage import cut
 from claimloom.plans.ship import ship
+from claimloom.plans.skew import salted_join
 from claimloom.schema import ATOMS, EDGES, conform
 from claimloom.sources.files import absolute, open_text, write_text
 
@@ -23,7 +24,9 @@ RESERVED = ["index.md", "log.md"]
 PREFIX = "claimloom"
 #: A link at the end of a line; its title may hold brackets.
 LINK = r"\]\(([^()]+)\)\s*$"
-EXTENSIONS = ("node_id", "level", "status", "provenance", "source_refs", "code_ref")
+EXTENSIONS = ("node_id", "level", "status", "provenance", "source_refs", "code_ref", "part_of")
+#: About so many links of an atom stand in one file; a hub's further ones stand in more files.
+PART_LINES = 100_000
 
 
 def slug(c: Column) -> Column:
@@ -38,19 +41,27 @@ def concept_path(level: str = "level", node_id: str = "node_id") -> Column:
 
 
 def relation_lines(edges: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(node_id, lines): links to exported atoms, outgoing first, each by relation and id.
+    """(node_id, part, lines): links to exported atoms, outgoing first, each by relation and id.
 
-    Lines of one atom are gathered in its own row; the file they make holds them all.
+    An atom with at most about ``PART_LINES`` links has one part, 0.  The links of
+    a hub are spread over more parts by a hash, so that no row holds more.
     """
     ends = atoms.select("node_id", F.regexp_replace("name", r"[\r\n]+", " ").alias("name"), concept_path().alias("path"))  # a link stands on one line
-    out = edges.join(ends, edges["tgt"] == ends["node_id"]).select(F.col("src").alias("n"), F.lit(0).alias("d"), "relation", F.col("tgt").alias("o"), F.format_string("- %s → [%s](%s)", "relation", "name", "path").alias("line"))
-    into = edges.join(ends, edges["src"] == ends["node_id"]).select(F.col("tgt").alias("n"), F.lit(1).alias("d"), "relation", F.col("src").alias("o"), F.format_string("- %s ← [%s](%s)", "relation", "name", "path").alias("line"))
-    rows = out.unionByName(into).groupBy(F.col("n").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("d", "relation", "o", "line"))).alias("x"))
-    return rows.select("node_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("lines"))
+    one = lambda mine, far, d, arrow: salted_join(edges, ends.withColumnRenamed("node_id", far), [far]).select(F.col(mine).alias("node_id"), F.lit(d).alias("d"), "relation", F.col(far).alias("o"), F.format_string(f"- %s {arrow} [%s](%s)", "relation", "name", "path").alias("line"))
+    links = one("src", "tgt", 0, "→").unionByName(one("tgt", "src", 1, "←"))
+    sizes = links.groupBy("node_id").agg(F.ceil(F.count(F.lit(1)) / PART_LINES).cast("int").alias("n_parts"))
+    several = salted_join(links, sizes.where("n_parts > 1"), ["node_id"], "left")
+    part = F.coalesce(F.pmod(F.xxhash64("d", "relation", "o"), F.col("n_parts")), F.lit(0)).cast("int")
+    rows = several.groupBy("node_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("d", "relation", "o", "line"))).alias("x"))  # a part
+    return rows.select("node_id", "part", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("lines"))
 
 
 def concepts(atoms: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, content): the files of a bundle, without index and log."""
+    """(path, content): the files of a bundle, without index and log.
+
+    A hub's further links stand in files of their own beside it, which name it as
+    what they are part of.
+    """
     quoted = lambda c: F.expr(f"regexp_replace(regexp_replace(to_json(named_struct('x', coalesce({c}, ''))), '^.{{5}}', ''), '.$', '')")
     head = [("type", quoted("type")), ("title", quoted("name")), ("description", quoted("substring(context, 1, 500)")), ("resource", quoted("source_pdf")), ("tags", F.coalesce("tags", F.lit("[]"))), ("timestamp", quoted("date_format(updated_at, 'yyyy-MM-dd HH:mm:ss')")), (f"{PREFIX}_node_id", quoted("node_id")), (f"{PREFIX}_level", quoted("level")), (f"{PREFIX}_status", quoted("status")), (f"{PREFIX}_provenance", F.coalesce("provenance", F.lit("{}")))]
     front = F.concat(F.lit("---\n"), *[x for k, v in head for x in (F.lit(f"{k}: "), v, F.lit("\n"))], F.lit("---\n\n"))
@@ -58,7 +69,11 @@ def concepts(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     links = F.when(F.col("lines").isNotNull(), F.concat(F.lit("\n## Relations\n"), "lines", F.lit("\n"))).otherwise("")
     prov = F.when(F.col("provenance").isNotNull(), F.concat(F.lit("\n## Provenance\n```json\n"), "provenance", F.lit("\n```\n"))).otherwise("")
     full = atoms.join(relation_lines(edges, atoms), "node_id", "left")
-    return full.select(concept_path().alias("path"), F.concat(front, F.coalesce("context", F.lit("")), F.lit("\n"), code, links, prov).alias("content"))
+    whole = F.concat(front, F.coalesce("context", F.lit("")), F.lit("\n"), code, links, prov)
+    more = F.concat(F.lit(f"---\n{PREFIX}_part_of: "), quoted("node_id"), F.lit("\n---\n"), links)
+    beside = F.regexp_replace(concept_path(), r"\.md$", "")
+    first = F.coalesce("part", F.lit(0)) == 0
+    return full.select(F.when(first, concept_path()).otherwise(F.concat(beside, F.format_string(".links-%05d.md", "part"))).alias("path"), F.when(first, whole).otherwise(more).alias("content"))
 
 
 def index_lines(atoms: DataFrame) -> DataFrame:
@@ -172,7 +187,7 @@ def to_atoms(split: DataFrame) -> DataFrame:
     m = lambda k: F.get_json_object("meta", f"$.{k}")
     first_line = F.substring(F.split(F.trim("body"), "\n")[0], 1, 500)
     t, lv = F.coalesce(m("type"), F.lit("")), F.coalesce(m(f"{PREFIX}_level"), m("level"), F.lit(""))
-    ok = split.where("meta is not null")
+    ok = split.where(F.col("meta").isNotNull() & m(f"{PREFIX}_part_of").isNull())
     return ok.select(
         F.coalesce(F.nullif(m(f"{PREFIX}_node_id"), F.lit("")), F.nullif(m("node_id"), F.lit("")), F.regexp_replace("path", r"\.md$", "")).alias("node_id"),
         "path",
@@ -217,7 +232,9 @@ def import_bundle(spark: SparkSession, folder: str, *, direction_aware: bool = T
     atoms = to_atoms(split)
     ids = atoms.select("path", "node_id")
     links = resolve_links(relations(split.where("meta is not null").select("path", "body")), ids).where("node_id is not null")
-    mine = ids.withColumnRenamed("node_id", "own")
+    part_of = F.get_json_object("meta", f"$.{PREFIX}_part_of")
+    parts = split.where(part_of.isNotNull()).select("path", part_of.alias("own"))
+    mine = ids.withColumnRenamed("node_id", "own").unionByName(parts)
     e = links.join(mine, "path")
     flip = F.col("incoming") & F.lit(direction_aware)
     edges = e.select(F.when(flip, F.col("node_id")).otherwise(F.col("own")).alias("src"), F.when(flip, F.col("own")).otherwise(F.col("node_id")).alias("tgt"), "relation").where("src <> tgt").distinct()

@@ -198,6 +198,16 @@ def test_pages_hold_the_whole_graph(spark, tmp_path, monkeypatch):
     assert "b.pdf" in index and "100 %" in index and "page-000003.html" in index and "failed 0" in index
 
 
+def test_the_links_of_a_hub_take_several_files(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(okf, "PART_LINES", 7)
+    a = spark.createDataFrame([(f"n{i:02}", f"Name {i}", "method", "W3_approach", "", "active", None, None, None, None, None) for i in range(30)], "node_id string, name string, type string, level string, context string, status string, source_pdf string, tags string, updated_at timestamp_ntz, code_body string, provenance string")
+    e = spark.createDataFrame([(f"n{i:02}", "n00", "extends") for i in range(1, 30)], "src string, tgt string, relation string")
+    folder = okf.export(a, e, str(tmp_path / "bundle"))
+    assert len(list((tmp_path / "bundle" / "W3_approach").glob("n00.links-*.md"))) >= 2
+    got, edges = okf.import_bundle(spark, folder)
+    assert got.count() == 30 and rows(edges) == rows(e)
+
+
 def test_import_into_a_base(spark, rows, tmp_path):
     f = tmp_path / "bundle" / "W3_approach"
     f.mkdir(parents=True)
@@ -244,6 +254,10 @@ def test_engine(spark, rows, tmp_path):
     assert made["code_body"] and json.loads(made["provenance"])["phase"] == "reduce" and made["embedding"]
     again = eng.ingest(spark.createDataFrame([(0, text)], "pos int, text string"), "a.pdf")
     assert again["atoms_inserted"] == 0 and again["edges_inserted"] == 0
+    before = len(eng.store._state()["atoms"])
+    eng.config.auto_consolidate = False
+    eng.ingest(spark.createDataFrame([(0, "Boats sink in storms. Steer by stars. Learn the tides.")], "pos int, text string"), "z.pdf")
+    assert len(eng.store._state()["atoms"]) == before + 1 and eng.store.atoms.groupBy("node_id").count().where("count > 1").isEmpty()
     found = tools.call(eng, "search", {"query": "critic", "level": "W3"})["result"]
     assert {"context", "source_pdf", "status"} <= set(found[0])
     said = tools.call(eng, "evaluate_novelty", {"proposal_text": text})["result"]
