@@ -162,9 +162,9 @@ def service_replies(spark, d):
     cr = F.to_json(F.struct(F.struct(F.array(F.struct(doi.alias("DOI"), F.array("raw_citation").alias("title"), F.array(F.struct(F.lit("A").alias("given"), F.lit("B").alias("family"))).alias("author"), F.struct(F.array(F.array(n)).alias("date-parts")).alias("issued"))).alias("items")).alias("message")))
     feed = F.concat(F.lit("<feed><entry><title>"), F.regexp_replace("raw_citation", "[<>&]", " "), F.lit("</title><published>2020-01-01</published><name>C</name></entry></feed>"))
     when = lambda low, high, c: F.when((n >= low) & (n < high), c)
-    asked = a.select("node_id", "raw_citation", when(0, 60, s2).alias("semantic_scholar"), when(60, 75, feed).alias("arxiv"), when(75, 90, oa).alias("openalex"), when(90, 100_000, cr).alias("crossref"))
+    asked = a.select("node_id", "raw_citation", when(0, 60, s2).alias("semantic_scholar"), when(60, 75, feed).alias("arxiv"), when(75, 90, oa).alias("openalex"), F.when(n >= 90, cr).alias("crossref"))
     r = providers.resolve_replies(asked)
-    return r.select("node_id", "resolved.source_api", "resolved.doi", "resolved.year", F.size("resolved.authors").alias("n_authors"), F.element_at("resolved.authors", 1).alias("author"), "resolved.confidence", F.md5(F.col("resolved.title").cast("binary")).alias("title_digest"))
+    return r.select("node_id", "resolved.source_api", "resolved.doi", "resolved.year", F.size("resolved.authors").alias("n_authors"), F.get("resolved.authors", F.lit(0)).alias("author"), "resolved.confidence", F.md5(F.col("resolved.title").cast("binary")).alias("title_digest"))
 
 
 def bundle_import(spark, d):
