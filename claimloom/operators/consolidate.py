@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from claimloom import providers
 from claimloom.functions import json as J
-from claimloom.ontology import LEVELS, TYPES
+from claimloom.ontology import LEVELS, TYPES, lookup
 from claimloom.operators import extract
 from claimloom.operators.graph import parents_at, weak_components
 from claimloom.operators.vote import vote_nested
-from claimloom.plans.lineage import cut
+from claimloom.plans.lineage import cut, forget
 from claimloom.plans.ship import ship
 from claimloom.plans.skew import hot_from_counts, salted_join
 
@@ -24,6 +24,8 @@ from claimloom.plans.skew import hot_from_counts, salted_join
 BLOCK = 2_000
 #: Rows of pairs of blocks that one call works off together.
 PACK = 8_000
+#: Rows of a block in one matrix product where only clusters are asked for.
+CHUNK = 512
 #: The group of all atoms of the top level, which have no parent.
 ROOT = "__root__"
 
@@ -82,6 +84,99 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return found.select(F.col("component").alias("cluster"), "node_id")
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of ``a[i]`` and ``b[i]`` in place; every entry of ``root`` is the smallest of its set."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
+def _united(sent: DataFrame, threshold: float, whole: bool, rows: int) -> DataFrame:
+    """(label, root, multi): labels that a tile's similar pairs join, with the smallest of them; labels that nothing joins are left out.
+
+    ``sent``: (grp, multi, i, j, block, label, embedding), a row for each tile (i, j)
+    that a vector is in, ``rows`` in all.  The vectors of block i, with ``whole`` all
+    of the tile, are compared with those of block j; pairs of one label need no look.
+    """
+    ship(sent.sparkSession)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf["embedding"].tolist(), dtype=np.float64)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        m /= np.where(length == 0, 1.0, length)
+        label, block, first, second, multi = (pdf[c].to_numpy() for c in ("label", "block", "i", "j", "multi"))
+        labels, roots, multis = [], [], []
+        for at in pdf.groupby(["grp", "i", "j"], sort=False).indices.values():
+            names, code = np.unique(label[at], return_inverse=True)
+            root = np.arange(len(names))
+            here = block[at]
+            right = np.flatnonzero(here == second[at[0]])
+            left = np.arange(len(at)) if whole else np.flatnonzero(here == first[at[0]])
+            to = m[at[right]].T
+            for k in range(0, len(left), CHUNK):
+                some = left[k : k + CHUNK]
+                a, b = np.nonzero((m[at[some]] @ to >= threshold) & (root[code[some]][:, None] != root[code[right]]))
+                _unite(root, code[some[a]], code[right[b]])
+                if not root.any():
+                    break
+            joined = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+            labels.append(names[joined])
+            roots.append(names[root[joined]])
+            multis.append(np.full(len(joined), multi[at[0]]))
+        return pd.DataFrame({"label": np.concatenate(labels), "root": np.concatenate(roots), "multi": np.concatenate(multis)})
+
+    packs = max(1, rows // PACK)
+    packed = sent.withColumn("pack", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(packs)))
+    return packed.groupBy("pack").applyInPandas(compare, "label string, root string, multi boolean")
+
+
+def clusters_in_groups(groups: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(cluster, node_id): what ``clusters`` makes of the pairs of ``similar_in_group``, without a row per pair.
+
+    ``groups``: (node_id, grp), one row per atom; ``vectors``: (node_id, embedding),
+    one row per atom.  Groups of up to ``BLOCK`` vectors are done in one call.  Of a
+    larger group each block is compared with itself and with the first block; then
+    what isn't in the group's largest cluster is compared with all of the group, so
+    every pair is compared but those that are in one cluster already.  A call
+    returns at most a row per vector.
+    """
+    sizes = cut(groups.join(vectors.select("node_id"), "node_id", "left_semi").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    total, sent, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") + (parts - 1) * BLOCK), F.lit(0)), F.max(parts)).first()
+    hot = hot_from_counts(sizes, ["grp"], "n", total)
+    blocks = salted_join(groups.select("node_id", "grp"), sizes, ["grp"], hot=hot).select("grp", "node_id", parts.alias("parts"), F.pmod(F.xxhash64("node_id"), parts).cast("int").alias("block"))
+    v = blocks.join(vectors.select("node_id", "embedding"), "node_id")
+    tiles = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("block"))
+    found = cut(_united(v.select("grp", (F.col("parts") > 1).alias("multi"), F.lit(0).alias("i"), F.explode(tiles).alias("j"), "block", F.col("node_id").alias("label"), "embedding"), threshold, True, sent))
+    done = found.where("not multi").select(F.col("root").alias("cluster"), F.col("label").alias("node_id"))
+    if not total or most == 1:
+        return done
+    joined = cut(weak_components(found.where("multi").select(F.col("label").alias("a"), F.col("root").alias("b"))))
+    forms = v.where("parts > 1").select("grp", "node_id").join(joined, "node_id", "left").withColumn("label", F.coalesce("component", "node_id"))
+    each = cut(forms)
+    per = each.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"))
+    out = F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int")
+    left = cut(per.where("n > n_top").select("grp", "top", out.alias("n_out"), F.ceil(F.col("n_top") / BLOCK).cast("int").alias("n_in"), "n", "n_top"))
+    rows = left.agg(F.coalesce(F.sum((F.col("n") - F.col("n_top")) * (F.col("n_out") + F.col("n_in")) + F.col("n_top") * F.col("n_out")), F.lit(0))).first()[0]
+    if rows:
+        h = F.xxhash64("node_id")
+        inside = F.col("label") == F.col("top")
+        b = each.join(F.broadcast(left), "grp").select("grp", "node_id", "label", "n_out", "n_in", F.when(inside, F.col("n_out") + F.pmod(h, F.col("n_in"))).otherwise(F.pmod(h, F.col("n_out"))).cast("int").alias("block"))  # a row per group of more than BLOCK
+        others = F.transform(F.sequence(F.lit(0), F.when(F.col("block") < F.col("n_out"), F.col("n_out") + F.col("n_in") - 1).otherwise(F.col("n_out") - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+        pairs = b.join(vectors.select("node_id", "embedding"), "node_id").select("grp", F.lit(True).alias("multi"), F.explode(others).alias("t"), "block", "label", "embedding")
+        more = weak_components(_united(pairs.select("grp", "multi", "t.i", "t.j", "block", "label", "embedding"), threshold, False, rows).select(F.col("label").alias("a"), F.col("root").alias("b")))
+        each = salted_join(each, more.select(F.col("node_id").alias("label"), F.col("component").alias("last")), ["label"], "left")
+    else:
+        each = each.withColumn("last", F.lit(None).cast("string"))
+    return done.unionByName(each.where("component is not null or last is not null").select(F.coalesce("last", "label").alias("cluster"), "node_id"))
+
+
 def rewire(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with duplicates replaced by their canonical atom at both ends; self loops dropped, keys once, attributes carried.
 
@@ -155,19 +250,37 @@ def apply_merges(atoms: DataFrame, edges: DataFrame, decisions: DataFrame) -> tu
     return out.select(*keep, "merged_into", "merged_from"), rewire(edges, decisions)
 
 
-def consolidate(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float = 0.85, judge=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All levels from the top; each level sees the rewiring of the one above.
+def _links_up(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, level, parent_id, prio): what ``parents_at`` chooses from, for the live atoms of all levels."""
+    up = edges.where(F.col("relation") == "aggregates_to").select(F.col("src").alias("node_id"), F.col("tgt").alias("parent_id"), F.lit(0).alias("prio"))
+    down = edges.where(F.col("relation") == "decomposes_into").select(F.col("tgt").alias("node_id"), F.col("src").alias("parent_id"), F.lit(1).alias("prio"))
+    child = atoms.where(~F.col("status").isin("merged", "transient") & F.col("level").isin(LEVELS[1:])).select("node_id", "level")
+    above = lookup(F.col("level"), dict(zip(LEVELS[:-1], LEVELS[1:], strict=True)))
+    parent = atoms.where(F.col("level").isin(LEVELS[:-1])).select(F.col("node_id").alias("parent_id"), above.alias("child_level"))
+    return salted_join(up.unionByName(down).join(child, "node_id"), parent, ["parent_id"]).where("level = child_level").select("node_id", "level", "parent_id", "prio")
 
-    ``judge`` gets a level's clusters (cluster, node_id) and its atoms and returns
-    decisions as ``adjudicate`` does, or only the clusters; without it every cluster
-    is merged.  Returns atoms, edges and the report (level, n_candidates, n_clusters,
-    n_merged).
+
+def decisions(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float = 0.85, judge=None) -> tuple[list[DataFrame], DataFrame]:
+    """What ``consolidate`` merges: a table per level from the top, as ``apply_merges`` takes them, and its report.
+
+    An atom's parent is looked up among the merges of the level above, so nothing
+    has to be rewired to find the groups of a level.  Of ``edges`` only the
+    hierarchy's (src, tgt, relation) are read; ``vectors`` may have a level as well.
     """
-    reports = []
+    live = atoms.where(~F.col("status").isin("merged", "transient"))
+    links = cut(_links_up(atoms, edges))
+    if "level" not in vectors.columns:
+        vectors = cut(vectors.join(atoms.where(F.col("level").isin(LEVELS)).select("node_id", "level"), "node_id"))
+    picked, reports = [], []
     for level in LEVELS:
-        groups = candidates(atoms, edges, level)
-        cand = groups.join(vectors, "node_id")
-        found = cut(clusters(similar_in_group(cand.select("grp", "node_id", "embedding"), threshold)))
+        if not picked:
+            groups = live.where(F.col("level") == level).select("node_id", F.lit(ROOT).alias("grp"))
+        else:
+            moved = picked[-1].select(F.col("dup_id").alias("parent_id"), "canonical_id")
+            now = salted_join(links.where(F.col("level") == level), moved, ["parent_id"], "left").select("node_id", "prio", F.coalesce("canonical_id", "parent_id").alias("grp"))
+            groups = now.groupBy("node_id").agg(F.min(F.struct("prio", "grp")).alias("m")).select("node_id", F.col("m.grp").alias("grp"))
+        groups = cut(groups)
+        found = cut(clusters_in_groups(groups, vectors.where(F.col("level") == level), threshold))
         said = None if judge is None else cut(judge(found, atoms))
         picks = decide(found, atoms, None if said is None else lambda rows, said=said: said)
         if said is not None and "name" in said.columns:
@@ -176,9 +289,26 @@ def consolidate(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, threshol
         picks = cut(picks)
         counts = found.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct("cluster").alias("n_clusters")).join(F.broadcast(picks.agg(F.count(F.lit(1)).alias("n_merged"))))  # one row each
         reports.append(counts.select(F.lit(level).alias("level"), "n_candidates", "n_clusters", "n_merged"))
+        picked.append(picks)
+    return picked, reduce(DataFrame.unionByName, reports)
+
+
+def consolidate(atoms: DataFrame, edges: DataFrame, vectors: DataFrame, threshold: float = 0.85, judge=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All levels from the top; each level sees the rewiring of the one above.
+
+    ``judge`` gets a level's clusters (cluster, node_id) and the atoms and returns
+    decisions as ``adjudicate`` does, or only the clusters; without it every cluster
+    is merged.  Returns atoms, edges and the report (level, n_candidates, n_clusters,
+    n_merged).
+    """
+    picked, report = decisions(atoms, edges, vectors, threshold, judge)
+    for i, picks in enumerate(picked):
         merged_atoms, rewired = apply_merges(atoms, edges, picks)
-        atoms, edges = cut(merged_atoms.drop("merged_into", "merged_from")), cut(rewired.drop("moved"))
-    return atoms, edges, reduce(DataFrame.unionByName, reports)
+        last, (atoms, edges) = (atoms, edges), (cut(merged_atoms.drop("merged_into", "merged_from")), cut(rewired.drop("moved")))
+        if i:
+            forget(last[0])
+            forget(last[1])
+    return atoms, edges, report
 
 
 def totals(report: DataFrame) -> DataFrame:
